@@ -10,13 +10,18 @@ def contains_any(col: Column, *needles: str) -> Column:
     return reduce(or_, [col.contains(n) for n in needles])
 
 
+def strip(col: Column) -> Column:
+    """Drop leading and trailing blanks and control characters."""
+    return F.regexp_replace(col, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
 def location(path: Column, line: Column) -> Column:
     return F.concat_ws(":", path, line)
 
 
 def line_of_location(loc: Column) -> Column:
     """The number after the last colon; with no colon the first digit run; else 0."""
-    after_colon = F.trim(F.substring_index(F.regexp_replace(loc, r":+\z", ""), ":", -1))
+    after_colon = strip(F.substring_index(F.regexp_replace(loc, r":+\z", ""), ":", -1))
     signed = F.when(after_colon.rlike(r"\A[+-]?[0-9]+\z"), after_colon)
     digits = F.regexp_extract(loc, r"[0-9]+", 0)
     picked = F.when(loc.contains(":"), signed).otherwise(digits)
