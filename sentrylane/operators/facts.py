@@ -145,14 +145,16 @@ _STATEMENT_WORDS = (
 
 
 def _mark_line(line: Column, index: Column) -> Column:
+    """A line between two markers, with more of them around comment and block signs."""
     mark = F.concat(
         F.lit(_MARK), F.translate((index + 1).cast("string"), "0123456789", _DIGITS)
     )
-    around = line
+    inner = line
     for token, before, after in (('"""', True, True), ("/*", True, False), ("*/", False, True)):
         pieces = ([mark] if before else []) + [F.lit(token)] + ([mark] if after else [])
-        around = F.replace(around, F.lit(token), F.concat(*pieces))
-    return F.concat(mark, around, mark)
+        inner = F.replace(inner, F.lit(token), F.concat(*pieces))
+    signs = line.contains("/*") | line.contains("*/") | line.contains('"""')
+    return F.concat(mark, F.when(signs, inner).otherwise(line), mark)
 
 
 def _armour(literal: Column) -> Column:
@@ -171,11 +173,13 @@ def _reveal(code: Column) -> Column:
 
 def _expression_text(code: Column) -> Column:
     """Source text of an expression, laid out on one line with plain spacing."""
-    code = F.translate(code, _MARKER_RUN, "")
-    code = F.regexp_replace(code, r"\s++", " ")
-    code = F.regexp_replace(code, r" ?\. ?(?=[\p{L}_$<])", ".")
-    code = F.regexp_replace(code, r"(?<=[(\[]) | (?=[)\],])", "")
-    return _reveal(F.trim(code))
+    flat = F.regexp_replace(F.translate(code, _MARKER_RUN, ""), r"\s++", " ")
+    tidy = F.regexp_replace(
+        flat,
+        r" (?=[)\],]|\. ?[\p{L}_$<])|(?<=[(\[]) |(?<=\.) (?=[\p{L}_$<])",
+        "",
+    )
+    return _reveal(F.when(code.rlike(_W), F.trim(tidy)).otherwise(code))
 
 
 def _number(digits: Column) -> Column:
@@ -183,7 +187,7 @@ def _number(digits: Column) -> Column:
 
 
 def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, char, ""))
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def _groups(text: Column, pattern: str, *groups: int) -> Column:
@@ -269,7 +273,7 @@ def extract_facts(
     )
     code = F.col("code")
     tokenises = (
-        ~F.regexp_replace(code, _STR, "").rlike("[\"']|/\\*")
+        code.rlike(rf"\A(?:[^\"'/]++|{_STR}|/(?!\*))*+\z")
         & (_count(code, "{") == _count(code, "}"))
         & (_count(code, "(") == _count(code, ")"))
     )

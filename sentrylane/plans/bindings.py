@@ -9,42 +9,64 @@ with the tables they read.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from sentrylane.sources.code import spread
+from sentrylane.sources.dimensions import literal_table
 
 
 @dataclass(frozen=True)
 class Derivation:
-    """``table`` projected to ``columns``; ``index`` names template picks first."""
+    """``table`` projected to ``columns``. ``templates`` are rows picked by ``index``, an
+    expression that gives their first column, the template number ``t``."""
 
     table: str
     columns: dict[str, str]
-    index: dict[str, str]
+    index: str | None = None
+    templates: tuple[tuple, ...] = ()
+    names: tuple[str, ...] = ()
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.of(spark.read.parquet(f"{folder}/{self.table}.parquet"))
+        return self.of(spread(spark.read.parquet(f"{folder}/{self.table}.parquet")))
 
     def of(self, rows: DataFrame) -> DataFrame:
         """The same projection of a given (possibly streaming) DataFrame."""
         if self.index:
-            rows = rows.selectExpr("*", *[f"{e} AS {c}" for c, e in self.index.items()])
+            schema = ", ".join(["t bigint", *[f"{n} {_type(v)}" for n, v in zip(self.names, zip(*self.templates))]])
+            numbered = tuple((i, *t) for i, t in enumerate(self.templates))
+            table = literal_table(rows.sparkSession, numbered, T.StructType.fromDDL(schema))
+            rows = rows.withColumn("t", F.expr(self.index)).join(table, "t")
         return rows.selectExpr(*[f"{e} AS {c}" for c, e in self.columns.items()])
 
     @property
     def sql(self) -> str:
-        picks = "".join(f", {e} AS {c}" for c, e in self.index.items())
-        shown = ", ".join(f"{e} AS {c}" for c, e in self.columns.items())
-        return f"SELECT {shown} FROM (SELECT *{picks} FROM {self.table}) AS picked"
+        source = self.table
+        if self.index:
+            rows = ", ".join(
+                "(" + ", ".join(_text(v) for v in (i, *t)) + ")" for i, t in enumerate(self.templates)
+            )
+            source = (
+                f"(SELECT *, {self.index} AS t FROM {self.table}) AS numbered JOIN "
+                f"(VALUES {rows}) AS template(t, {', '.join(self.names)}) USING (t)"
+            )
+        return f"SELECT {', '.join(f'{e} AS {c}' for c, e in self.columns.items())} FROM {source}"
+
+
+def _type(values) -> str:
+    return "int" if any(isinstance(v, int) for v in values) else "string"
+
+
+def _text(value) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
-def literal(template: str | None, **columns: str) -> str:
-    """SQL text expression of a template: ``{x}`` is replaced by column ``x``."""
-    if template is None:
-        return "CAST(NULL AS STRING)"
-    parts = ["'" + template.replace("'", "''") + "'"]
-    expr = parts[0]
-    for name, column in columns.items():
-        expr = expr.replace("{" + name + "}", f"' || CAST({column} AS STRING) || '")
-    return f"({expr})"
+def filled(column: str, **keys: str) -> str:
+    """SQL text of a template column with ``{x}`` replaced by the value of column ``x``."""
+    for name, key in keys.items():
+        column = f"replace({column}, '{{{name}}}', CAST({key} AS STRING))"
+    return column
 
 
 def pick(index: str, options: list[str]) -> str:
@@ -119,34 +141,34 @@ METHODS = (
     ("plain", "int f() { return {p}; }"),
 )
 
-_NONE = "CAST(NULL AS STRING)"
-
-
-def _facts() -> Derivation:
-    fill = lambda t: literal(t, p="l_partkey", o="l_orderkey")
-    v, c, m = len(VARS), len(CALLS), len(METHODS)
-    none = lambda n: [_NONE] * n
-    return Derivation(
-        "lineitem",
-        {
-            "repo": "'repo-' || CAST(l_suppkey AS STRING)",
-            "path": "'src/m' || CAST(l_suppkey AS STRING) || '/F' || CAST(l_orderkey AS STRING) || '.java'",
-            "ordinal": "CAST(l_partkey AS INT)",
-            "kind": f"CASE WHEN t < {v} THEN 'var' WHEN t < {v + c} THEN 'call' ELSE 'method' END",
-            "line": "CAST(l_linenumber AS INT)",
-            "type": pick("t", [fill(x[0]) for x in VARS] + none(c + m)),
-            "name": pick("t", [fill(x[1]) for x in VARS + CALLS] + [fill(x[0]) for x in METHODS]),
-            "init": pick("t", [fill(x[2]) for x in VARS] + none(c + m)),
-            "scope": pick("t", none(v) + [fill(x[0]) for x in CALLS] + none(m)),
-            "arg0": pick("t", none(v) + [fill(x[2]) for x in CALLS] + none(m)),
-            "n_args": pick("t", ["CAST(NULL AS INT)"] * v + [str(x[3]) for x in CALLS] + ["CAST(NULL AS INT)"] * m),
-            "text": pick("t", none(v + c) + [fill(x[1]) for x in METHODS]),
-        },
-        {"t": f"(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % {v + c + m}"},
-    )
+_FACT_ROWS = (
+    *[("var", t, n, i, None, None, None, None) for t, n, i in VARS],
+    *[("call", None, n, None, s, a, k, None) for s, n, a, k in CALLS],
+    *[("method", None, n, None, None, None, None, x) for n, x in METHODS],
+)
+_PART = dict(p="l_partkey", o="l_orderkey")
 
+FACTS = Derivation(
+    "lineitem",
+    {
+        "repo": "'repo-' || CAST(l_suppkey AS STRING)",
+        "path": "'src/m' || CAST(l_suppkey AS STRING) || '/F' || CAST(l_orderkey AS STRING) || '.java'",
+        "ordinal": "CAST(l_partkey AS INT)",
+        "kind": "kind",
+        "line": "CAST(l_linenumber AS INT)",
+        "type": "type_text",
+        "name": "name_text",
+        "init": filled("init_text", **_PART),
+        "scope": filled("scope_text", **_PART),
+        "arg0": filled("arg_text", **_PART),
+        "n_args": "args",
+        "text": filled("body_text", **_PART),
+    },
+    f"(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % {len(_FACT_ROWS)}",
+    _FACT_ROWS,
+    ("kind", "type_text", "name_text", "init_text", "scope_text", "arg_text", "args", "body_text"),
+)
 
-FACTS = _facts()
 
 # --- Java source text, from orders and documents ------------------------------------
 
@@ -283,13 +305,11 @@ ORDER_FILES = Derivation(
     {
         "repo": "'repo-' || CAST(o_custkey % 10 AS STRING)",
         "path": "'src/main/Order' || CAST(o_orderkey AS STRING) || '.java'",
-        "content": literal(_FILE_HEAD, o="o_orderkey")
-        + " || "
-        + pick("t", [literal(body, o="o_orderkey") for body, _, _ in SOURCES])
-        + " || "
-        + literal(_FILE_TAIL),
+        "content": filled("java", o="o_orderkey"),
     },
-    {"t": f"o_orderkey % {len(SOURCES)}"},
+    f"o_orderkey % {len(SOURCES)}",
+    tuple((_FILE_HEAD + body + _FILE_TAIL,) for body, _, _ in SOURCES),
+    ("java",),
 )
 
 #: A whole document as a comment and again as a text block, with code between and after.
@@ -305,7 +325,6 @@ DOCUMENT_FILES = Derivation(
             "  String query = \"SELECT \" + note;\n}\n'"
         ),
     },
-    {},
 )
 
 # --- runtime events, from events ----------------------------------------------------
@@ -349,7 +368,7 @@ EVENT_COLUMNS = {
     "location": "'host-' || " + _USER,
     "stack_trace": "'com.example.C' || " + _USER + " || '.run()'",
 }
-EVENTS = Derivation("events", EVENT_COLUMNS, {})
+EVENTS = Derivation("events", EVENT_COLUMNS)
 
 
 def events_of(kind: str, *columns: str) -> str:
@@ -360,7 +379,6 @@ def events_of(kind: str, *columns: str) -> str:
 METRICS = Derivation(
     "events",
     {"ts": "CAST(ts AS TIMESTAMP)", "used": "value", "max": "CAST(500.0 AS DOUBLE)", "location": "'host-' || " + _USER},
-    {},
 )
 
 # --- vulnerability feed, from documents ---------------------------------------------
@@ -408,7 +426,6 @@ NVD_DOCUMENTS = Derivation(
             "|| CAST(doc_id AS STRING) || '\"},{\"url\":\"\"}]}}]}'"
         ),
     },
-    {},
 )
 
 # --- dependencies and advisories, scanner reports, fix requests -----------------------
@@ -420,7 +437,6 @@ DEPENDENCIES = Derivation(
         "name": "'lib-' || CAST(l_partkey AS STRING)",
         "version": "'1.' || CAST(CAST(l_quantity AS INT) AS STRING)",
     },
-    {},
 )
 ADVISORIES = Derivation(
     "part",
@@ -431,7 +447,6 @@ ADVISORIES = Derivation(
         "cvss": "CASE WHEN p_partkey % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_partkey % 101 AS DOUBLE) / 10.0 END",
         "description": "p_name",
     },
-    {},
 )
 
 VIOLATIONS = Derivation(
@@ -444,7 +459,6 @@ VIOLATIONS = Derivation(
         "level": "CAST(l_partkey % 5 AS INT)",
         "description": "'violation ' || CAST(l_partkey AS STRING)",
     },
-    {},
 )
 
 #: (category, line) pairs covering every branch of every rewrite.
@@ -484,13 +498,15 @@ FIX_REQUESTS = Derivation(
     {
         "finding_id": "'f' || CAST(p_partkey AS STRING)",
         "path": "'P' || CAST(p_partkey AS STRING) || '.java'",
-        "category": pick("t", [f"'{c}'" for c, _ in FIX_LINES]),
-        "line_text": pick("t", [literal(x, p="p_partkey") for _, x in FIX_LINES]),
+        "category": "category",
+        "line_text": filled("line", p="p_partkey"),
         "location": (
             "CASE WHEN p_partkey % 17 = 0 THEN 'P.java:0' WHEN p_partkey % 19 = 0 THEN 'P.java:9' "
             "WHEN p_partkey % 23 = 0 THEN 'line 2' ELSE 'P.java:2' END"
         ),
-        "content": "'class P {\n' || " + pick("t", [literal(x, p="p_partkey") for _, x in FIX_LINES]) + " || '\n}\n\n\n'",
+        "content": "'class P {\n' || " + filled("line", p="p_partkey") + " || '\n}\n\n\n'",
     },
-    {"t": f"(p_partkey * 5 + p_size) % {len(FIX_LINES)}"},
+    f"(p_partkey * 5 + p_size) % {len(FIX_LINES)}",
+    FIX_LINES,
+    ("category", "line"),
 )

@@ -377,7 +377,8 @@ def _(spark, folder):
     return rows.withColumn("line", tx.line_of_location(_c("severity"))).drop("severity")
 
 
-_FACT_ROWS = "(t, line, kind, type, name, init, scope, arg0, n_args)"
+def _filled(template: str | None) -> str:
+    return "CAST(NULL AS STRING)" if template is None else b.filled(o.text(template), o="o_orderkey")
 
 
 def _source_facts_sql() -> str:
@@ -386,7 +387,7 @@ def _source_facts_sql() -> str:
     for t, (_, facts, _) in enumerate(b.SOURCES):
         rows = [(5, "method", None, "run", None, None, None, None), *facts]
         for line, kind, *texts, n_args in rows:
-            type_, name, init, scope, arg0 = (b.literal(x, o="o_orderkey") for x in texts)
+            type_, name, init, scope, arg0 = (_filled(x) for x in texts)
             arms.append(
                 f"SELECT {head} AS path, {line} AS line, '{kind}' AS kind, {type_} AS type, {name} AS name, {init} AS init, "
                 f"{scope} AS scope, {arg0} AS arg0, {'CAST(NULL AS INTEGER)' if n_args is None else n_args} AS n_args "
