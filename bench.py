@@ -19,21 +19,16 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = {
     "static_rules_all": "lineitem",
     "b07_code_facts": "orders",
-    "scan_source_text": "orders",
     "scan_whole_documents": "documents",
     "h11_scan_gate_from_text": "orders",
     "h11_scan_results": "lineitem",
     "runtime_rules_all": "events",
-    "h12_h13_analysis_responses": "events",
     "e08_e09_scores": "lineitem",
     "f02_f04_f10_scheduled_actions": "lineitem",
-    "f07_f08_alerts": "lineitem",
-    "h17_block_list": "lineitem",
     "l04_is_blocked": "events",
     "l06_finding_cve_correlation": "lineitem",
     "i01_i07_project_cves": "documents",
     "i11_dependency_check": "lineitem",
-    "g01_g10_fixed_lines": "part",
     "g12_fixed_line_pairs": "part",
     "a10_sarif_report": "lineitem",
 }

@@ -8,7 +8,7 @@ window, no shuffle, no Python. The steps are
    the nearest marker on either side, so no running count over tokens is needed.
 2. **Armour literals.** Inside string literals and comments the characters that carry
    structure are swapped for Unicode noncharacters, one for one. From here on a
-   bracket, quote, semicolon or equals sign is code, and ``translate`` undoes the swap.
+   bracket, quote, semicolon or equals sign is code, and the swap can be undone.
 3. **Match.** Declarations and methods are matched forwards; calls are matched on the
    reversed text, because a call's scope lies left of its name and ends where the
    chain starts. Matches sit in lookaheads, so nested ones are found as well.
@@ -33,12 +33,14 @@ _BREAK = chr(0xFDEA)
 _OPEN_COMMENT, _CLOSE_COMMENT = chr(0xFDEE), chr(0xFDEF)
 _INTERNAL = "".join(chr(c) for c in range(0xFDD0, 0xFDF0))
 
-_MARKER_RUN = _DIGITS + _MARK
 _MARKER_CHARS = _DIGITS[0] + "-" + _MARK
 _NUM = f"[{_DIGITS[0]}-{_DIGITS[9]}]"
-_W = rf"[\s{_MARKER_CHARS}]"
-_WORD = r"[\p{L}\p{N}_$]"
-_ID = rf"[\p{{L}}_$]{_WORD}*+"
+# Classes of plain characters and one range: Java tests those by table, where \s and
+# \p{L} go through a chain of predicates. Letters beyond ASCII count as identifiers.
+_LETTERS = chr(0xAA) + "-" + chr(0xFDCF)
+_W = rf"[ \t\n\r\f\x0B{_MARKER_CHARS}]"
+_WORD = f"[A-Za-z0-9_${_LETTERS}]"
+_ID = f"[A-Za-z_${_LETTERS}]{_WORD}*+"
 _TAIL = rf"[^{_MARK}]*+{_MARK}{_NUM}++"  # up to and including the next marker
 _STR = "\"[^\"]*+\"|'[^']*+'"
 
@@ -47,7 +49,7 @@ _LEX = (
     r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     rf"|//[^\n]*(?={_MARK}{_NUM}++(?:\n|\z))"
-    r"|/\*[\s\S]*?\*/"
+    r"|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
 )
 
 
@@ -86,7 +88,7 @@ _INIT = _expression(",;")
 _ARGUMENT = _expression(",")
 _DECLARATOR = rf"{_ID}(?:{_W}*+\[{_W}*+\])*+(?:{_W}*+=(?!=){_INIT})?+"
 _DECLARATION = (
-    rf"(?<![\p{{L}}\p{{N}}_$.])(?=({_TYPE}{_W}*+{_DECLARATOR}"
+    rf"(?<![A-Za-z0-9_$.{_LETTERS}])(?=({_TYPE}{_W}*+{_DECLARATOR}"
     rf"(?:{_W}*+,{_W}*+{_DECLARATOR})*+{_W}*+[;)]{_TAIL}))"
 )
 _DECLARATOR_PARTS = (
@@ -130,7 +132,7 @@ _CALL_BODY = (
     rf"(?:{_W}*+(?:{_GENERIC_R}{_W}*+)?+\.(?!\.){_W}*+({_CHAIN})"
     # Without a scope, an identifier, bracket or '>' to the left means a declaration or
     # a constructor, unless it is a word that starts an expression.
-    rf"|(?!{_W}*+\.)(?:(?={_W}++{_EXPRESSION_WORDS}(?!{_WORD}))|(?!{_W}*+[\p{{L}}\p{{N}}_$>\]])))"
+    rf"|(?!{_W}*+\.)(?:(?={_W}++{_EXPRESSION_WORDS}(?!{_WORD}))|(?!{_W}*+[A-Za-z0-9_$>\]{_LETTERS}])))"
     rf"(?!{_W}*+@)[^{_MARK}]*?({_NUM}++){_MARK}"
 )
 _CALL = (
@@ -157,8 +159,20 @@ def _mark_line(line: Column, index: Column) -> Column:
     return F.concat(mark, F.when(signs, inner).otherwise(line), mark)
 
 
+def _swap(text: Column, old: str, new: str) -> Column:
+    """One character for another, pair by pair. On long text a chain of byte searches is
+    many times faster than ``translate``, which looks up every character."""
+    for before, after in zip(old, new):
+        text = F.replace(text, F.lit(before), F.lit(after))
+    return text
+
+
+def _unmarked(code: Column) -> Column:
+    return F.regexp_replace(code, f"[{_MARKER_CHARS}]++", "")
+
+
 def _armour(literal: Column) -> Column:
-    hidden = lambda c: F.translate(c, _STRUCTURE + _DIGITS + _MARK, _ARMOUR)
+    hidden = lambda c: _swap(_unmarked(c), _STRUCTURE, _ARMOUR)
     first, last = F.substr(literal, F.lit(1), F.lit(1)), F.right(literal, F.lit(1))
     middle = F.substr(literal, F.lit(2), F.length(literal) - 2)
     return F.when(first.isin('"', "'"), F.concat(first, hidden(middle), last)).otherwise(
@@ -168,15 +182,18 @@ def _armour(literal: Column) -> Column:
 
 def _reveal(code: Column) -> Column:
     """Source text of a piece of armoured code, its own layout kept."""
-    return F.translate(code, _ARMOUR + _MARKER_RUN + _OPEN_COMMENT + _CLOSE_COMMENT, _STRUCTURE)
+    plain = F.regexp_replace(code, f"[{_MARKER_CHARS}{_OPEN_COMMENT}{_CLOSE_COMMENT}]++", "")
+    return F.when(
+        code.rlike(f"[{_INTERNAL[0]}-{_INTERNAL[-1]}]"), _swap(plain, _ARMOUR, _STRUCTURE)
+    ).otherwise(code)
 
 
 def _expression_text(code: Column) -> Column:
     """Source text of an expression, laid out on one line with plain spacing."""
-    flat = F.regexp_replace(F.translate(code, _MARKER_RUN, ""), r"\s++", " ")
+    flat = F.regexp_replace(_unmarked(code), r"\s++", " ")
     tidy = F.regexp_replace(
         flat,
-        r" (?=[)\],]|\. ?[\p{L}_$<])|(?<=[(\[]) |(?<=\.) (?=[\p{L}_$<])",
+        r" (?=[)\],]|\. ?[A-Za-z_$<])|(?<=[(\[]) |(?<=\.) (?=[A-Za-z_$<])",
         "",
     )
     return _reveal(F.when(code.rlike(_W), F.trim(tidy)).otherwise(code))
@@ -245,7 +262,8 @@ def extract_facts(
     ``method_words`` are words of which a wanted method must contain one; files with
     none of them skip the method match. Leave it out to get every method.
     """
-    lines = F.split(F.translate("content", _INTERNAL, ""), "\n")
+    clean = F.regexp_replace("content", f"[{_INTERNAL[0]}-{_INTERNAL[-1]}]++", "")
+    lines = F.split(clean, "\n")
     marked = files.select(
         *keep,
         "path",
@@ -315,7 +333,7 @@ def extract_facts(
         )
         | is_method
     )
-    not_blank = lambda a: F.trim(F.translate(a, _MARKER_RUN, "")) != ""
+    not_blank = lambda a: F.trim(_unmarked(a)) != ""
     args = F.filter(
         F.regexp_extract_all(F.reverse(part(3)), F.lit(_ARGUMENT), F.lit(0)), not_blank
     )

@@ -665,7 +665,10 @@ _RESOURCE = b.pick(
 )
 def _(spark, folder):
     resources = _table(spark, folder, "events").selectExpr("event_id", f"{_RESOURCE} AS resource")
-    return policy.is_blocked(resources, policy.block_list(_actions(spark, folder)))
+    # The block-list is a stored table: it is read three times, and built once.
+    stored = work_folder(spark, "blocked")
+    policy.block_list(_actions(spark, folder)).write.parquet(stored)
+    return policy.is_blocked(resources, spark.read.parquet(stored))
 
 
 @query(

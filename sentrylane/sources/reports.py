@@ -182,7 +182,7 @@ def report_rows(results: DataFrame, findings: DataFrame, format: str, mask: bool
         # the smallest row of a repository is one row, and then put back.
         key = F.struct("path", "line", "rule_id", "finding_id", "text")
         counted = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
-        first = rows.groupBy("repo").agg(F.min(key).alias("first"))
+        first = counted.groupBy("repo").agg(F.min(key).alias("first"))
         rows = (
             counted.join(first, "repo")
             .select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
