@@ -88,7 +88,7 @@ _INIT = _expression(",;")
 _ARGUMENT = _expression(",")
 _DECLARATOR = rf"{_ID}(?:{_W}*+\[{_W}*+\])*+(?:{_W}*+=(?!=){_INIT})?+"
 _DECLARATION = (
-    rf"(?<![A-Za-z0-9_$.{_LETTERS}])(?=({_TYPE}{_W}*+{_DECLARATOR}"
+    rf"(?<![A-Za-z0-9_$.{_LETTERS}])(?<!\.{_W}{{1,8}})(?=({_TYPE}{_W}*+{_DECLARATOR}"
     rf"(?:{_W}*+,{_W}*+{_DECLARATOR})*+{_W}*+[;)]{_TAIL}))"
 )
 _DECLARATOR_PARTS = (
@@ -120,10 +120,13 @@ _SQUARE_R = _nested(r"\]", r"\[", r"[^\[\]]")
 _GENERIC_R = ">" + "[^<>(){};=]*+(?:>" * 3 + "[^<>(){};=]*+" + "<[^<>(){};=]*+)*+" * 3 + "<"
 _EXPRESSION_WORDS = "(?:nruter|worht|esle|od|esac|tressa|dleiy)"
 _CONTROL_WORDS = "(?:nruter|worht|esle|esac|tressa|dleiy|fi|elihw|rof|hctiws|hctac)"
+_GROUP = rf"(?:\){_PARENS_R}\(|\]{_SQUARE_R}\[)"
+# Blanks are taken only together with what follows them: a chain must not reach over
+# the line marker left of its first token.
 _LINK = (
     rf"(?:{_STR}"
-    rf"|(?:(?:\){_PARENS_R}\(|\]{_SQUARE_R}\[){_W}*+)++"
-    rf"(?:(?:{_GENERIC_R}{_W}*+)?+(?!{_CONTROL_WORDS}(?!{_WORD})){_WORD}++)?+"
+    rf"|{_GROUP}(?:{_W}*+{_GROUP})*+"
+    rf"(?:{_W}*+(?:{_GENERIC_R}{_W}*+)?+(?!{_CONTROL_WORDS}(?!{_WORD})){_WORD}++)?+"
     rf"|(?:{_GENERIC_R}{_W}*+)?+{_WORD}++)"
 )
 _CHAIN = rf"{_LINK}(?:{_W}*+\.{_W}*+{_LINK})*+(?:{_W}++wen(?!{_WORD}))?+"

@@ -30,7 +30,8 @@ def read_repository(spark: SparkSession, *roots: str) -> DataFrame:
     """``(path, content)`` of every scannable file below ``roots``.
 
     The binary source lists paths first and reads bytes only for rows that survive the
-    path filters, so skipped folders cost a listing and nothing more.
+    path filters, so skipped folders cost a listing and nothing more. A file that is not
+    UTF-8 text has null content and yields no facts.
     """
     files = (
         spark.read.format("binaryFile")
@@ -39,7 +40,7 @@ def read_repository(spark: SparkSession, *roots: str) -> DataFrame:
         .load(list(roots))
     )
     return files.filter(scannable(F.col("path"))).select(
-        "path", F.decode("content", F.lit("UTF-8")).alias("content")
+        "path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")
     )
 
 
