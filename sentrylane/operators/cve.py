@@ -6,6 +6,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.functions.severity import cvss_severity
+from sentrylane.session import broadcast_if_small
 
 _c = F.col
 
@@ -128,9 +129,10 @@ def correlate(findings: DataFrame, cves: DataFrame) -> DataFrame:
 
     CVEs are summed up per CWE id before the join: a few ids cover most findings and
     most CVEs, and pairing them would multiply the two. The summary has one row per
-    CWE id, which AQE broadcasts by its measured size.
+    CWE id; its size is counted, and findings stay where they are if it is small.
     """
-    return findings.join(weakness_summary(cves), "cwe_id", "left").withColumn(
+    summary = broadcast_if_small(weakness_summary(cves))
+    return findings.join(summary, "cwe_id", "left").withColumn(
         "n_cves", F.coalesce("n_cves", F.lit(0))
     )
 

@@ -938,11 +938,14 @@ def _(spark, folder):
 
 
 def _labelled(spark, folder) -> DataFrame:
-    """Findings as training rows: the detector's severity is the label."""
+    """Findings as training rows: the detector's severity is the label. They are written
+    first, as fitting reads them several times."""
     rows = risk.with_features(_all(spark, folder)).select(
         "category", "confidence", "network", "auth", "cvss", _c("severity").alias("label")
     )
-    return rows.unionByName(dimensions.seed_training_rows(spark))
+    stored = work_folder(spark, "training")
+    rows.unionByName(dimensions.seed_training_rows(spark)).write.parquet(stored)
+    return spark.read.parquet(stored)
 
 
 @query("e04_e05_e10_risk_model")

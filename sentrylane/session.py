@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Settings the operators rely on. Most are Spark 4 defaults, named here because
 #: the plans depend on them: AQE turns small join sides into broadcasts by their
@@ -42,3 +42,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix=f"sentrylane-{name}-")
     return f"{shared.rstrip('/')}/sentrylane/{name}-{os.urandom(8).hex()}"
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark ``table`` for broadcast if it is counted to have at most ``max_rows`` rows.
+
+    For aggregates with few groups, whose size Spark cannot estimate beforehand: left
+    alone, the other side would be shuffled by a handful of keys first. The count stops
+    at the bound. A larger table is joined as Spark sees fit.
+    """
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

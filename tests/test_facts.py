@@ -68,15 +68,25 @@ CALLS = [
 ]
 
 
+@pytest.fixture(scope="module")
+def by_body(spark):
+    """Facts of every body above, extracted in one job."""
+    bodies = [body for body, _ in VARS + CALLS]
+    files = spark.createDataFrame([(b, in_method(b)) for b in bodies], "path string, content string")
+    found = {b: [] for b in bodies}
+    for r in extract_facts(files).collect():
+        found[r.path].append(r)
+    return found
+
+
 @pytest.mark.parametrize("body, want", VARS)
-def test_declarations(spark, body, want):
-    assert shown(facts(spark, in_method(body)), "var") == want
+def test_declarations(by_body, body, want):
+    assert sorted(shown(by_body[body], "var")) == sorted(want)
 
 
 @pytest.mark.parametrize("body, want", CALLS)
-def test_calls(spark, body, want):
-    got = shown(facts(spark, in_method(body)), "call")
-    assert sorted(got, key=str) == sorted(want, key=str)
+def test_calls(by_body, body, want):
+    assert sorted(shown(by_body[body], "call"), key=str) == sorted(want, key=str)
 
 
 def test_methods_and_constructors(spark):
