@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sentrylane import schemas
+from sentrylane.sources.dimensions import literal_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -60,19 +63,10 @@ def hits(rules: Sequence[Rule], default_place: Column) -> Column:
 def rule_dimension(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """What each rule emits, as a literal relation of ``len(rules)`` rows."""
     rows = [
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.category).alias("category"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(r.confidence).alias("confidence"),
-            F.lit(r.cwe_id).cast("string").alias("cwe_id"),
-            F.lit(r.auto_fix).alias("auto_fix"),
-            F.lit(r.description).alias("rule_text"),
-            F.array(*[F.lit(t) for t in r.recommendations]).alias("recommendations"),
-        )
+        (r.rule_id, r.category, r.severity, r.confidence, r.cwe_id, r.auto_fix, r.description, r.recommendations)
         for r in rules
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return literal_table(spark, rows, schemas.RULE_OUTPUT)
 
 
 def explode_hits(df: DataFrame, array: Column, columns: Sequence[str]) -> DataFrame:

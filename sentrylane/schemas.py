@@ -56,6 +56,12 @@ FINDINGS = _struct(
     rule_id=_S, agent=_S, path=_S, line=_I, match_key=_S,
 )
 
+#: What a rule emits, by rule id.
+RULE_OUTPUT = _struct(
+    rule_id=_S, category=_S, severity=_S, confidence=_D, cwe_id=_S, auto_fix=_B,
+    rule_text=_S, recommendations=_STRINGS,
+)
+
 BEHAVIOUR_PATTERNS = _struct(
     name=_S, description=_S, severity=_S, confidence=_D, recommendations=_STRINGS,
     blockable=_B,
