@@ -161,7 +161,7 @@ def joined_bytes(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), starts
 
 
-def pieces(lengths: list[int], most: int):
+def ranges(lengths: list[int], most: int):
     """Ranges of consecutive values whose lengths add up to about ``most``."""
     at = 0
     while at < len(lengths):
@@ -172,6 +172,3 @@ def pieces(lengths: list[int], most: int):
         yield at, end
         at = end
 
-
-def frame_of(columns: dict) -> pd.DataFrame:
-    return pd.DataFrame(columns, copy=False)
