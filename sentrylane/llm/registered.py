@@ -1,6 +1,6 @@
 """Queries of this subpackage and their checking SQL."""
 
-from sentrylane.llm import chat, exact_dedup, html_text, minhash_trees, mixing, pieces, quality, secret_scan, sharding
+from sentrylane.llm import chat, exact_dedup, html_text, minhash_trees, mixing, pieces, quality, run_index, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_secret_scans": secret_scan.op3_secret_scans,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_run_index_dedup": run_index.op6_run_index_dedup,
     "op7_minhash_near_dedup": minhash_trees.op7_minhash_near_dedup,
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_mixing": mixing.op9_mixing,
