@@ -48,6 +48,26 @@ def row_key(id_col: str, text_col: str) -> list[F.Column]:
     ]
 
 
+def free(frame: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front, such that ``frame`` has no such column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def met(docs: DataFrame, keys: DataFrame, how: str, once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` joined with ``keys`` by the row key, in the columns of ``docs`` and those of ``keys`` besides.
+
+    ``once`` leaves one of the rows that are alike in id and text.
+    """
+    names = [free(docs, "_key"), free(docs, "_hash")]
+    marked = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), names)])
+    if once:
+        marked = marked.dropDuplicates(names)
+    return marked.join(keys.withColumnsRenamed({"_key": names[0], "_hash": names[1]}), names, how).drop(*names)
+
+
 def running(frame: DataFrame, group: str, order: list[str], amount: str, name: str) -> DataFrame:
     """``frame`` with the sum of ``amount`` over the rows before, within ``group``, as ``name``.
 

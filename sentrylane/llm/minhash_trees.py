@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrylane.llm.common import components, joined_bytes, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
+from sentrylane.llm.common import components, joined_bytes, met, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
@@ -382,7 +382,7 @@ def near_groups(
         labels = labels.union(_across(large.selectExpr("component", "rep", f"transform({lists}, v -> CAST(v AS LONG)) AS _list"), similar))
     labelled = stored(reps.join(labels, "rep", "left").select(*prints, F.coalesce("label", "rep").alias("label"), "_least"), "labels")
     least = labelled.groupBy("label").agg(F.min("_least").alias("_first"))
-    of_set = labelled.join(least, "label").select(*prints, "_first")
+    of_set = stored(labelled.join(least, "label").select(*prints, "_first"), "first")
     return rows.drop("_sig").join(of_set, prints, "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("_first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -394,7 +394,7 @@ def near_groups(
 def drop_near(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id."""
     keep = near_groups(docs, words, similar).where("kept").select("_key", "_hash")
-    return docs.select("*", *row_key("doc_id", "text")).join(keep, ["_key", "_hash"], "left_semi").drop("_key", "_hash")
+    return met(docs, keep, "left_semi")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

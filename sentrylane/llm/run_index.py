@@ -38,7 +38,8 @@ def suffix_levels(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tup
         here[~alive] = 0
         key = key << 9 | here
         alive &= here != 0
-    order = np.argsort(key)
+    # Stable: of equal ends of texts the earlier comes first, as it does one symbol further on.
+    order = np.argsort(key, kind="stable")
     key, whole = key[order], alive[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | ~whole[1:] | ~whole[:-1]]
     rank = np.empty(n, np.int32)

@@ -73,7 +73,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     placed = ranked.join(plan, "bytes").select(
         "group", "bytes", F.filter("runs", fits)[0]["shard"].alias("shard"),
     )
-    dealt = rows.join(placed, "group").select(
+    dealt = rows.join(stored(placed, "placed"), "group").select(
         "doc_id", F.col("doc_id").isNull().alias("_no"), "size", "text_crc32", "group", (-F.col("bytes")).alias("_bytes"), "shard", F.lit(1).cast("long").alias("one"),
     )
     return running(dealt, "shard", ["_bytes", "group", "_no", "doc_id"], "one", "slot").select(
