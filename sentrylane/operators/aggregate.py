@@ -39,8 +39,13 @@ def min_severity(findings: DataFrame, severity: str) -> DataFrame:
     return findings.filter(severity_weight(F.col("severity")) >= SEVERITY_WEIGHTS[severity])
 
 
+def passes(config: ScanConfiguration) -> Column:
+    least = SEVERITY_WEIGHTS[config.min_severity]
+    return (F.col("confidence") >= config.min_confidence) & (severity_weight(F.col("severity")) >= least)
+
+
 def filter_findings(findings: DataFrame, config: ScanConfiguration) -> DataFrame:
-    return min_severity(min_confidence(findings, config.min_confidence), config.min_severity)
+    return findings.filter(passes(config))
 
 
 def _is(*severities: str) -> Column:
@@ -97,18 +102,25 @@ def scan_results(
     """One row per repository of ``repos(repo[, failed])``, findings or not.
 
     ``findings`` has a ``repo`` column. A repository whose scan failed reports nothing
-    and fails the gate.
+    and fails the gate; so does one with a file that could not be read, which ``findings``
+    may list under the rule ``UNREAD``.
     """
+    unread = F.lit(False)
+    if "rule_id" in findings.columns:
+        unread = F.col("rule_id").eqNullSafe("UNREAD")
+    kept = findings.filter(unread | passes(config)).withColumn("severity", F.when(~unread, F.col("severity")))
     per_repo = (
-        filter_findings(findings, config)
-        .groupBy("repo")
+        kept.groupBy("repo")
         .agg(
+            F.bool_or(unread).alias("unread"),
             F.count("*").alias("n"),
             severity_count_map().alias("counts"),
             should_fail(config).alias("gate"),
         )
     )
-    failed = F.coalesce("failed", F.lit(False)) if "failed" in repos.columns else F.lit(False)
+    failed = F.coalesce("unread", F.lit(False))
+    if "failed" in repos.columns:
+        failed = failed | F.coalesce("failed", F.lit(False))
     empty = F.create_map().cast("map<string,bigint>")
     return repos.join(per_repo, "repo", "left").select(
         "repo",

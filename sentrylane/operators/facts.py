@@ -1,372 +1,87 @@
-r"""Code facts from Java text, as one map-only stage of built-in functions.
+"""Code facts from Java text: declarations, calls and methods.
 
-A file is one row, so everything happens inside that row: no explode of tokens, no
-window, no shuffle, no Python. The steps are
-
-1. **Mark lines.** Every line gets its number at both ends, and again around block
-   comment and text-block delimiters. After that, the line of any piece of code is
-   the nearest marker on either side, so no running count over tokens is needed.
-2. **Armour literals.** Inside string literals and comments the characters that carry
-   structure are swapped for Unicode noncharacters, one for one. From here on a
-   bracket, quote, semicolon or equals sign is code, and the swap can be undone.
-3. **Match.** Declarations and methods are matched forwards; calls are matched on the
-   reversed text, because a call's scope lies left of its name and ends where the
-   chain starts. Matches sit in lookaheads, so nested ones are found as well.
-
-Every repetition is possessive: Java runs those in a loop, not by recursion, so a
-literal or comment of any length cannot overflow the stack.
-
-Known gaps, by design with no fact rather than a wrong one: text that does not
-tokenise or balance yields nothing, and neither does nesting beyond ``_DEPTH``.
+A file is one row and goes through one map stage: no shuffle, no collect. The lexical pass
+over a text is ``functions/java_text.py``, run over Arrow batches; it is linear in the text
+and has no limit of depth, length or layout. Everything behind it (rules, gates, reports)
+is column expressions.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-_DEPTH = 14
-
-# Noncharacters reserved by Unicode for process-internal use.
-_DIGITS = "".join(chr(0xFDD0 + i) for i in range(10))
-_MARK = chr(0xFDDA)
-_STRUCTURE = "(){}[];=\"'\\ \t\n"
-_ARMOUR = "".join(chr(0xFDDB + i) for i in range(len(_STRUCTURE)))
-_BREAK = chr(0xFDEA)
-_OPEN_COMMENT, _CLOSE_COMMENT = chr(0xFDEE), chr(0xFDEF)
-_INTERNAL = "".join(chr(c) for c in range(0xFDD0, 0xFDF0))
-
-_MARKER_CHARS = _DIGITS[0] + "-" + _MARK
-_NUM = f"[{_DIGITS[0]}-{_DIGITS[9]}]"
-# Classes of plain characters and one range: Java tests those by table, where \s and
-# \p{L} go through a chain of predicates. Letters beyond ASCII count as identifiers.
-_LETTERS = chr(0xAA) + "-" + chr(0xFDCF)
-_W = rf"[ \t\n\r\f\x0B{_MARKER_CHARS}]"
-_WORD = f"[A-Za-z0-9_${_LETTERS}]"
-_ID = f"[A-Za-z_${_LETTERS}]{_WORD}*+"
-_TAIL = rf"[^{_MARK}]*+{_MARK}{_NUM}++"  # up to and including the next marker
-_STR = "\"[^\"]*+\"|'[^']*+'"
-
-_LEX = (
-    r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
-    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-    rf"|//[^\n]*(?={_MARK}{_NUM}++(?:\n|\z))"
-    r"|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
-)
-
-
-def _nested(opening: str, closing: str, other: str) -> str:
-    """Text balanced in one pair of brackets, down to ``_DEPTH`` levels."""
-    level = f"{other}*+"
-    for _ in range(_DEPTH):
-        level = f"{other}*+(?:{opening}{level}{closing}{other}*+)*+"
-    return level
-
-
-_PARENS = _nested(r"\(", r"\)", r"[^()]")
-_SQUARE = _nested(r"\[", r"\]", r"[^\[\]]")
-_CURLY = _nested(r"\{", r"\}", r"[^{}]")
-_GENERIC = "<" + "[^<>(){};=]*+(?:<" * 3 + "[^<>(){};=]*+" + ">[^<>(){};=]*+)*+" * 3 + ">"
-
-_NOT_TYPE = (
-    "(?!(?:return|throw|new|else|case|assert|yield|package|import|instanceof|do|goto"
-    "|extends|implements|throws|class|interface|enum|if|while|for|switch|try|catch"
-    rf"|synchronized)(?!{_WORD}))"
-)
-_TYPE = (
-    rf"{_NOT_TYPE}{_ID}(?:{_W}*+\.{_W}*+{_ID})*+(?:{_W}*+{_GENERIC})?+"
-    rf"(?:{_W}*+\.{_W}*+{_ID})*+(?:{_W}*+\[{_W}*+\])*+"
-)
-
-
-def _expression(stops: str) -> str:
-    return (
-        rf"(?:[^{stops}(){{}}\[\]<\"']++|{_STR}|\({_PARENS}\)|\[{_SQUARE}\]"
-        rf"|\{{{_CURLY}\}}|{_GENERIC}(?={_W}*+[(\[:{{])|<)++"
-    )
-
-
-_INIT = _expression(",;")
-_ARGUMENT = _expression(",")
-_DECLARATOR = rf"{_ID}(?:{_W}*+\[{_W}*+\])*+(?:{_W}*+=(?!=){_INIT})?+"
-_DECLARATION = (
-    rf"(?<![A-Za-z0-9_$.{_LETTERS}])(?<!\.{_W}{{1,8}})(?=({_TYPE}{_W}*+{_DECLARATOR}"
-    rf"(?:{_W}*+,{_W}*+{_DECLARATOR})*+{_W}*+[;)]{_TAIL}))"
-)
-_DECLARATOR_PARTS = (
-    rf"({_ID})(?=[^{_MARK}]*+{_MARK}({_NUM}++))(?:{_W}*+\[{_W}*+\])*+{_W}*+"
-    rf"(?:=(?!=)({_INIT}))?+"
-)
-_EACH_DECLARATOR = (
-    rf"(?:\A|\G{_W}*+,{_W}*+)(?=({_DECLARATOR}{_TAIL})){_DECLARATOR}"
-)
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
-_MODIFIERS = (
-    "(?:public|protected|private|static|final|abstract|default|native|synchronized"
-    "|strictfp)"
-)
-_METHOD_BODY = (
-    rf"(?:@{_W}*+{_ID}(?:\.{_ID})*+(?:{_W}*+\({_PARENS}\))?+{_W}*+)*+"
-    rf"(?:{_MODIFIERS}{_W}++)*+(?:{_GENERIC}{_W}*+)?+{_TYPE}{_W}*+{_NOT_TYPE}({_ID}){_W}*+"
-    rf"\({_PARENS}\)(?:{_W}*+\[{_W}*+\])*+(?:{_W}*+throws{_W}[^{{}};]*+)?+"
-    rf"{_W}*+\{{{_CURLY}\}}"
-)
-_METHOD = (
-    rf"[;{{}}](?:{_W}|{_OPEN_COMMENT}[^{_CLOSE_COMMENT}]*+{_CLOSE_COMMENT})*+"
-    rf"(?=({_METHOD_BODY}{_TAIL}))"
-)
+from sentrylane.functions.java_text import JavaText, Unreadable
 
-# Reversed text: ')' opens, '(' closes, identifiers and keywords run backwards.
-_PARENS_R = _nested(r"\)", r"\(", r"[^()]")
-_SQUARE_R = _nested(r"\]", r"\[", r"[^\[\]]")
-_GENERIC_R = ">" + "[^<>(){};=]*+(?:>" * 3 + "[^<>(){};=]*+" + "<[^<>(){};=]*+)*+" * 3 + "<"
-_EXPRESSION_WORDS = "(?:nruter|worht|esle|od|esac|tressa|dleiy)"
-_CONTROL_WORDS = "(?:nruter|worht|esle|esac|tressa|dleiy|fi|elihw|rof|hctiws|hctac)"
-_GROUP = rf"(?:\){_PARENS_R}\(|\]{_SQUARE_R}\[)"
-# Blanks are taken only together with what follows them: a chain must not reach over
-# the line marker left of its first token.
-_LINK = (
-    rf"(?:{_STR}"
-    rf"|{_GROUP}(?:{_W}*+{_GROUP})*+"
-    rf"(?:{_W}*+(?:{_GENERIC_R}{_W}*+)?+(?!{_CONTROL_WORDS}(?!{_WORD})){_WORD}++)?+"
-    rf"|(?:{_GENERIC_R}{_W}*+)?+{_WORD}++)"
-)
-_CHAIN = rf"{_LINK}(?:{_W}*+\.{_W}*+{_LINK})*+(?:{_W}++wen(?!{_WORD}))?+"
-_CALL_BODY = (
-    rf"\)({_PARENS_R})\({_W}*+({_WORD}++)"
-    rf"(?:{_W}*+(?:{_GENERIC_R}{_W}*+)?+\.(?!\.){_W}*+({_CHAIN})"
-    # Without a scope, an identifier, bracket or '>' to the left means a declaration or
-    # a constructor, unless it is a word that starts an expression.
-    rf"|(?!{_W}*+\.)(?:(?={_W}++{_EXPRESSION_WORDS}(?!{_WORD}))|(?!{_W}*+[A-Za-z0-9_$>\]{_LETTERS}])))"
-    rf"(?!{_W}*+@)[^{_MARK}]*?({_NUM}++){_MARK}"
-)
-_CALL = (
-    r"(?=\))(?<!\{" + _W + r"{0,12})(?<!sworht" + _W + r"{1,12})"
-    rf"(?=({_CALL_BODY}))"
-)
+#: Kind of the one row of a file that could not be read, where these are asked for.
+UNREAD = "unread"
 
-_STATEMENT_WORDS = (
-    "if", "while", "for", "switch", "catch", "try", "synchronized", "return", "this",
-    "super", "new", "throw", "assert",
+_INTEGERS = ("ordinal", "line", "n_args")
+_FACT = T.StructType(
+    [
+        T.StructField(name, T.IntegerType() if name in _INTEGERS else T.StringType())
+        for name in ("ordinal", "kind", "line", "type", "name", "init", "scope", "arg0", "n_args", "text")
+    ]
 )
+_ARROW = [pa.int32() if f.name in _INTEGERS else pa.string() for f in _FACT.fields]
+#: Facts of one Arrow batch on their way out.
+_ROWS = 5000
 
 
-def _mark_line(line: Column, index: Column) -> Column:
-    """A line between two markers, with more of them around comment and block signs."""
-    mark = F.concat(
-        F.lit(_MARK), F.translate((index + 1).cast("string"), "0123456789", _DIGITS)
-    )
-    inner = line
-    for token, before, after in (('"""', True, True), ("/*", True, False), ("*/", False, True)):
-        pieces = ([mark] if before else []) + [F.lit(token)] + ([mark] if after else [])
-        inner = F.replace(inner, F.lit(token), F.concat(*pieces))
-    signs = line.contains("/*") | line.contains("*/") | line.contains('"""')
-    return F.concat(mark, F.when(signs, inner).otherwise(line), mark)
-
-
-def _swap(text: Column, old: str, new: str) -> Column:
-    """One character for another, pair by pair. On long text a chain of byte searches is
-    many times faster than ``translate``, which looks up every character."""
-    for before, after in zip(old, new):
-        text = F.replace(text, F.lit(before), F.lit(after))
-    return text
-
-
-def _unmarked(code: Column) -> Column:
-    return F.regexp_replace(code, f"[{_MARKER_CHARS}]++", "")
-
-
-def _armour(literal: Column) -> Column:
-    hidden = lambda c: _swap(_unmarked(c), _STRUCTURE, _ARMOUR)
-    first, last = F.substr(literal, F.lit(1), F.lit(1)), F.right(literal, F.lit(1))
-    middle = F.substr(literal, F.lit(2), F.length(literal) - 2)
-    return F.when(first.isin('"', "'"), F.concat(first, hidden(middle), last)).otherwise(
-        F.concat(F.lit(_OPEN_COMMENT), hidden(literal), F.lit(_CLOSE_COMMENT))
-    )
-
-
-def _reveal(code: Column) -> Column:
-    """Source text of a piece of armoured code, its own layout kept."""
-    plain = F.regexp_replace(code, f"[{_MARKER_CHARS}{_OPEN_COMMENT}{_CLOSE_COMMENT}]++", "")
-    return F.when(
-        code.rlike(f"[{_INTERNAL[0]}-{_INTERNAL[-1]}]"), _swap(plain, _ARMOUR, _STRUCTURE)
-    ).otherwise(code)
-
-
-def _expression_text(code: Column) -> Column:
-    """Source text of an expression, laid out on one line with plain spacing."""
-    flat = F.regexp_replace(_unmarked(code), r"\s++", " ")
-    tidy = F.regexp_replace(
-        flat,
-        r" (?=[)\],]|\. ?[A-Za-z_$<])|(?<=[(\[]) |(?<=\.) (?=[A-Za-z_$<])",
-        "",
-    )
-    return _reveal(F.when(code.rlike(_W), F.trim(tidy)).otherwise(code))
-
-
-def _number(digits: Column) -> Column:
-    return F.translate(digits, _DIGITS, "0123456789").try_cast("int")
-
-
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
-
-def _groups(text: Column, pattern: str, *groups: int) -> Column:
-    """Capture groups of ``pattern``, which matches from the start, in one match."""
-    picked = _BREAK.join(f"${g}" for g in groups)
-    return F.split(F.regexp_replace(text, rf"\A(?:{pattern})[\s\S]*+", picked), _BREAK)
-
-
-def _declarations(code: Column) -> Column:
-    """Per declarator: name, line digits, initialiser, type."""
-
-    def declarators(declaration: Column) -> Column:
-        kind = F.regexp_extract(declaration, rf"\A({_TYPE})", 1)
-        rest = F.regexp_replace(F.substr(declaration, F.length(kind) + 1), rf"\A{_W}++", "")
-        return F.transform(
-            F.regexp_extract_all(rest, F.lit(_EACH_DECLARATOR), F.lit(1)),
-            lambda part: F.concat(_groups(part, _DECLARATOR_PARTS, 1, 2, 3), F.array(kind)),
-        )
-
-    return F.flatten(
-        F.transform(F.regexp_extract_all(code, F.lit(_DECLARATION), F.lit(1)), declarators)
-    )
-
-
-def _calls(code: Column) -> Column:
-    """Per call, each text reversed: name, line digits, scope, arguments."""
-    return F.transform(
-        F.regexp_extract_all(F.reverse(code), F.lit(_CALL), F.lit(1)),
-        lambda call: _groups(call, _CALL_BODY, 2, 4, 3, 1),
-    )
-
-
-def _methods(code: Column) -> Column:
-    """Per method: name, line digits, text."""
-    return F.transform(
-        F.regexp_extract_all(code, F.lit(_METHOD), F.lit(1)),
-        lambda method: _groups(method, rf"(?=[^{_MARK}]*+{_MARK}({_NUM}++))({_METHOD_BODY})", 3, 1, 2),
-    )
-
-
-def _tagged(kind: str, parts: Column) -> Column:
-    return F.transform(
-        parts,
-        lambda part, i: F.struct(F.lit(kind).alias("kind"), i.alias("ordinal"), part.alias("part")),
-    )
+def _facts_of(content: str, method_words: tuple[str, ...] | None):
+    """Rows of the fact columns. Raises ``Unreadable``."""
+    java = JavaText(content)
+    for n, (line, kind, name, init) in enumerate(java.declarations()):
+        yield n, "var", line, kind, name, init, None, None, None, None
+    for n, (line, scope, name, arg0, n_args) in enumerate(java.calls()):
+        yield n, "call", line, None, name, None, scope, arg0, n_args, None
+    if method_words is None or any(w in content for w in method_words):
+        for n, (line, name, text) in enumerate(java.methods()):
+            yield n, "method", line, None, name, None, None, None, None, text
 
 
 def extract_facts(
     files: DataFrame,
     keep: tuple[str, ...] = (),
     method_words: tuple[str, ...] | None = None,
+    unread: bool = False,
 ) -> DataFrame:
     """``files(path, content)`` to the code-facts table; ``keep`` passes columns on.
 
     ``method_words`` are words of which a wanted method must contain one; files with
-    none of them skip the method match. Leave it out to get every method.
+    none of them skip the methods. Leave it out to get every method. A file without
+    content, or whose text is no Java (a literal without end, a bracket without partner),
+    has no facts; with ``unread`` it gives one row of kind ``unread``.
     """
-    clean = F.regexp_replace("content", f"[{_INTERNAL[0]}-{_INTERNAL[-1]}]++", "")
-    lines = F.split(clean, "\n")
-    marked = files.select(
-        *keep,
-        "path",
-        F.array_join(F.transform(lines, _mark_line), "\n").alias("marked"),
-    )
-    armoured = marked.select(
-        *keep,
-        "path",
-        F.array_join(
-            F.zip_with(
-                F.split("marked", _LEX),
-                F.regexp_extract_all("marked", F.lit(_LEX), F.lit(0)),
-                lambda code, literal: F.concat(code, F.coalesce(_armour(literal), F.lit(""))),
-            ),
-            "",
-        ).alias("full"),
-    )
-    stripped = armoured.select(
-        *keep,
-        "path",
-        "full",
-        F.regexp_replace(
-            "full", f"{_OPEN_COMMENT}[^{_CLOSE_COMMENT}]*+{_CLOSE_COMMENT}", " "
-        ).alias("code"),
-    )
-    code = F.col("code")
-    tokenises = (
-        code.rlike(rf"\A(?:[^\"'/]++|{_STR}|/(?!\*))*+\z")
-        & (_count(code, "{") == _count(code, "}"))
-        & (_count(code, "(") == _count(code, ")"))
-    )
-    wants_methods = (
-        F.lit(True) if method_words is None else F.col("full").rlike("|".join(method_words))
-    )
-    # posexplode_outer plus a later filter: the inner form would make the optimiser add
-    # a size() filter below the projection and so run every match twice.
-    no_parts = F.array().cast("array<array<string>>")
-    pieces = stripped.select(
-        *keep,
-        "path",
-        F.explode_outer(
-            F.when(
-                tokenises,
-                F.concat(
-                    _tagged("var", _declarations(code)),
-                    _tagged("call", _calls(code)),
-                    _tagged("method", F.when(wants_methods, _methods(F.col("full"))).otherwise(no_parts)),
-                ),
-            )
-        ).alias("piece"),
-    ).select(*keep, "path", "piece.*")
-
-    def part(i: int) -> Column:
-        return F.get("part", F.lit(i))
-
-    kind = F.col("kind")
-    is_var, is_call, is_method = kind == "var", kind == "call", kind == "method"
-    name = F.when(is_call, F.reverse(part(0))).otherwise(part(0))
-    scope = F.reverse(part(2))
-    wanted = (
-        (is_var & (part(2) != ""))
-        | (
-            is_call
-            & name.rlike(rf"\A{_ID}\z")
-            & ~((scope == "") & name.isin(*_STATEMENT_WORDS))
-            & ~scope.rlike(rf"\Anew(?!{_WORD})[^(]*\z")
-        )
-        | is_method
-    )
-    not_blank = lambda a: F.trim(_unmarked(a)) != ""
-    args = F.filter(
-        F.regexp_extract_all(F.reverse(part(3)), F.lit(_ARGUMENT), F.lit(0)), not_blank
-    )
-    return (
-        pieces.filter(wanted)
-        .select(
-            *keep,
-            "path",
-            F.col("ordinal").cast("int").alias("ordinal"),
-            "kind",
-            _number(F.when(is_call, F.reverse(part(1))).otherwise(part(1))).alias("line"),
-            F.when(is_var, _expression_text(part(3))).alias("type"),
-            name.alias("name"),
-            F.when(is_var, _expression_text(part(2))).alias("init"),
-            F.when(is_call & (scope != ""), _expression_text(scope)).alias("scope"),
-            F.when(is_call, args).alias("args"),
-            F.when(is_method, _reveal(part(2))).alias("text"),
-        )
-        .select(
-            *keep,
-            "path",
-            "ordinal",
-            "kind",
-            "line",
-            "type",
-            "name",
-            "init",
-            "scope",
-            _expression_text(F.get("args", F.lit(0))).alias("arg0"),
-            F.when(is_call, F.size("args")).alias("n_args"),
-            "text",
-        )
-    )
+    columns = [*keep, "path"]
+    rows = files.select(*columns, "content")
+    schema = T.StructType([*rows.schema.fields[:-1], *_FACT.fields])
+    names = [f.name for f in schema.fields]
+
+    def extracted(batches):
+        for b in batches:
+            given = b.select(list(range(len(columns))))
+
+            def batch(at: list[int], found: list[tuple]) -> pa.RecordBatch:
+                passed = given.take(pa.array(at, pa.int32()))
+                facts = [pa.array(v, t) for v, t in zip(zip(*found), _ARROW)]
+                return pa.RecordBatch.from_arrays([*passed.columns, *facts], names=names)
+
+            at, found, size = [], [], 0
+            for i, content in enumerate(b.column(len(columns)).to_pylist()):
+                try:
+                    if content is None:
+                        raise Unreadable("no content")
+                    for row in _facts_of(content, method_words):
+                        at.append(i)
+                        found.append(row)
+                        size += sum(len(v) for v in row if isinstance(v, str))
+                        if len(at) >= _ROWS or size > 8 << 20:
+                            yield batch(at, found)
+                            at, found, size = [], [], 0
+                except Unreadable:
+                    if unread:
+                        at.append(i)
+                        found.append((0, UNREAD, None, None, None, None, None, None, None, None))
+            if at:
+                yield batch(at, found)
+
+    return rows.mapInArrow(extracted, schema)

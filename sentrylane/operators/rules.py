@@ -33,6 +33,8 @@ class Rule:
     detail: Callable[[Column], Column] | None = field(default=None)
     #: Where the finding points; None takes the evaluator's default.
     place: Callable[[], Column] | None = field(default=None)
+    #: For rules over methods: words of which a method's file must hold one; None: any file.
+    words: tuple[str, ...] | None = field(default=None)
 
 
 _HIT = "struct<rule_id:string,match_key:string,detail:string,place:string>"

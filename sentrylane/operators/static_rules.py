@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.functions.text import contains_any, location, shorten_literal
+from sentrylane.operators.facts import UNREAD
 from sentrylane.operators.rules import Rule, explode_hits, finding_id, hits, rule_dimension
 
 # Names that mark a variable as a credential.
@@ -275,6 +276,7 @@ STATIC_RULES: tuple[Rule, ...] = (
         lambda: _c("text").contains("X509TrustManager")
         & contains_any(_c("text"), "checkClientTrusted", "checkServerTrusted")
         & _c("text").rlike(r"\{\s*\}"),
+        words=("X509TrustManager",),
     ),
     Rule(
         "S23", "method", "Insecure SSL/TLS Configuration", "HIGH", 0.95, "CWE-297", True,
@@ -285,6 +287,7 @@ STATIC_RULES: tuple[Rule, ...] = (
             "Disabling verification allows MITM attacks",
         ),
         lambda: _c("text").contains("HostnameVerifier") & _c("text").contains("return true"),
+        words=("HostnameVerifier",),
     ),
     Rule(
         "S24", "var", "Insecure Network Communication", "CRITICAL", 0.95, "CWE-319", True,
@@ -340,8 +343,16 @@ STATIC_RULES: tuple[Rule, ...] = (
     ),
 )
 
-#: A method can only trip S22 or S23 if it holds one of these words.
-METHOD_WORDS = ("X509TrustManager", "HostnameVerifier")
+#: A file that could not be read. Not a finding: ``aggregate.scan_results`` fails the scan for it.
+UNREAD_RULE = Rule(
+    "UNREAD", UNREAD, "Unreadable File", "INFO", 1.0, None, False, "File could not be read", (), lambda: F.lit(True)
+)
+
+
+def method_words(rules: Sequence[Rule]) -> tuple[str, ...] | None:
+    """Words of which a file must hold one for any method rule of ``rules``; None: any file."""
+    wanted = [r.words for r in rules if r.source == "method"]
+    return None if None in wanted else tuple(w for words in wanted for w in words)
 
 
 def static_hits(
@@ -351,7 +362,7 @@ def static_hits(
     place = location(_c("path"), _c("line"))
     by_kind = [
         F.when(_c("kind") == kind, hits(chosen, place))
-        for kind in ("var", "call", "method")
+        for kind in ("var", "call", "method", UNREAD)
         if (chosen := [r for r in rules if r.source == kind])
     ]
     return explode_hits(facts, F.coalesce(*by_kind), [*keep, "path", "line", "ordinal"])

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sentrylane.sources.code import spread
 from sentrylane.sources.dimensions import literal_table
 
 
@@ -27,7 +26,7 @@ class Derivation:
     names: tuple[str, ...] = ()
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.of(spread(spark.read.parquet(f"{folder}/{self.table}.parquet")))
+        return self.of(spark.read.parquet(f"{folder}/{self.table}.parquet"))
 
     def of(self, rows: DataFrame) -> DataFrame:
         """The same projection of a given (possibly streaming) DataFrame."""
@@ -298,6 +297,161 @@ SOURCES = (
         ),
         ((6, "S12", ""),),
     ),
+    # A hit and a near miss of each rule that no body above has.
+    (
+        '        stmt.executeQuery("SELECT " + arg);\n        stmt.executeQuery(arg);',
+        (
+            (6, 'call', None, 'executeQuery', None, 'stmt', '"SELECT " + arg', 1),
+            (7, 'call', None, 'executeQuery', None, 'stmt', 'arg', 1),
+        ),
+        ((6, 'S02', ""),),
+    ),
+    (
+        '        ObjectInputStream ois = in{o};\n        ObjectOutputStream oos = in{o};',
+        (
+            (6, 'var', 'ObjectInputStream', 'ois', 'in{o}', None, None, None),
+            (7, 'var', 'ObjectOutputStream', 'oos', 'in{o}', None, None, None),
+        ),
+        ((6, 'S04', ""),),
+    ),
+    (
+        '        XMLDecoder d = x{o};\n        XMLEncoder e = x{o};',
+        (
+            (6, 'var', 'XMLDecoder', 'd', 'x{o}', None, None, None),
+            (7, 'var', 'XMLEncoder', 'e', 'x{o}', None, None, None),
+        ),
+        ((6, 'S05', ""),),
+    ),
+    (
+        '        ((ObjectInputStream) in).readObject();\n        in.readObject();',
+        (
+            (6, 'call', None, 'readObject', None, '((ObjectInputStream) in)', None, 0),
+            (7, 'call', None, 'readObject', None, 'in', None, 0),
+        ),
+        ((6, 'S06', ""),),
+    ),
+    (
+        '        ProcessBuilder pb = new ProcessBuilder("sh" + arg);\n        ProcessBuilder pc = new ProcessBuilder(arg);',
+        (
+            (6, 'var', 'ProcessBuilder', 'pb', 'new ProcessBuilder("sh" + arg)', None, None, None),
+            (7, 'var', 'ProcessBuilder', 'pc', 'new ProcessBuilder(arg)', None, None, None),
+        ),
+        ((6, 'S09', ""),),
+    ),
+    (
+        '        doc.innerHTML(x{o});\n        doc.innerXML(x{o});',
+        (
+            (6, 'call', None, 'innerHTML', None, 'doc', 'x{o}', 1),
+            (7, 'call', None, 'innerXML', None, 'doc', 'x{o}', 1),
+        ),
+        ((6, 'S11', ""),),
+    ),
+    (
+        '        DocumentBuilderFactory f = a{o};\n        DocumentBuilder g = a{o};',
+        (
+            (6, 'var', 'DocumentBuilderFactory', 'f', 'a{o}', None, None, None),
+            (7, 'var', 'DocumentBuilder', 'g', 'a{o}', None, None, None),
+        ),
+        ((6, 'S13', ""),),
+    ),
+    (
+        '        Object f = SAXParserFactory.newInstance();\n        SAXParser p = a{o};',
+        (
+            (6, 'var', 'Object', 'f', 'SAXParserFactory.newInstance()', None, None, None),
+            (6, 'call', None, 'newInstance', None, 'SAXParserFactory', None, 0),
+            (7, 'var', 'SAXParser', 'p', 'a{o}', None, None, None),
+        ),
+        ((6, 'S14', ""),),
+    ),
+    (
+        '        XMLReader r = a{o};\n        XMLWriter w = a{o};',
+        (
+            (6, 'var', 'XMLReader', 'r', 'a{o}', None, None, None),
+            (7, 'var', 'XMLWriter', 'w', 'a{o}', None, None, None),
+        ),
+        ((6, 'S15', ""),),
+    ),
+    (
+        '        MessageDigest.getInstance("sha-1");\n        MessageDigest.getInstance("SHA-256");',
+        (
+            (6, 'call', None, 'getInstance', None, 'MessageDigest', '"sha-1"', 1),
+            (7, 'call', None, 'getInstance', None, 'MessageDigest', '"SHA-256"', 1),
+        ),
+        ((6, 'S17', ""),),
+    ),
+    (
+        '        Cipher.getInstance("DES");\n        Cipher.getInstance("DESede");',
+        (
+            (6, 'call', None, 'getInstance', None, 'Cipher', '"DES"', 1),
+            (7, 'call', None, 'getInstance', None, 'Cipher', '"DESede"', 1),
+        ),
+        ((6, 'S18', ""),),
+    ),
+    (
+        '        Cipher.getInstance("AES/ECB/NoPadding");\n        Cipher.getInstance("AES/GCM/NoPadding");',
+        (
+            (6, 'call', None, 'getInstance', None, 'Cipher', '"AES/ECB/NoPadding"', 1),
+            (7, 'call', None, 'getInstance', None, 'Cipher', '"AES/GCM/NoPadding"', 1),
+        ),
+        ((6, 'S19', ""),),
+    ),
+    (
+        '        Random.nextInt();\n        random.nextInt();',
+        (
+            (6, 'call', None, 'nextInt', None, 'Random', None, 0),
+            (7, 'call', None, 'nextInt', None, 'random', None, 0),
+        ),
+        ((6, 'S20', ""),),
+    ),
+    (
+        '        Random r = new Random();\n        SecureRandom s = new SecureRandom();',
+        (
+            (6, 'var', 'Random', 'r', 'new Random()', None, None, None),
+            (7, 'var', 'SecureRandom', 's', 'new SecureRandom()', None, None, None),
+        ),
+        ((6, 'S21', ""),),
+    ),
+    (
+        '        URL u = new URL("http://example.com/{o}");\n        URL v = new URL("http://localhost/{o}");',
+        (
+            (6, 'var', 'URL', 'u', 'new URL("http://example.com/{o}")', None, None, None),
+            (7, 'var', 'URL', 'v', 'new URL("http://localhost/{o}")', None, None, None),
+        ),
+        ((6, 'S24', ""),),
+    ),
+    (
+        '        SSLContext.getInstance("TLSv1");\n        SSLContext c = SSLContext.getInstance("SSLv3");',
+        (
+            (6, 'call', None, 'getInstance', None, 'SSLContext', '"TLSv1"', 1),
+            (7, 'var', 'SSLContext', 'c', 'SSLContext.getInstance("SSLv3")', None, None, None),
+            (7, 'call', None, 'getInstance', None, 'SSLContext', '"SSLv3"', 1),
+        ),
+        ((7, 'S25', ""),),
+    ),
+    (
+        '        f.newDocumentBuilder();\n        f.newDocument();',
+        (
+            (6, 'call', None, 'newDocumentBuilder', None, 'f', None, 0),
+            (7, 'call', None, 'newDocument', None, 'f', None, 0),
+        ),
+        ((6, 'S27', ""),),
+    ),
+    (
+        '        File.createTempFile("a", arg);\n        Files.readString(arg);',
+        (
+            (6, 'call', None, 'createTempFile', None, 'File', '"a"', 2),
+            (7, 'call', None, 'readString', None, 'Files', 'arg', 1),
+        ),
+        ((6, 'S28', ""),),
+    ),
+    (
+        '        TrustManager[] all = { new X509TrustManager() {\n            public void checkServerTrusted(X509Certificate[] c, String t) {\n            }\n        } };',
+        (
+            (6, 'var', 'TrustManager[]', 'all', '{ new X509TrustManager() { public void checkServerTrusted(X509Certificate[] c, String t) { } } }', None, None, None),
+            (7, 'method', None, 'checkServerTrusted', None, None, None, None),
+        ),
+        ((5, 'S22', ""),),
+    ),
 )
 
 ORDER_FILES = Derivation(
@@ -312,6 +466,9 @@ ORDER_FILES = Derivation(
     ("java",),
 )
 
+#: A document's text within a text block: backslashes and quotes escaped.
+QUOTED = "replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+
 #: A whole document as a comment and again as a text block, with code between and after.
 DOCUMENT_FILES = Derivation(
     "documents",
@@ -321,12 +478,41 @@ DOCUMENT_FILES = Derivation(
         "content": (
             "'class D { /* \n' || replace(text, '*/', '* /') || '\n */\n"
             "  String authToken = \"tok-' || CAST(doc_id AS STRING) || '\";\n"
-            "  String note = \"\"\"\n' || replace(replace(text, '\"', ''), chr(92), '') || '\n\"\"\";\n"
+            "  String note = \"\"\"\n' || " + QUOTED + " || '\n\"\"\";\n"
             "  String query = \"SELECT \" + note;\n}\n'"
         ),
     },
 )
 
+_DEPTH, _TYPES, _BLANKS = "CAST(1 + o_orderkey % 60 AS INT)", "CAST(1 + o_orderkey % 10 AS INT)", "CAST(o_orderkey % 40 AS INT)"
+#: The same statements at any nesting and indentation.
+NESTED = {
+    "query": f"repeat('(', {_DEPTH}) || '\"SELECT a\" + x' || repeat(')', {_DEPTH})",
+    "index": f"repeat('a[', {_DEPTH}) || '0' || repeat(']', {_DEPTH}) || ' + y'",
+    "type": f"repeat('List<', {_TYPES}) || 'String' || repeat('>', {_TYPES})",
+}
+NESTED_FILES = Derivation(
+    "orders",
+    {
+        "path": "'src/N' || CAST(o_orderkey AS STRING) || '.java'",
+        "content": (
+            "'class N {\n  void m(String x) {\n    String query = ' || " + NESTED["query"] + " || ';\n    rt.exec(' || " + NESTED["index"]
+            + " || ');\n    ' || " + NESTED["type"] + " || ' sql = x;\n    java.util.\n' || repeat(' ', " + _BLANKS + ") || 'Random r = new Random();\n    ' || repeat('{ ', "
+            + _DEPTH + ") || 'int deep = 1;' || repeat(' }', " + _DEPTH + ") || '\n  }\n  N()\n' || repeat(' ', " + _BLANKS + ") || '{ }\n}\n'"
+        ),
+    },
+)
+
+#: Order files of which some have no content, in one repository, or no end, in another.
+BROKEN = "(o_custkey % 10 = 0 AND o_orderkey % 7 = 1 OR o_custkey % 10 = 1 AND o_orderkey % 7 = 2)"
+BROKEN_FILES = Derivation(
+    ORDER_FILES.table,
+    ORDER_FILES.columns | {"content": f"CASE WHEN {BROKEN} THEN CASE o_custkey % 10 WHEN 1 THEN 'class A {{ String a = \"open; }}' END ELSE {ORDER_FILES.columns['content']} END"},
+    ORDER_FILES.index,
+    ORDER_FILES.templates,
+    ORDER_FILES.names,
+)
+
 # --- runtime events, from events ----------------------------------------------------
 
 _USER = "CAST(user_id AS STRING)"

@@ -5,26 +5,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.operators import aggregate, policy, risk
 from sentrylane.operators.facts import extract_facts
-from sentrylane.operators.static_rules import METHOD_WORDS, STATIC_RULES, static_findings
+from sentrylane.operators.static_rules import STATIC_RULES, UNREAD_RULE, method_words, static_findings
 
 
 def scan_files(
     files: DataFrame, rules=STATIC_RULES, detected_at: Column | None = None
 ) -> DataFrame:
-    """``files(repo, path, content)`` to findings with ``repo``; a map-only plan."""
-    facts = extract_facts(files, keep=("repo",), method_words=METHOD_WORDS)
+    """``files(repo, path, content)`` to findings with ``repo``; a map-only plan.
+
+    With ``UNREAD_RULE`` among the rules, files that could not be read are listed too.
+    """
+    facts = extract_facts(files, keep=("repo",), method_words=method_words(rules), unread=UNREAD_RULE in rules)
     return static_findings(facts, rules, detected_at, keep=("repo",))
 
 
+def unread_files(files: DataFrame) -> DataFrame:
+    """``(repo, path)`` of the files that cannot be read and fail the gate."""
+    return scan_files(files, (UNREAD_RULE,)).select("repo", "path")
+
+
 def gate(
     files: DataFrame,
     config: aggregate.ScanConfiguration = aggregate.ScanConfiguration(),
     scan_date: Column | None = None,
 ) -> DataFrame:
-    """Scan result per repository, read from text to verdict in one job."""
-    return aggregate.scan_results(
-        scan_files(files), files.select("repo").distinct(), config, scan_date
-    )
+    """Scan result per repository, read from text to verdict in one job.
+
+    A repository with a file that could not be read fails, whatever else was found.
+    """
+    found = scan_files(files, (*STATIC_RULES, UNREAD_RULE))
+    return aggregate.scan_results(found, files.select("repo").distinct(), config, scan_date)
 
 
 def respond(

@@ -16,22 +16,12 @@ def scannable(path):
     return keep
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a small table out to all cores.
-
-    Matching text is bound by CPU, and a table of few files is read by few tasks. A
-    table that already has a partition per core, as any large one, stays as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def read_repository(spark: SparkSession, *roots: str) -> DataFrame:
     """``(path, content)`` of every scannable file below ``roots``.
 
     The binary source lists paths first and reads bytes only for rows that survive the
     path filters, so skipped folders cost a listing and nothing more. A file that is not
-    UTF-8 text has null content and yields no facts.
+    UTF-8 text has null content; a scan lists it as unread and fails for it.
     """
     files = (
         spark.read.format("binaryFile")

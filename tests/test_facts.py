@@ -3,7 +3,7 @@
 import pytest
 
 from sentrylane.operators.facts import extract_facts
-from sentrylane.operators.static_rules import METHOD_WORDS, static_findings
+from sentrylane.operators.static_rules import STATIC_RULES, method_words, static_findings
 
 
 def facts(spark, text, **kw):
@@ -185,7 +185,7 @@ public class Sample {
 
 def test_rules_over_source_text(spark):
     files = spark.createDataFrame([("Sample.java", SAMPLE)], "path string, content string")
-    found = static_findings(extract_facts(files, method_words=METHOD_WORDS)).collect()
+    found = static_findings(extract_facts(files, method_words=method_words(STATIC_RULES))).collect()
     assert sorted((r.line, r.rule_id, r.match_key) for r in found) == [
         (5, "S03", "password"), (7, "S21", ""), (10, "S01", ""), (12, "S02", ""), (14, "S07", ""),
         (16, "S09", ""), (17, "S16", ""), (18, "S19", ""), (19, "S24", ""), (21, "S25", ""),
@@ -197,7 +197,7 @@ def test_rules_over_source_text(spark):
     assert len({r.finding_id for r in found}) == len(found)
 
 
-def test_extraction_needs_no_shuffle_and_no_python(spark):
+def test_extraction_is_one_map_stage(spark):
     files = spark.createDataFrame([("A.java", SAMPLE)], "path string, content string")
     plan = static_findings(extract_facts(files))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Sort" not in plan
+    assert "Exchange hashpartitioning" not in plan and plan.count("MapInArrow") == 1 and "Sort" not in plan
