@@ -6,13 +6,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.functions.severity import cvss_severity
-from sentrylane.session import broadcast_if_small
 
 _c = F.col
 
-# Fixed value: most records a date-range query returns.
-RANGE_LIMIT = 100
-
 
 def _first_score(metric: str) -> Column:
     """Base score of a metric's first entry: 0.0 if the entry has none, null if the
@@ -96,10 +92,11 @@ def search_cves(cves: DataFrame, keyword: str, limit: int) -> DataFrame:
     return _newest(cves.filter(matches), limit)
 
 
-def cves_between(cves: DataFrame, start: str, end: str, limit: int = RANGE_LIMIT) -> DataFrame:
-    """The newest ``limit`` records published from ``start`` to ``end``, both included."""
+def cves_between(cves: DataFrame, start: str, end: str, limit: int | None = None) -> DataFrame:
+    """Records published from ``start`` to ``end``, both included; the newest ``limit`` if a page is asked for."""
     dates = _c("published").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    return _newest(cves.filter(dates), limit)
+    found = cves.filter(dates)
+    return found if limit is None else _newest(found, limit)
 
 
 def _newest(cves: DataFrame, limit: int) -> DataFrame:
@@ -129,10 +126,9 @@ def correlate(findings: DataFrame, cves: DataFrame) -> DataFrame:
 
     CVEs are summed up per CWE id before the join: a few ids cover most findings and
     most CVEs, and pairing them would multiply the two. The summary has one row per
-    CWE id; its size is counted, and findings stay where they are if it is small.
+    CWE id, combined before its shuffle; Spark joins it by the size it turns out to have.
     """
-    summary = broadcast_if_small(weakness_summary(cves))
-    return findings.join(summary, "cwe_id", "left").withColumn(
+    return findings.join(weakness_summary(cves), "cwe_id", "left").withColumn(
         "n_cves", F.coalesce("n_cves", F.lit(0))
     )
 

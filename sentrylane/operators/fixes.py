@@ -159,15 +159,17 @@ def _rebuilt(new_line: Column) -> Column:
 def fix_lines(findings: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
     """Old and new line per finding that can be fixed.
 
-    The join is on (path, line), so a file with very many findings spreads over its
-    lines instead of meeting in one task.
+    Files without findings stay where they are read, and of the others only the lines
+    that findings point at leave their row. The join of findings is on (path, line), so a
+    file with very many findings spreads over its lines instead of meeting in one task.
     """
-    lines = files.select("path", F.posexplode(source_lines(_c("content"))).alias("pos", "old_line"))
+    targets = findings.withColumn("target", line_of_location(_c("location"))).filter(_c("target") > 0)
+    wanted = targets.groupBy("path").agg(F.collect_set("target").alias("targets"))
+    text = files.join(wanted, "path").select("path", "targets", source_lines(_c("content")).alias("lines"))
+    spots = F.transform("targets", lambda n: F.struct(n.alias("target"), F.get("lines", n - 1).alias("old_line")))
+    lines = text.select("path", F.explode(spots).alias("spot")).select("path", "spot.*").filter(_c("old_line").isNotNull())
     return (
-        findings.withColumn("target", line_of_location(_c("location")))
-        .join(
-            lines.select("path", (_c("pos") + 1).alias("target"), "old_line"), ["path", "target"]
-        )
+        targets.join(lines, ["path", "target"])
         .withColumn("new_line", fixed_line(_c("category"), _c("old_line"), strict))
         .filter(_c("new_line").isNotNull())
         .select("finding_id", "path", _c("target").alias("line"), "category", "old_line", "new_line")
@@ -175,16 +177,13 @@ def fix_lines(findings: DataFrame, files: DataFrame, strict: bool = False) -> Da
 
 
 def fix_sources(findings: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
-    """Rewritten text per finding that can be fixed, joined on path."""
-    joined = findings.select("finding_id", "path", "category", "location").join(
-        files.select("path", "content"), "path"
-    )
-    return (
-        _with_target(joined, "content", line_of_location(_c("location")))
-        .withColumn("new_line", fixed_line(_c("category"), _c("old_line"), strict))
-        .filter(_c("new_line").isNotNull())
-        .select("finding_id", "path", "category", "content", _rebuilt(_c("new_line")).alias("fixed"))
+    """Rewritten text per finding that can be fixed: its file's text meets only such findings."""
+    fixable = fix_lines(findings.select("finding_id", "path", "category", "location"), files, strict)
+    lines = source_lines(_c("content"))
+    rebuilt = F.array_join(
+        F.concat(F.slice(lines, F.lit(1), _c("line") - 1), F.array("new_line"), F.slice(lines, _c("line") + 1, F.size(lines))), "\n"
     )
+    return fixable.join(files.select("path", "content"), "path").select("finding_id", "path", "category", "content", rebuilt.alias("fixed"))
 
 
 def fix_responses(requests: DataFrame, strict: bool = True) -> DataFrame:

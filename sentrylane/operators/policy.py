@@ -199,52 +199,45 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
 
 
+#: Parts a posting list is dealt into, so that a gram of most keys is no single task's.
+PARTS = 16
+
+
 def is_blocked(resources: DataFrame, blocked: DataFrame, size: int = 6) -> DataFrame:
     """Add ``blocked``: does any key of ``blocked(key)`` contain ``resource``?
 
     Containment is not an equality, and comparing every pair does not scale, so the
     join runs on character n-grams. A resource of at most ``size`` characters is a gram
-    itself: it is blocked exactly if some key has that gram. A longer one can only be in
-    a key that holds all its grams, so it is looked up under its rarest gram and the
-    candidates are verified. Resources and keys are deduplicated first.
+    itself: keys give only grams of the lengths that some such resource has, and an
+    equality decides. A longer one can only be in a key that holds all its grams, so it is
+    looked up under its rarest gram; the keys under one gram are dealt into ``PARTS``
+    parts, each of which the resource is sent to, and what contains it is verified.
+    Resources and keys are deduplicated first.
     """
     keys = blocked.select("key").distinct()
     wanted = resources.select("resource").filter(_c("resource").isNotNull()).distinct()
-    short = wanted.filter(_c("resource") == "").select("resource")
-    lengths = F.flatten(F.array(*[F.coalesce(_grams(_c("key"), n), F.array()) for n in range(1, size + 1)]))
-    counts = keys.select(F.explode(lengths).alias("gram")).groupBy("gram").agg(
-        F.count("*").alias("n_keys")
-    )
-    # Up to `size` characters: equality with a gram decides.
-    hit_short = (
-        wanted.filter(F.length("resource").between(1, size))
-        .withColumn("gram", _c("resource"))
-        .join(counts, "gram", "left_semi")
-        .select("resource")
-    )
+    # One row: which lengths of short resources there are, the empty one included.
+    lengths = wanted.filter(F.length("resource") <= size).agg(F.sort_array(F.collect_set(F.length("resource"))).alias("lengths"))
+    of_lengths = F.flatten(
+        F.transform("lengths", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.coalesce(_grams(_c("key"), n), F.array().cast("array<string>"))))
+    )
+    one = F.lit(1)
+    pieces = keys.withColumn("k", one).join(lengths.withColumn("k", one), "k").select(F.explode(of_lengths).alias("resource")).distinct()
+    hit_short = wanted.filter(F.length("resource") <= size).join(pieces, "resource", "left_semi")
     # Longer: every gram must occur, and the rarest one leads to the candidates.
-    long = wanted.filter(F.length("resource") > size)
-    probes = (
-        long.select("resource", F.explode(_grams(_c("resource"), size)).alias("gram"))
-        .join(counts, "gram", "left")
+    probes = wanted.filter(F.length("resource") > size).select("resource", F.explode(_grams(_c("resource"), size)).alias("gram"))
+    postings = keys.select("key", F.explode(_grams(_c("key"), size)).alias("gram"))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n_keys"))
+    rarest = (
+        probes.join(counts, "gram", "left")
         .groupBy("resource")
-        .agg(
-            F.min_by("gram", F.struct(F.coalesce("n_keys", F.lit(0)), "gram")).alias("gram"),
-            F.min(F.coalesce("n_keys", F.lit(0))).alias("n_keys"),
-        )
-        .filter(_c("n_keys") > 0)
+        .agg(F.min(F.struct(F.coalesce("n_keys", F.lit(0)).alias("n_keys"), "gram")).alias("least"))
+        .filter(_c("least.n_keys") > 0)
+        .select("resource", _c("least.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     )
-    postings = keys.select("key", F.explode(_grams(_c("key"), size)).alias("key_gram"))
-    hit_long = probes.join(
-        postings,
-        (_c("gram") == _c("key_gram")) & F.contains("key", "resource"),
-        "left_semi",
-    ).select("resource")
-    # Every key contains the empty text.
-    hit_empty = short.withColumn("k", F.lit(1)).join(
-        keys.select(F.lit(1).alias("k")).limit(1), "k", "left_semi"
-    ).select("resource")
-    hit = hit_short.unionByName(hit_long).unionByName(hit_empty).withColumn("hit", F.lit(True))
+    dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    hit_long = dealt.join(rarest, ["gram", "part"]).filter(F.contains("key", "resource")).select("resource").distinct()
+    hit = hit_short.unionByName(hit_long).withColumn("hit", F.lit(True))
     return resources.join(hit, "resource", "left").select(
         *resources.columns, F.coalesce("hit", F.lit(False)).alias("blocked")
     )

@@ -144,8 +144,19 @@ def event_findings(
     return _from_hits(found, chosen, keep)
 
 
-def _from_hits(found: DataFrame, rules: Sequence[Rule], keep: tuple[str, ...]) -> DataFrame:
-    joined = found.join(rule_dimension(found.sparkSession, rules), "rule_id")
+def _from_hits(found: DataFrame, rules: Sequence[Rule], keep: tuple[str, ...], patterns: DataFrame | None = None) -> DataFrame:
+    """Hits with what their rule emits; hits of D07 by the pattern their key names, if there is one."""
+    emitted = rule_dimension(found.sparkSession, rules).withColumn("pattern", F.lit(""))
+    if patterns is not None:
+        emitted = emitted.unionByName(
+            patterns.select(
+                F.lit("D07").alias("rule_id"), F.concat(F.lit("Runtime Behavior: "), "name").alias("category"), "severity", "confidence",
+                F.lit(None).cast("string").alias("cwe_id"), _c("blockable").alias("auto_fix"), _c("description").alias("rule_text"), "recommendations",
+                _c("name").alias("pattern"),
+            )
+        )
+    keyed = found.withColumn("pattern", F.when(_c("rule_id") == "D07", _c("match_key")).otherwise(""))
+    joined = keyed.join(emitted, ["rule_id", "pattern"])
     columns = {c: _c(c) for c in (
         "rule_id", "severity", "category", "cwe_id", "confidence", "recommendations", "auto_fix",
     )}
@@ -159,28 +170,14 @@ def behaviour_findings(
 ) -> DataFrame:
     """D07: behaviours whose type equals the name of a known pattern."""
     patterns = behaviour_patterns(behaviours.sparkSession) if patterns is None else patterns
-    known = patterns.select(
-        F.col("name").alias("behaviour_type"),
-        F.col("description").alias("pattern_text"),
-        "severity",
-        "confidence",
-        "recommendations",
-        "blockable",
-    )
-    matched = (
-        behaviours.select(*keep, "event_id", "ts", "behaviour_type", "location")
-        .join(known, "behaviour_type")
-        .withColumn("match_key", _c("behaviour_type"))
-    )
-    columns = {c: _c(c) for c in ("severity", "confidence", "recommendations", "location")}
-    columns |= {
-        "rule_id": F.lit("D07"),
-        "category": F.concat(F.lit("Runtime Behavior: "), "behaviour_type"),
-        "description": _c("pattern_text"),
-        "cwe_id": F.lit(None),
-        "auto_fix": _c("blockable"),
-    }
-    return matched.select(*_finding(columns, keep))
+    found = explode_hits(behaviours, _behaviour_hits(), [*keep, "event_id", "ts"])
+    return _from_hits(found, (), keep, patterns)
+
+
+def _behaviour_hits() -> Column:
+    """One hit per behaviour, under the name it gives itself."""
+    hit = F.struct(F.lit("D07").alias("rule_id"), _c("behaviour_type").alias("match_key"), F.lit("").alias("detail"), _c("location").alias("place"))
+    return F.when(_c("behaviour_type").isNotNull(), F.array(hit))
 
 
 def runtime_findings(
@@ -205,22 +202,18 @@ def mixed_event_findings(
     patterns: DataFrame | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The same over one wide table of all kinds, dispatched on ``event_type``.
+    """The same over one wide table of all kinds, dispatched on ``event_type``: one scan.
 
-    One scan serves D01-D06. D07 reads its own kind only, as a filter that reaches the
-    scan.
+    A behaviour is a hit of D07 under its own name; the join with what rules and patterns
+    emit drops the names that no pattern has.
     """
-    dispatched = F.coalesce(
-        *[
-            F.when(_c("event_type") == kind, hits([r for r in rules if r.source == kind], _c("stack_trace")))
-            for kind in dict.fromkeys(r.source for r in rules)
-        ]
-    )
+    patterns = behaviour_patterns(events.sparkSession) if patterns is None else patterns
+    by_kind = {
+        kind: hits([r for r in rules if r.source == kind], _c("stack_trace")) for kind in dict.fromkeys(r.source for r in rules)
+    } | {"RUNTIME_BEHAVIOR": _behaviour_hits()}
+    dispatched = F.coalesce(*[F.when(_c("event_type") == kind, found) for kind, found in by_kind.items()])
     found = explode_hits(events, dispatched, [*keep, "event_id", "ts"])
-    behaviours = events.filter(_c("event_type") == "RUNTIME_BEHAVIOR")
-    return _from_hits(found, rules, keep).unionByName(
-        behaviour_findings(behaviours, patterns, keep)
-    )
+    return _from_hits(found, rules, keep, patterns)
 
 
 def memory_violations(metrics: DataFrame, limit: float = MEMORY_LIMIT) -> DataFrame:

@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 #: Settings the operators rely on. Most are Spark 4 defaults, named here because
 #: the plans depend on them: AQE turns small join sides into broadcasts by their
@@ -26,6 +26,8 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    folder = os.environ.get("SENTRYLANE_WORK") or tempfile.mkdtemp(prefix="sentrylane-")
+    builder = builder.config("spark.checkpoint.dir", f"file://{folder}")
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SENTRYLANE_DRIVER_MEMORY", "12g"))
@@ -34,25 +36,14 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables and stream checkpoints.
+    """A fresh folder for written tables and stream checkpoints, below ``spark.checkpoint.dir``.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    local session, where driver and executors are one process, may fall back to
-    a temporary folder.
+    The cluster names a folder there that the driver and all executors share;
+    ``local_session`` sets its own where none is given.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"sentrylane-{name}-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{shared.rstrip('/')}/sentrylane/{name}-{os.urandom(8).hex()}"
-
-
-def broadcast_if_small(table: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``table`` for broadcast if it is counted to have at most ``max_rows`` rows.
-
-    For aggregates with few groups, whose size Spark cannot estimate beforehand: left
-    alone, the other side would be shuffled by a handful of keys first. The count stops
-    at the bound. A larger table is joined as Spark sees fit.
-    """
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

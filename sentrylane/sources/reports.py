@@ -6,13 +6,13 @@ written, the part files of a repository concatenate to its document, so a reposi
 with very many findings is written by many tasks and no group is collected.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sentrylane.functions.severity import SEVERITIES, sarif_level
 from sentrylane.functions.text import escape_markup
 
 #: Sort order of report rows: repository, then header, findings, footer.
-ORDER = ("repo", "section", "path", "line", "rule_id", "finding_id", "copy")
+ORDER = ("repo", "section", "path", "line", "rule_id", "finding_id", "copy", "text")
 FORMATS = ("json", "sarif", "html", "junit")
 
 # Document frames of the four formats.
@@ -23,8 +23,8 @@ SARIF_HEADER = (
 SARIF_FOOTER = "]}]}"
 HTML_HEADER = (
     "<!DOCTYPE html><html><head><title>Security Scan Report</title>"
-    "<style>body{font-family:Arial;margin:20px;}"
-    ".critical{color:red;}.high{color:orange;}.medium{color:yellow;}.low{color:green;}</style>"
+    "<style>main,body{max-width:60em;margin:1em auto;font:16px/1.4 sans-serif}"
+    "div{border-left:4px solid #bbb;padding-left:.8em}.critical{border-color:#900}.high{border-color:#c60}.medium{border-color:#cc0}</style>"
     "</head><body><h1>Security Scan Report</h1>"
 )
 HTML_FOOTER = "</body></html>"
@@ -173,28 +173,17 @@ def report_rows(results: DataFrame, findings: DataFrame, format: str, mask: bool
     ).select("repo", "f.section", *blank, "f.text")
 
     shown = redact(findings) if mask else findings
-    rows = shown.select(
-        "repo", F.lit(1).alias("section"), "path", "line", "rule_id", "finding_id",
-        row().alias("text"),
-    )
+    place = ("path", "line", "rule_id", "finding_id")
+    rows = shown.select("repo", F.lit(1).alias("section"), *place, F.lit(1).alias("copy"), row().alias("text"))
     if listed:
-        # JSON lists need to know their first element. Equal rows are counted, so that
-        # the smallest row of a repository is one row, and then put back.
-        key = F.struct("path", "line", "rule_id", "finding_id", "text")
-        counted = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
-        first = counted.groupBy("repo").agg(F.min(key).alias("first"))
-        rows = (
-            counted.join(first, "repo")
-            .select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-            .withColumn(
-                "text",
-                F.when((key == _c("first")) & (_c("copy") == 1), _c("text")).otherwise(
-                    F.concat(F.lit(","), "text")
-                ),
-            )
-        )
-    else:
-        rows = rows.withColumn("copy", F.lit(1))
+        # JSON lists need to know their first element: the smallest place of a repository,
+        # a minimum over ids. Only rows that stand at that very place are numbered.
+        firsts = findings.groupBy("repo").agg(F.min(F.struct(*place)).alias("first"))
+        placed = rows.join(firsts, "repo").withColumn("at_first", F.struct(*place) == _c("first")).drop("first")
+        number = F.row_number().over(Window.partitionBy("repo").orderBy("text"))
+        leading = placed.filter("at_first").withColumn("copy", number)
+        comma = F.when(_c("at_first") & (_c("copy") == 1), _c("text")).otherwise(F.concat(F.lit(","), "text"))
+        rows = leading.unionByName(placed.filter("NOT at_first")).withColumn("text", comma)
     return frames.unionByName(rows.select(*frames.columns))
 
 

@@ -76,13 +76,17 @@ def drain_responses(
     """Findings to ``actions``, ``alerts`` and ``block_list`` below ``folder``.
 
     Each batch overwrites its own sub-folders, so running it again changes nothing. A
-    finding delivered twice in a batch is answered once. ``scheduled_at`` defaults to
-    the time the finding was made.
+    finding that is delivered twice, in a batch or in a later one, is answered once: what
+    earlier batches answered is left out. ``scheduled_at`` defaults to the time the
+    finding was made.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         when = F.col("detected_at") if scheduled_at is None else scheduled_at
         unique = batch.dropDuplicates(["finding_id"])
+        if batch_id:
+            answered = batch.sparkSession.read.parquet(f"{folder}/actions").filter(F.col("batch") < batch_id)
+            unique = unique.join(answered.select("finding_id"), "finding_id", "left_anti")
         target = f"{folder}/actions/batch={batch_id}"
         policy.schedule_actions(unique, when, policies).write.mode("overwrite").parquet(target)
         # The written rows feed the rest, so the batch is computed once.
@@ -100,10 +104,10 @@ def drain_responses(
 
 def live_counts(findings: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Running finding counts by severity. State is one row per severity; every batch
-    replaces the table at ``path``."""
+    writes a folder of its own, and ``latest_counts`` reads the last complete one."""
 
-    def publish(counts: DataFrame, _: int) -> None:
-        counts.coalesce(1).write.mode("overwrite").parquet(path)
+    def publish(counts: DataFrame, batch_id: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         findings.groupBy("severity")
@@ -114,14 +118,22 @@ def live_counts(findings: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     )
 
 
+def latest_counts(spark, path: str) -> DataFrame:
+    """Counts of the last batch that was written whole."""
+    counts = spark.read.parquet(path)
+    last = counts.agg(F.max("batch")).first()[0]
+    return counts.filter(F.col("batch") == last).drop("batch")
+
+
 def retrain_when_due(
     scores: DataFrame,
     folder: str,
     checkpoint: str,
-    training: DataFrame,
     after: int = risk.RETRAIN_AFTER,
 ) -> DataStreamWriter:
-    """Store scored findings; refit once more than ``after`` came since the last fit.
+    """Store scored findings; refit on all that are stored once more than ``after`` came since the last fit.
+
+    ``scores`` has ``finding_id`` and the columns of a training row, ``label`` included.
 
     A model is written to a folder named by the batch that triggered it. Which scores
     count as new follows from the same names, so no state lives on the driver.
@@ -131,10 +143,11 @@ def retrain_when_due(
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/scores/batch={batch_id}")
         last = max([v for v in model_versions(spark, folder) if v < batch_id], default=-1)
-        fresh = spark.read.parquet(f"{folder}/scores").filter(F.col("batch") > last)
+        stored = spark.read.parquet(f"{folder}/scores").filter(F.col("batch") <= batch_id)
+        fresh = stored.filter(F.col("batch") > last)
         due = fresh.agg(F.countDistinct("finding_id").alias("n")).first()["n"] > after
         if due:
-            model = risk.train_classifier(training)
+            model = risk.train_classifier(stored)
             model.write().overwrite().save(f"{folder}/models/{batch_id}")
 
     return scores.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

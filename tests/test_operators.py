@@ -12,6 +12,8 @@ from sentrylane import schemas
 from sentrylane.functions import severity as sev, text as tx
 from sentrylane.operators import aggregate as agg, cve, findings as fnd, fixes, policy, risk, runtime_rules as rt
 from sentrylane.operators.registry import AnalyzerRegistry
+from sentrylane.operators.rules import Rule
+from sentrylane.plans import scan
 from sentrylane.plans.scan import respond
 from sentrylane.sources import code, dimensions, events, feeds, reports
 
@@ -222,6 +224,15 @@ def test_is_blocked_equals_brute_force(spark, seed):
     assert all(r.blocked == (r.resource is not None and any(r.resource in k for k in keys)) for r in got)
 
 
+def test_a_gram_of_all_keys_is_dealt_out(spark):
+    """A resource whose every gram is in all keys: the keys under it are spread evenly."""
+    keys = spark.range(20_000).selectExpr("concat('WORK:com.example.C', id, '.run()') AS key")
+    wanted = spark.createDataFrame([("com.example.C7",), ("com.example.Cx",), ("example.C",)], "resource string")
+    assert {r.resource: r.blocked for r in policy.is_blocked(wanted, keys).collect()} == {"com.example.C7": True, "com.example.Cx": False, "example.C": True}
+    dealt = keys.selectExpr(f"pmod(xxhash64(key), {policy.PARTS}) AS part").groupBy("part").count().toPandas()["count"]
+    assert len(dealt) == policy.PARTS and dealt.max() < 3 * dealt.median()
+
+
 def test_nothing_is_blocked_by_an_empty_list(spark):
     got = policy.is_blocked(spark.createDataFrame([("a",), ("",)], "resource string"), spark.createDataFrame([], "key string"))
     assert [r.blocked for r in got.collect()] == [False, False]
@@ -279,6 +290,24 @@ NVD = {
 }
 
 
+def test_events_are_scanned_once(spark, tmp_path):
+    path = str(tmp_path / "events")
+    columns = "event_id string, ts timestamp, event_type string, class_name string, method_name string, path string, operation string, protocol string, host string, behaviour_type string, location string, stack_trace string"
+    spark.createDataFrame([], columns).write.parquet(path)
+    found = rt.mixed_event_findings(spark.read.parquet(path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_correlation_and_ranges_have_no_limit_and_run_no_job(spark):
+    cves = spark.range(500).selectExpr(
+        "concat('C', id) AS cve_id", "DATE '2024-03-01' AS published", "array('CWE-89') AS cwe_ids", "CAST(id % 10 AS DOUBLE) AS cvss_v3", "CAST(NULL AS DOUBLE) AS cvss_v2"
+    )
+    assert cve.cves_between(cves, "2024-01-01", "2024-12-31").count() == 500
+    assert cve.cves_between(cves, "2024-01-01", "2024-12-31", 20).count() == 20
+    (row,) = cve.correlate(spark.createDataFrame([("f", "CWE-89")], "finding_id string, cwe_id string"), cves).collect()
+    assert (row.n_cves, row.worst_cvss) == (500, 9.0)
+
+
 def test_nvd_feed(spark, tmp_path):
     (tmp_path / "feed.json").write_text(json.dumps(NVD, indent=1))
     cves = cve.project_cves(feeds.read_nvd(spark, str(tmp_path)))
@@ -295,6 +324,22 @@ def test_nvd_feed(spark, tmp_path):
     assert (hit.n_cves, hit.worst_cvss, hit.worst_cve_id) == (1, 9.0, "C1")
 
 
+def test_unreadable_files_fail_the_gate(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "Latin.java").write_bytes('class A { String password = "abcd\xe9"; }'.encode("latin-1"))
+    (tmp_path / "a" / "Fine.java").write_text("class B { }")
+    files = code.read_repository(spark, str(tmp_path / "a")).selectExpr("'a' AS repo", "path", "content")
+    (row,) = scan.gate(files).collect()
+    assert (row.total_findings, row.should_fail) == (0, True)
+    assert [r.path.rsplit("/", 1)[1] for r in scan.unread_files(files).collect()] == ["Latin.java"]
+
+
+def test_method_rules_of_ones_own(spark):
+    rule = Rule("X01", "method", "Locks", "LOW", 0.9, None, False, "synchronized method", (), lambda: F.col("text").contains("synchronized"))
+    files = spark.createDataFrame([("r", "A.java", "class A { synchronized void m() { } }")], "repo string, path string, content string")
+    assert [r.rule_id for r in scan.scan_files(files, (rule,)).collect()] == ["X01"]
+
+
 def test_repository_scan_and_snippets(spark, tmp_path):
     for name in ("src/A.java", "src/test/B.java", "target/C.java", "build/D.java", "src/E.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -52,6 +52,16 @@ def test_drain_is_idempotent_and_survives_a_bad_listener(spark, tmp_path):
     assert seen == [batch.count()] * 2
 
 
+def test_redelivered_findings_are_answered_once(spark, tmp_path):
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for start in (0, 20, 10):  # the last ones came before
+        requests(spark, folder, start, 20)
+        found = jobs.continuous_scan({"NETWORK_REQUEST": events.stream_events(spark, "NETWORK_REQUEST", folder)})
+        jobs.run_to_end(jobs.drain_responses(found, out, check))
+    answered = [r.finding_id for r in spark.read.parquet(f"{out}/actions").collect()]
+    assert len(answered) == len(set(answered)) == 60
+
+
 def test_report_once_and_counts(spark, tmp_path):
     folder = str(tmp_path / "in")
     metrics = [(NOW + dt.timedelta(seconds=i), 95, 100, f"h{i % 3}") for i in range(30)]
@@ -69,18 +79,17 @@ def test_live_counts(spark, tmp_path):
         stream = events.stream_events(spark, "NETWORK_REQUEST", folder)
         found = jobs.continuous_scan({"NETWORK_REQUEST": stream})
         jobs.run_to_end(jobs.live_counts(found, out, str(tmp_path / "check")))
-    assert {r.severity: r["count"] for r in spark.read.parquet(out).collect()} == {"HIGH": 10, "CRITICAL": 20}
+    assert {r.severity: r["count"] for r in jobs.latest_counts(spark, out).collect()} == {"HIGH": 10, "CRITICAL": 20}
 
 
 def test_retrain_when_enough_scores_came(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    training = dimensions.seed_training_rows(spark)
-    schema = "finding_id string, scored_at timestamp"
+    schema = "finding_id string, scored_at timestamp, category string, confidence double, network boolean, auth boolean, cvss double, label string"
     versions = []
     for start in (0, 60, 120, 180):  # 60 at a time: the limit of 100 is passed by the 2nd and 4th
-        spark.createDataFrame([(f"f{i}", NOW) for i in range(start, start + 60)], schema).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame([(f"f{i}", NOW, f"c{i % 3}", i % 10 / 10, i % 2 == 0, i % 3 == 0, i % 7 * 1.0, "HIGH" if i % 10 > 5 else "LOW") for i in range(start, start + 60)], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        jobs.run_to_end(jobs.retrain_when_due(stream, out, str(tmp_path / "check"), training))
+        jobs.run_to_end(jobs.retrain_when_due(stream, out, str(tmp_path / "check")))
         versions.append(len(jobs.model_versions(spark, out)))
     assert versions == [0, 1, 1, 2]
     assert jobs.latest_model(spark, out) is not None
