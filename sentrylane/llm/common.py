@@ -1,7 +1,7 @@
 """What the operators share: stored tables, row keys, running totals, word hashes, components."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -181,6 +181,18 @@ def joined_bytes(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), starts
 
 
+def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of an Arrow column of strings or binaries, without a copy of its bytes."""
+    texts = texts.cast(pa.binary())
+    texts = texts.fill_null(b"") if texts.null_count else texts
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
 def ranges(lengths: list[int], most: int):
     """Ranges of consecutive values whose lengths add up to about ``most``."""
     at = 0

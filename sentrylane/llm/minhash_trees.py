@@ -1,5 +1,6 @@
 """Near duplicates by a chosen-path set similarity join (operator 7)."""
 
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -7,34 +8,40 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrylane.llm.common import components, joined_bytes, met, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
+from sentrylane.llm.common import column_bytes, components, met, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS = 5
 SIMILAR = 80
 #: Levels of a tree, records of a node that is compared exhaustively, the share of pairs
 #: at the limit that the trees are to find, and shingles of a group one task may hold.
-LEVELS = 6
+LEVELS = 3
 LEAF = 32
-RECALL = 0.999
+RECALL = 0.9999
 BIG = 4_000_000
+#: Minwise values of a signature: at least so many, and what the trees branch by.
+VALUES = 64
 #: Bytes of text turned into shingles at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def trees_for(recall: float, similar: int, levels: int = LEVELS) -> int:
     """Independent trees needed so that a pair of ``similar`` hundredths is found with ``recall``.
 
-    The pair passes the root's token with the chance of its similarity s. Below, a node
-    chooses one token, and with chance 1 / s - 1 another; ``gone`` is the chance that no
-    branch below holds both after so many levels (a branching process of mean 1). Pairs
-    whose nodes become small earlier are found more often.
+    The pair passes the root's two tokens with the chance of its similarity s, squared.
+    Below, a node chooses one token, and with chance 1 / s - 1 another; ``gone`` is the
+    chance that no branch below holds both after so many levels (a branching process of
+    mean 1). Pairs whose nodes become small earlier are found more often.
     """
     s = similar / 100
     gone = 0.0
     for _ in range(levels - 1):
         gone = (1 - s + s * gone) * (s + (1 - s) * gone)
-    return ceil(log(1 - recall) / log(1 - s * (1 - gone)))
+    return ceil(log(1 - recall) / log(1 - s * s * (1 - gone)))
+
+
+def values_for(trees: int, levels: int = LEVELS) -> int:
+    return max(VALUES, trees * (levels + 1))
 
 
 # Shingles
@@ -99,9 +106,10 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 def _chunks(batch: pa.RecordBatch, column: str, words: int):
     """Slices of a batch with the shingles of their texts: (start, end, hashes, counts)."""
-    texts = batch.column(batch.schema.names.index(column)).cast(pa.binary()).to_pylist()
-    for start, end in ranges([len(t or b"") for t in texts], CHUNK):
-        yield start, end, *shingles(*joined_bytes(texts[start:end]), words)
+    data, starts = column_bytes(batch.column(batch.schema.names.index(column)))
+    for start, end in ranges(np.diff(starts).tolist(), CHUNK):
+        at = starts[start : end + 1]
+        yield start, end, *shingles(data[at[0] : at[-1]], at - at[0], words)
 
 
 def sketches(docs: DataFrame, size: int, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,16 +200,18 @@ def _leaf_edges(leaves: DataFrame, size: int, least: float, most: int) -> DataFr
 def candidates(reps: DataFrame, trees: int, levels: int = LEVELS, leaf: int = LEAF, similar: int = SIMILAR) -> DataFrame:
     """Edges (a, b) between records ``rep`` that may be similar, few per node.
 
-    In each tree all records start in one node. A node of more than ``leaf`` records
-    branches by minwise tokens it chooses (one, and with some chance another: 100 /
-    ``similar`` on average): records of one token value go on to a node of their own.
-    Small nodes are compared exhaustively by signature, with four standard errors of
-    allowance; nodes of one record are done. What is still large after all levels shares
-    all its tokens: it is tied to one of its records, to be told apart on full sets.
+    In each tree the root branches by two minwise tokens at once, as one alone is often a
+    common phrase. A node of more than ``leaf`` records branches on by tokens it chooses
+    (one, and with some chance another: 100 / ``similar`` on average): records of one
+    token value go on to a node of their own. Small nodes are compared exhaustively by
+    signature, with four standard errors of allowance; nodes of one record are done. What
+    is still large after all levels shares all its tokens: it is tied to one of its
+    records, to be told apart on full sets.
 
-    Node sizes are counts combined before the shuffle; only records of branching nodes go on.
+    Node sizes are counts combined before the shuffle, and signatures go only to records
+    that share a node.
     """
-    size = trees * levels
+    size = values_for(trees, levels)
     s = similar / 100
     least = s - 4 * (s * (1 - s) / size) ** 0.5
     more = round(1000 * (1 / s - 1))
@@ -209,30 +219,31 @@ def candidates(reps: DataFrame, trees: int, levels: int = LEVELS, leaf: int = LE
     def token(number: str) -> str:
         return f"substring(_sig, 2 * ({number}) + 1, 2)"
 
-    now = reps.selectExpr("rep", "_sig", f"explode(sequence(0, {trees - 1})) AS tree").selectExpr("rep", f"xxhash64(tree, 0, {token(f'tree * {levels}')}) AS path", "tree")
+    first = f"tree * {levels + 1}"
+    now = reps.selectExpr("rep", "_sig", f"explode(sequence(0, {trees - 1})) AS tree").selectExpr(
+        "rep", f"xxhash64(tree, {token(first)}, {token(first + ' + 1')}) AS path", "tree"
+    )
     edges = []
     for level in range(1, levels + 1):
-        sizes = now.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        # Written: a plain join, whose hot nodes Spark splits.
+        sizes = stored(now.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         kept = now.join(sizes, "path")
         if level == 1:
-            kept = kept.join(reps.select("rep", "_sig"), "rep")
+            kept = stored(kept, "shared").join(reps.select("rep", "_sig"), "rep")
         kept = stored(kept.select("path", "tree", "rep", "_sig", "n"), "nodes")
         edges.append(stored(_leaf_edges(kept.where(F.col("n") <= leaf), size, least, leaf), "near"))
         large = kept.where(F.col("n") > leaf)
         if level == levels:
-            hubs = large.groupBy("path").agg(F.min("rep").alias("b"))
+            hubs = stored(large.groupBy("path").agg(F.min("rep").alias("b")), "hubs")
             edges.append(large.join(hubs, "path").selectExpr("rep AS a", "b").where("a <> b"))
             break
         if large.isEmpty():
             break
-        own = f"tree * {levels} + {level}"
+        own = f"{first} + {level + 1}"
         other = f"pmod(xxhash64(path, 1), {size})"
         chosen = f"CASE WHEN pmod(xxhash64(path, 2), 1000) < {more} THEN array({own}, CAST({other} AS INT)) ELSE array({own}) END"
         now = large.selectExpr("rep", "_sig", "tree", "path", f"explode({chosen}) AS k").selectExpr("rep", "_sig", f"xxhash64(path, k, {token('k')}) AS path", "tree")
-    all_edges = edges[0]
-    for more_edges in edges[1:]:
-        all_edges = all_edges.union(more_edges)
-    return all_edges
+    return reduce(DataFrame.union, edges)
 
 
 # Full sets
@@ -353,7 +364,7 @@ def near_groups(
     gives no rows. Other columns are ignored.
     """
     trees = trees_for(recall, similar, levels)
-    rows = stored(sketches(docs, trees * levels, words, id_col, text_col), "sketches")
+    rows = stored(sketches(docs, values_for(trees, levels), words, id_col, text_col), "sketches")
     prints = ["_p1", "_p2", "n_shingles"]
     order = F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "_key", "_hash")
     reps = stored(
@@ -365,7 +376,7 @@ def near_groups(
     wanted = stored(members.join(weights, "component").select("rep", "component", "_all", "_key", "_hash"), "wanted")
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     # Rows alike in id and text would give a record twice.
-    found = wanted.join(texts, ["_key", "_hash"]).select("rep", "component", "_all", "text")
+    found = texts.join(wanted.hint("shuffle_hash"), ["_key", "_hash"]).select("rep", "component", "_all", "text")
 
     def full(batches):
         for b in batches:

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrylane.llm.common import BASE2, joined_bytes, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
+from sentrylane.llm.common import BASE2, column_bytes, joined_bytes, mixed, parts, prefix_hash, ranges, row_key, slice_hash, stored, table
 from sentrylane.llm.minhash_trees import _grouped
 
 #: Bytes of a match, and of the grams that decide which windows meet.
@@ -158,25 +158,28 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: i
     return {"of": of[begin], "at": begin - starts[of[begin]], "n": end - begin + 1, "gram": hashes[place[begin]].view(np.int64), "whole": whole.view(np.int64)}
 
 
-def _parts(values: list[bytes | None], length: int):
-    """Texts to look at together: lists of (number, offset, bytes). Long ones are cut, with an overlap."""
-    for start, end in ranges([len(v or b"") for v in values], CHUNK):
-        if end - start > 1 or len(values[start] or b"") <= CHUNK:
-            yield [(i, 0, values[i] or b"") for i in range(start, end)]
+def _parts(starts: np.ndarray, length: int):
+    """Texts to look at together: (first, behind the last, offset, end). Long ones are cut, with an overlap."""
+    sizes = np.diff(starts).tolist()
+    for first, behind in ranges(sizes, CHUNK):
+        if behind - first > 1 or sizes[first] <= CHUNK:
+            yield first, behind, 0, None
         else:
-            for at in range(0, max(1, len(values[start]) - length + 1), CHUNK):
-                yield [(start, at, values[start][at : at + CHUNK + length - 1])]
+            for at in range(0, max(1, sizes[first] - length + 1), CHUNK):
+                yield first, behind, at, min(sizes[first], at + CHUNK + length - 1)
 
 
 def _all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def found(batches):
         for b in batches:
             keys = [b.column(i).to_numpy() for i in range(2)]
-            for part in _parts(b.column(2).to_pylist(), length):
-                s = segments(*joined_bytes([p[2] for p in part]), length, gram)
-                number, offset = np.array([p[0] for p in part]), np.array([p[1] for p in part])
+            data, starts = column_bytes(b.column(2))
+            for first, behind, offset, end in _parts(starts, length):
+                begin = starts[first] + offset
+                at = starts[first : behind + 1] - starts[first] if end is None else np.array([0, end - offset])
+                s = segments(data[begin : begin + at[-1]], at, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(k[number[s["of"]]]) for k in keys], pa.array(s["at"] + offset[s["of"]]), pa.array(s["n"].astype(np.int32)), pa.array(s["gram"]), pa.array(s["whole"])],
+                    [*[pa.array(k[first + s["of"]]) for k in keys], pa.array(s["at"] + offset), pa.array(s["n"].astype(np.int32)), pa.array(s["gram"]), pa.array(s["whole"])],
                     names=["_key", "_hash", "at", "n", "gram", "whole"],
                 )
 
@@ -282,8 +285,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     cut out of the texts, one for each content, and matched in run indexes.
     """
     rows = stored(_all_segments(docs, length, gram), "segments")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
-    rows = stored(rows.join(grams.select("gram"), "gram", "left_semi"), "repeated-grams")
+    # Written: a plain join, whose hot grams Spark splits.
+    grams = stored(rows.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1").select("gram"), "grams")
+    rows = stored(rows.join(grams, "gram", "left_semi"), "repeated-grams")
     kinds = stored(
         rows.groupBy("gram", "whole").agg(F.count("*").alias("same"), F.min(F.struct("_key", "_hash", "at", "n")).alias("one")), "kinds"
     )
