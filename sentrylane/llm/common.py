@@ -111,16 +111,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` of longs: rows (``node``, ``component``: smallest node).
 
     Alternates large-star and small-star steps until nothing changes. Each step is a
-    minimum per node, combined before the shuffle, and a join, so a hub with millions of
-    edges is no single task's work.
+    minimum per node, combined before the shuffle and written, and a plain join with it, whose
+    hot keys Spark splits: a hub with millions of edges is no single task's work.
     """
     now = stored(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a <> b").distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = now.union(now.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = stored(both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").selectExpr("CASE WHEN b = m THEN a ELSE b END AS a", "m AS b")
         now = stored(small.where("a <> b").distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

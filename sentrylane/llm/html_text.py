@@ -2,6 +2,8 @@
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -53,13 +55,42 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _tags(page: str) -> tuple[list[tuple[int, int, str, bool, str]], list[int]]:
+    """Tags and comments as (start, end, name, closing, attributes), and where each element ends.
+
+    The content of raw elements is part of their tag. An element ends at the closing tag
+    of its name and nesting, or with the page.
+    """
+    tags, close, at, open_ = [], [], 0, defaultdict(list)
+    while m := _TOKEN.search(page, at):
+        name, closing, attributes, at = (m[2] or "").lower(), m[1] == "/", m[3] or "", m.end()
+        alone = name in VOID or attributes.rstrip().endswith("/")
+        if name in RAW and not closing and not alone:
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at, alone = end.end() if end else len(page), True
+        i = len(tags)
+        tags.append((m.start(), at, name, closing, attributes))
+        close.append(i)
+        if closing and open_[name]:
+            close[open_[name].pop()] = i
+        elif name and not closing and not alone:
+            open_[name].append(i)
+    for left in open_.values():
+        for i in left:
+            close[i] = len(tags)
+    return tags, close
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Blocks of a page without markup: text, characters in links, and whether in an article.
 
-    What furniture elements held is left as empty lines, outside articles.
+    What furniture elements held is left as empty lines, outside articles. An element that
+    holds an article is no furniture, whatever its name.
     """
+    tags, close = _tags(page)
+    articles = [i for i, t in enumerate(tags) if t[2] in MAIN and not t[3]]
     lines: list[tuple[str, int, bool]] = []
-    now, linked, links, main, at, size = [], 0, 0, 0, 0, len(page)
+    now, linked, links, main, at, i = [], 0, 0, 0, 0, 0
 
     def end_block():
         nonlocal now, linked
@@ -76,27 +107,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             if links:
                 linked += len(text.strip())
 
-    skip, depth = "", 0
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            if not skip:
-                # A page cut off within a tag ends before that tag.
-                rest = page[at:]
-                cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
-                add(rest[: cut.start()] if cut else rest)
-            break
-        if not skip:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), m[1] == "/"
-        if skip:
-            if name == skip:
-                depth += -1 if closing else not m[3].rstrip().endswith("/")
-                if not depth:
-                    skip = ""
+    while i < len(tags):
+        start, end, name, closing, attributes = tags[i]
+        add(page[at:start])
+        at = end
+        here, i = i, i + 1
+        if not name:
             continue
         if name in BLOCKS:
             end_block()
@@ -110,22 +126,27 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 if not main:
                     lines += [("", 0, False)] * WINDOW
             continue
-        if name in RAW:
-            # Their content is no markup: on to the end tag itself.
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
-        if name not in VOID and _is_furniture(name, m[3], main > 0):
-            if not main:
-                lines += [("", 0, False)] * WINDOW
-            if not m[3].rstrip().endswith("/"):
-                skip, depth = name, 1
+        if name in RAW or name in VOID:
             continue
+        if _is_furniture(name, attributes, main > 0):
+            inside = bisect_right(articles, here)
+            if inside == len(articles) or articles[inside] >= close[here] or main:
+                if not main:
+                    lines += [("", 0, False)] * WINDOW
+                if close[here] >= len(tags):
+                    end_block()
+                    return lines
+                if close[here] > here:
+                    i, at = close[here] + 1, tags[close[here]][1]
+                continue
         if name in MAIN:
             if not main:
                 lines += [("", 0, False)] * WINDOW
             main += 1
+    rest = page[at:]
+    # A page cut off within a tag ends before that tag.
+    cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
+    add(rest[: cut.start()] if cut else rest)
     end_block()
     return lines
 

@@ -161,6 +161,13 @@ def test_page_without_article():
     assert html_text.main_text(page) == f"{(long * 2).strip()}\n{long.strip()}\nshort"
 
 
+def test_container_named_like_furniture():
+    page = "<div class='layout with-sidebar'><div class=sidebar>side</div><main><p>The text.</p><header><h2>Part</h2></header><div class=comments><p>No.</p></div></main></div><div class=related>x</div>"
+    assert html_text.main_text(page) == "The text.\nPart"
+    assert html_text.main_text("<article><p>Cut off te") == "Cut off te" and html_text.main_text("<p>Cut <b clas") == "Cut"
+    assert html_text.main_text("<nav><p>never closed") == ""
+
+
 def test_long_pages_are_linear():
     assert html_text.main_text("<div>" * 50_000 + "text" + "<" * 20_000).startswith("text")
     assert html_text.main_text("<article>" + "<p>word</p>" * 30_000).count("\n") == 29_999
