@@ -2,13 +2,14 @@
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sentrylane.llm.common import mixed, powers, table
+from sentrylane.llm.common import powers, table
 
 #: Where the model lies, on the driver. Its pieces travel with the tasks.
 MODEL = os.environ.get("SENTRYLANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -52,6 +53,9 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids)[order]
         self.key_scores = np.array(self.scores, np.float64)[self.ids]
+        # One bit for the high bits of each key: most substrings are no piece, and stop here.
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.keys >> np.uint64(44)] = True
         self.longest = max(len(shown[i]) for i in ids)
         self.by_text = {shown[i]: i for i in ids}
         # A character that no piece covers costs more than any piece.
@@ -61,44 +65,53 @@ class Pieces:
         for i in byte:
             self.byte_ids[int(self.texts[i][1:-1], 16)] = i
         values = [bytes([int(t[1:-1], 16)]) if k == "byte" else s.encode() for t, k, s in zip(self.texts, self.kinds, shown)]
-        self.bytes = Flat(values)
+        self.bytes = Flat(np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64))
         # Characters that are in no piece part words; a space begins one.
         alone = "".join(c for c in "\n\t\r" if not any(c in s for s in shown))
         inner = any(" " in s.lstrip(" ") for s in shown)
         self.word = re.compile(r"(?s).+" if inner else f" +[^ {alone}]*|[{alone}]|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+")
-        self.words: dict[str, int] = {}
-        self.found: list[np.ndarray] = []
+        self._forget()
         self._ready = True
 
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.found = Flat(np.zeros(0, np.int32), np.zeros(0, np.int64))
+
     @staticmethod
     def _key(text: str) -> np.uint64:
         points = np.array([ord(c) for c in text], np.uint64)
         with np.errstate(over="ignore"):
-            return mixed(np.sum((points + np.uint64(1)) * powers(len(points))[0], dtype=np.uint64) + np.uint64(len(points)))
+            return np.sum((points + np.uint64(1)) * powers(len(points))[0], dtype=np.uint64)
 
-    def segment(self, words: list[str]) -> list[list[int]]:
+    def segment(self, words: list[str]) -> "Flat":
         """The best pieces of each word: of the highest sum of scores.
 
         Words of one length advance together, one code point at a time. At each place the
         hashes of all substrings that end there are looked up among the sorted keys, and
         the best of them is kept with where it began.
         """
-        out: list[list[int]] = [[] for _ in words]
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
+        parts, order = [], []
         for length, all_of in by_length.items():
             step = max(1, CELLS // max(length, 1))
             for at in range(0, len(all_of), step):
                 which = all_of[at : at + step]
-                for i, ids in zip(which, self._advance([words[i] for i in which], length)):
-                    out[i] = ids
-        return out
-
-    def _advance(self, words: list[str], length: int) -> list[list[int]]:
+                parts.append(self._advance([words[i] for i in which], length))
+                order += which
+        if not parts:
+            return Flat(np.zeros(0, np.int32), np.zeros(0, np.int64))
+        whole = Flat(np.concatenate([p.data for p in parts]), np.concatenate([p.lengths for p in parts]))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        ids, _ = whole.take(back)
+        return Flat(ids, whole.lengths[back])
+
+    def _advance(self, words: list[str], length: int) -> "Flat":
         n = len(words)
         if not length:
-            return [[] for _ in words]
+            return Flat(np.zeros(0, np.int32), np.zeros(n, np.int64))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
         power, inverse = powers(length + 1)
         with np.errstate(over="ignore"):
@@ -107,36 +120,51 @@ class Pieces:
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0.0
         back, piece = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
-        rows = np.arange(n)
         for end in range(1, length + 1):
             starts = np.arange(max(0, end - self.longest), end)
             with np.errstate(over="ignore"):
-                keys = mixed((prefix[end] - prefix[starts]) * inverse[starts, None] + (end - starts).astype(np.uint64)[:, None])
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            score = np.where(hit, best[starts] + self.key_scores[at], -np.inf)
+                keys = (prefix[end] - prefix[starts]) * inverse[starts, None]
+            row, col = np.nonzero(self.marks[keys >> np.uint64(44)])
+            some = keys[row, col]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            hit = self.keys[at] == some
+            row, col, at = row[hit], col[hit], at[hit]
+            score = np.full(keys.shape, -np.inf)
+            score[row, col] = best[starts[row], col] + self.key_scores[at]
+            known = np.full(keys.shape, -1, np.int32)
+            known[row, col] = self.ids[at]
             # The last start is a single character, which may be unknown.
-            alone = ~hit[-1]
-            score[-1] = np.where(alone, best[end - 1] + self.unknown, score[-1])
+            alone = known[-1] < 0
+            score[-1, alone] = best[end - 1, alone] + self.unknown
             take = score.argmax(axis=0)
-            best[end], back[end] = score[take, rows], starts[take]
-            known = hit[take, rows]
-            piece[end] = np.where(known, self.ids[at[take, rows]], -1)
-        found = []
-        for row, word in enumerate(words):
-            ids, end = [], length
-            while end:
-                start = int(back[end, row])
-                if piece[end, row] >= 0:
-                    ids.append(int(piece[end, row]))
-                else:
-                    ids += [int(self.byte_ids[b]) for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
-                end = start
-            ids.reverse()
-            if b"".join(self.bytes.value(i) for i in ids) != word.encode("utf-8", "surrogatepass"):
-                ids = self.plain(word)  # two substrings of one hash
-            found.append(ids)
-        return found
+            rows = np.arange(n)
+            best[end], back[end], piece[end] = score[take, rows], starts[take], known[take, rows]
+        return self._traced(words, length, back, piece)
+
+    def _traced(self, words: list[str], length: int, back: np.ndarray, piece: np.ndarray) -> "Flat":
+        """The pieces along the backpointers, from the last to the first."""
+        n = len(words)
+        which, end = np.arange(n), np.full(n, length)
+        rows, ids = [], []
+        while len(which):
+            rows.append(which)
+            ids.append(piece[end, which])
+            end = back[end, which]
+            which, end = which[end > 0], end[end > 0]
+        rows, ids = np.concatenate(rows[::-1]), np.concatenate(ids[::-1])
+        order = np.argsort(rows, kind="stable")
+        rows, ids = rows[order], ids[order]
+        found = Flat(ids, np.bincount(rows, minlength=n))
+        # Words with unknown characters, or (two substrings of one hash) other pieces than they should have.
+        odd = np.unique(rows[ids < 0]).tolist()
+        data, ends = self.bytes.take(np.maximum(ids, 0))
+        if not odd and data.tobytes() == "".join(words).encode("utf-8", "surrogatepass"):
+            return found
+        values = []
+        for i in range(n):
+            mine = found.data[found.starts[i] : found.starts[i] + found.lengths[i]].tolist()
+            values.append(mine if min(mine) >= 0 and b"".join(map(self.bytes.value, mine)) == words[i].encode("utf-8", "surrogatepass") else self.plain(words[i]))
+        return Flat(np.array([x for v in values for x in v], np.int32), np.array([len(v) for v in values], np.int64))
 
     def plain(self, word: str) -> list[int]:
         """The same by a dictionary, one word at a time."""
@@ -163,17 +191,16 @@ class Pieces:
         """
         self.prepare()
         if len(self.words) > WORDS_KEPT:
-            self.words, self.found = {}, []
+            self._forget()
         split = [self.word.findall(" " + t) if t else [] for t in texts]
         fresh = list({w for words in split for w in words if w not in self.words})
-        for w, ids in zip(fresh, self.segment(fresh)):
-            self.words[w] = len(self.found)
-            self.found.append(np.array(ids, np.int32))
-        table_of = Flat(self.found)
-        get = self.words.__getitem__
+        if fresh:
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+            more = self.segment(fresh)
+            self.found = Flat(np.concatenate([self.found.data, more.data]), np.concatenate([self.found.lengths, more.lengths]))
         counts = np.array([len(w) for w in split], np.int64)
-        index = np.fromiter((get(w) for words in split for w in words), np.int64, int(counts.sum()))
-        ids, ends = table_of.take(index)
+        index = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        ids, ends = self.found.take(index)
         starts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         return ids, starts
 
@@ -189,11 +216,9 @@ class Pieces:
 class Flat:
     """Sequences laid one after the other, to be gathered by number."""
 
-    def __init__(self, values: list):
-        kind = np.int32 if not values or isinstance(values[0], np.ndarray) else np.uint8
-        self.lengths = np.array([len(v) for v in values], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.data = (np.concatenate(values) if values else np.zeros(0, kind)) if kind is np.int32 else np.frombuffer(b"".join(values), np.uint8)
+    def __init__(self, data: np.ndarray, lengths: np.ndarray):
+        self.data, self.lengths = data, lengths
+        self.starts = np.cumsum(lengths) - lengths
 
     def value(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
@@ -206,7 +231,7 @@ class Flat:
         return self.data[np.arange(total) + shift], ends
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20):
+def _slices(texts: pa.Array, most: int = 2 << 20):
     """Ranges of rows with about ``most`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto = np.cumsum(sizes)
@@ -217,15 +242,19 @@ def _slices(texts: pa.Array, most: int = 4 << 20):
     return zip(cuts, cuts[1:])
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: Pieces | None = None) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: Pieces | None = None, back_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of every whole text in ``ids_col``.
 
-    A map without shuffle; memory follows a slice of a few MB of text, or one text. Null
-    and empty texts have no ids; an empty table gives no rows; other columns go along.
+    With ``back_col``, also what the ids decode to, from the same pass. A map without
+    shuffle; memory follows a slice of a few MB of text, or one text. Null and empty texts
+    have no ids; an empty table gives no rows; other columns go along.
     """
     model = model or Pieces.load()
-    rest = [f for f in docs.schema.fields if f.name != ids_col]
+    rest = [f for f in docs.schema.fields if f.name not in (ids_col, back_col)]
     schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    if back_col:
+        schema = schema.add(back_col, T.StringType())
+    names = schema.fieldNames()
 
     def encoded(batches):
         for b in batches:
@@ -234,7 +263,8 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
                 part = b.slice(start, end - start)
                 ids, starts = model.encode(texts.slice(start, end - start).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[f.name for f in schema.fields])
+                back = [pa.array(model.decode(ids, starts), pa.string())] if back_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], names=names)
 
     return docs.select(*[f"`{f.name}`" for f in rest]).mapInArrow(encoded, schema)
 
@@ -260,10 +290,9 @@ def decode(coded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mo
 
 def tokens(docs: DataFrame) -> DataFrame:
     """Ids of every document, decoded again: ``n_tokens``, ``ids``, and whether the text came back."""
-    model = Pieces.load()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    coded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), model=model)
-    return decode(coded, model=model).select(
+    coded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), back_col="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
     )
