@@ -24,9 +24,13 @@ class Derivation:
     index: str | None = None
     templates: tuple[tuple, ...] = ()
     names: tuple[str, ...] = ()
+    #: Deal the source rows (keys, no texts) to all cores first: a provided table is one
+    #: file, which one task reads, where a repository is listed file by file.
+    dealt: bool = False
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.of(spark.read.parquet(f"{folder}/{self.table}.parquet"))
+        rows = spark.read.parquet(f"{folder}/{self.table}.parquet")
+        return self.of(rows.repartition(spark.sparkContext.defaultParallelism) if self.dealt else rows)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """The same projection of a given (possibly streaming) DataFrame."""
@@ -166,6 +170,7 @@ FACTS = Derivation(
     f"(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % {len(_FACT_ROWS)}",
     _FACT_ROWS,
     ("kind", "type_text", "name_text", "init_text", "scope_text", "arg_text", "args", "body_text"),
+    dealt=True,
 )
 
 
@@ -464,6 +469,7 @@ ORDER_FILES = Derivation(
     f"o_orderkey % {len(SOURCES)}",
     tuple((_FILE_HEAD + body + _FILE_TAIL,) for body, _, _ in SOURCES),
     ("java",),
+    dealt=True,
 )
 
 #: A document's text within a text block: backslashes and quotes escaped.
@@ -501,6 +507,7 @@ NESTED_FILES = Derivation(
             + _DEPTH + ") || 'int deep = 1;' || repeat(' }', " + _DEPTH + ") || '\n  }\n  N()\n' || repeat(' ', " + _BLANKS + ") || '{ }\n}\n'"
         ),
     },
+    dealt=True,
 )
 
 #: Order files of which some have no content, in one repository, or no end, in another.
@@ -511,6 +518,7 @@ BROKEN_FILES = Derivation(
     ORDER_FILES.index,
     ORDER_FILES.templates,
     ORDER_FILES.names,
+    dealt=True,
 )
 
 # --- runtime events, from events ----------------------------------------------------
