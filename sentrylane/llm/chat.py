@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import parts, table
@@ -92,8 +92,7 @@ def format_chat(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFra
         last, seq = (), 0
         for b in batches:
             out = []
-            for conv, turn, role, text in zip(b["conv_id"].astype("Int64").tolist(), b["turn"].astype("Int64").tolist(), b["role"], b["text"]):
-                conv, turn = None if conv is pd.NA else conv, None if turn is pd.NA else turn
+            for conv, turn, role, text in zip(*[c.to_pylist() for c in b.columns]):
                 seq = seq + 1 if last == (conv,) else 0
                 last = (conv,)
                 shown, escaped = rendered_turn(role, text)
@@ -102,17 +101,14 @@ def format_chat(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFra
                 out.append((conv, seq, turn, role, text, escaped, shown, *mask))
             yield _frame(out, RENDERED)
 
-    return dealt.mapInPandas(formatted, RENDERED)
+    return dealt.mapInArrow(formatted, RENDERED)
 
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    """Rows as a frame; longs that may be null keep their exact values."""
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    out = pd.DataFrame(rows, columns=names, dtype=object)
-    for name, kind in (x.split(" ") for x in schema.split(", ")):
-        if kind == "long":
-            out[name] = pd.array([None if v is None else int(v) for v in out[name]], dtype="Int64")
-    return out
+def _frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -133,8 +129,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for conv, shown, start, end in zip(b["conv_id"].astype("Int64"), b["rendered"], b["loss_start"].astype("Int64"), b["loss_end"].astype("Int64")):
-                conv = None if conv is pd.NA else int(conv)
+            for conv, shown, start, end in zip(*[c.to_pylist() for c in b.columns]):
                 if now is None or now[0] != conv:
                     if now:
                         out.append(row())
@@ -142,8 +137,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                 for role, text in parse(shown):
                     now[1] += 1
                     now[2].update(f"{role}\n{text}\n".encode())
-                if start is not pd.NA:
-                    masked = unescape(shown[int(start) : int(end)])
+                if start is not None:
+                    masked = unescape(shown[start:end])
                     now[3] += len(masked)
                     now[4].update(masked.encode())
                 now[5] += len(shown)
@@ -151,7 +146,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if now:
             yield _frame([row()], DIGEST)
 
-    return formatted.select("conv_id", "rendered", "loss_start", "loss_end").mapInPandas(read, DIGEST)
+    return formatted.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(read, DIGEST)
 
 
 def with_hostile(turns: DataFrame) -> DataFrame:

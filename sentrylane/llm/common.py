@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -77,24 +78,27 @@ def running(frame: DataFrame, group: str, order: list[str], amount: str, name: s
     """
     schema = T.StructType([*frame.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(name, T.LongType())])
 
+    names = schema.fieldNames()
+    at_group, at_amount = frame.columns.index(group), frame.columns.index(amount)
+
     def sums(batches):
         part, last, total = TaskContext.get().partitionId(), None, 0
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            value, key = rows[amount].to_numpy(np.int64), rows[group].to_numpy()
+            keys, value = rows.column(at_group), rows.column(at_amount).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.dictionary_encode(keys).indices.to_numpy(zero_copy_only=False)
             upto = np.cumsum(value) - value
-            first = np.r_[True, key[1:] != key[:-1]]
-            start = np.flatnonzero(first)
-            base = -upto[start]
-            if key[0] == last:
+            first = np.r_[True, code[1:] != code[:-1]]
+            base = -upto[np.flatnonzero(first)]
+            if keys[0].as_py() == last:
                 base[0] += total
             out = upto + base[np.cumsum(first) - 1]
-            last, total = key[-1], int(out[-1] + value[-1])
-            yield rows.assign(_part=np.int32(part), **{name: out})
+            last, total = keys[-1].as_py(), int(out[-1] + value[-1])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(out), part, np.int32)), pa.array(out)], names=names)
 
     dealt = frame.repartitionByRange(parts(frame), group, *order).sortWithinPartitions(group, *order)
-    local = stored(dealt.mapInPandas(sums, schema), f"running-{name}")
+    local = stored(dealt.mapInArrow(sums, schema), f"running-{name}")
     totals = local.groupBy(group, "_part").agg(F.max(F.col(name) + F.col(amount)).alias("_sum"))
     before = totals.selectExpr(
         f"`{group}` AS _in", "_part AS _of",

@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import table
@@ -185,10 +185,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def extracted(batches):
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": [main_text(h) if h else "" for h in b["html"]]})
+            texts = pa.array([main_text(h) if h else "" for h in b.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(extracted, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(extracted, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

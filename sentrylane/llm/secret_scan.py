@@ -3,7 +3,7 @@
 import re
 from math import log2
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import table
@@ -101,15 +101,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     empty texts have no findings, null ids and repeated rows are scanned as any other, an
     empty table gives no rows.
     """
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     listed = "|".join(f"(?:{_own_groups(a, i)})" for i, a in enumerate(allowed)) or r"(?!)"
 
     def scanned(batches):
         pattern = re.compile(listed)
         for b in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in found_spans(t, pattern)] if t else [] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": spans})
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in found_spans(t, pattern)] if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(scanned, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scanned, SPANS)
 
 
 def _own_groups(pattern: str, i: int) -> str:

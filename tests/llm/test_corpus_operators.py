@@ -50,6 +50,16 @@ def corpus():
     return rows + [(None, base, "s0"), (None, "null id only " * 3, "s1"), rows[3], rows[3]]
 
 
+def test_ids_are_exact_beside_nulls(spark):
+    big = 2**62 + 1
+    docs = documents(spark, [(big, "a b c d e f", "s"), (None, "g h", None)])
+    for out in (
+        exact_dedup.exact_groups(docs), sharding.shard(docs), mixing.positions(docs), minhash_trees.near_groups(docs), run_index.without_repeats(docs),
+        pieces.tokens(docs), mixing.mixed_rows(docs),
+    ):
+        assert {r.doc_id for r in out.collect()} == {big, None}
+
+
 # Exact duplicates
 
 

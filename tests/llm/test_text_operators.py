@@ -55,6 +55,21 @@ def test_conversation_round_trip(spark):
     assert (one.loss_chars, one.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+BIG = 2**62 + 1
+
+
+def test_ids_are_exact_beside_nulls(spark):
+    turns = spark.createDataFrame([(BIG, BIG, "user", "a"), (None, None, "user", "b")], "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(turns)
+    assert {(r.conv_id, r.turn) for r in out.collect()} == {(BIG, BIG), (None, None)}
+    assert {r.conv_id for r in chat.digests(out).collect()} == {BIG, None}
+    docs = documents(spark, [(BIG, "a b", "s"), (None, "c", "s")])
+    assert {r.doc_id for r in secret_scan.scan(docs).collect()} == {BIG, None}
+    assert {r.doc_id for r in quality.judged(docs).collect()} == {BIG, None}
+    pages = spark.createDataFrame([(BIG, "u", "<p>x"), (None, "u", "<p>x")], "page_id long, url string, html string")
+    assert {r.page_id for r in html_text.extract(pages).collect()} == {BIG, None}
+
+
 def test_no_conversations(spark):
     assert chat.digests(chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
