@@ -74,7 +74,7 @@ _KEYWORDS = (
 )
 
 
-def _rule_rows(rules: list[Rule]) -> str:
+def rule_rows(rules: list[Rule]) -> str:
     return values(
         [
             (r.rule_id, r.category, r.severity, r.confidence, r.cwe_id, r.auto_fix, r.description,
@@ -112,7 +112,7 @@ def static_findings(rule_ids=None, facts: str | None = None) -> str:
         f"{DAY} AS detected_at, severity, category, rule_text || detail AS description, "
         "path || ':' || CAST(line AS STRING) AS location, cwe_id, confidence, advice AS recommendations, "
         "auto_fix, rule_id, 'STATIC_ANALYZER' AS agent, path, line, match_key "
-        f"FROM hit JOIN {_rule_rows(rules)} USING (rule_id)"
+        f"FROM hit JOIN {rule_rows(rules)} USING (rule_id)"
     )
 
 
@@ -152,7 +152,7 @@ def runtime_findings(rule_ids=None, events: str | None = None, endings=_ENDINGS)
         parts.append(
             "SELECT event_id, ts, source, rule_id, match_key, category, severity, confidence, cwe_id, auto_fix, "
             f"rule_text || detail AS description, place AS location, advice FROM ({' UNION ALL '.join(arms)}) AS h "
-            f"JOIN {_rule_rows(rules)} USING (rule_id)"
+            f"JOIN {rule_rows(rules)} USING (rule_id)"
         )
     if rule_ids is None or "D07" in rule_ids:
         patterns = values(

@@ -1076,6 +1076,22 @@ def _(spark, folder):
     return _actions(spark, folder).filter("action = 'REMEDIATE'").select("finding_id", "remediation", "alert_level")
 
 
+_TEXT_FINDINGS = (
+    f"SELECT '' AS finding_id, {o.DAY} AS detected_at, severity, category, rule_text AS description, path || ':' || CAST(line AS STRING) AS location, auto_fix "
+    f"FROM ({_source_findings_sql()}) AS t JOIN {o.rule_rows(list(st.STATIC_RULES))} USING (rule_id)"
+)
+
+
+@query(
+    "chain_scan_respond",
+    f"SELECT location, category, severity, action, due_at, block_key, alert_level FROM ({o.actions(_TEXT_FINDINGS)}) AS a",
+)
+def _(spark, folder):
+    """Source text to responses."""
+    found = scan.scan_files(b.ORDER_FILES.frame(spark, folder), detected_at=_day())
+    return scan.respond(found, _c("detected_at")).select("location", "category", "severity", "action", "due_at", "block_key", "alert_level")
+
+
 _FIX = f"SELECT *, category AS c, line_text AS l FROM ({b.FIX_REQUESTS.sql}) AS q"
 
 

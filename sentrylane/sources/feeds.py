@@ -27,6 +27,40 @@ def nvd_from_text(documents: DataFrame, column: str, keep: tuple[str, ...] = ())
     )
 
 
+# Names of PMD's priorities, from 1 to 5.
+PMD_PRIORITIES = ("HIGH", "MEDIUM_HIGH", "MEDIUM", "MEDIUM_LOW", "LOW")
+
+
+def read_pmd(spark: SparkSession, path: str) -> DataFrame:
+    """Violations of PMD's CSV reports below ``path``, as ``pmd_findings`` takes them."""
+    rows = (
+        spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+        .schema("Problem string, Package string, File string, Priority string, Line string, Description string, `Rule set` string, Rule string")
+        .csv(path)
+    )
+    names = F.array(*[F.lit(n) for n in PMD_PRIORITIES])
+    number = F.expr("try_cast(Priority AS int)")
+    return rows.select(
+        F.col("File").alias("path"), F.expr("try_cast(Line AS int)").alias("line"), F.col("Rule").alias("rule"),
+        F.when(number.between(1, 5), F.get(names, number - 1)).otherwise("LOW").alias("priority"), F.col("Description").alias("description"),
+    )
+
+
+def read_spotbugs(spark: SparkSession, path: str) -> DataFrame:
+    """Bug instances of SpotBugs' XML reports below ``path``, as ``spotbugs_findings`` takes them."""
+    place = "struct<_sourcepath:string,_start:int>"
+    rows = (
+        spark.read.option("rowTag", "BugInstance")
+        .schema(f"_type string, _priority int, LongMessage string, SourceLine array<{place}>")
+        .format("xml").load(path)
+    )
+    first = F.get("SourceLine", F.lit(0))
+    return rows.select(
+        first["_sourcepath"].alias("path"), first["_start"].alias("line"), F.col("_type").alias("rule"), F.col("_priority").alias("priority"),
+        F.coalesce("LongMessage", "_type").alias("description"),
+    )
+
+
 def pmd_findings(violations: DataFrame, detected_at: Column | None = None) -> DataFrame:
     """PMD violations ``(path, line, rule, priority, description)`` to findings."""
     return _imported(

@@ -408,3 +408,22 @@ def test_external_reports(spark):
     rows = spark.createDataFrame([("A.java", 3, "R", "MEDIUM_HIGH", "t")], "path string, line int, rule string, priority string, description string")
     (row,) = schemas.assert_columns(feeds.pmd_findings(rows), schemas.FINDINGS, "pmd").collect()
     assert (row.category, row.severity, row.confidence, row.location, row.recommendations) == ("PMD: R", "MEDIUM", 0.85, "A.java:3", ["Review code at line 3"])
+
+
+def test_report_files_of_external_scanners(spark, tmp_path):
+    (tmp_path / "pmd.csv").write_text(
+        '"Problem","Package","File","Priority","Line","Description","Rule set","Rule"\n'
+        '"1","p","A.java","2","7","Avoid ""x"", please","Best","UnusedThing"\n"2","p","B.java","5","9","y","Best","Other"\n'
+    )
+    (tmp_path / "bugs.xml").write_text(
+        "<BugCollection><BugInstance type='NP_NULL' priority='1' category='C'><LongMessage>Null</LongMessage>"
+        "<SourceLine sourcepath='p/C.java' start='3' end='4'/></BugInstance>"
+        "<BugInstance type='DM_EXIT' priority='3'><SourceLine sourcepath='p/D.java' start='5'/><SourceLine sourcepath='p/E.java' start='6'/></BugInstance></BugCollection>"
+    )
+    found = feeds.pmd_findings(feeds.read_pmd(spark, str(tmp_path / "pmd.csv"))).unionByName(
+        feeds.spotbugs_findings(feeds.read_spotbugs(spark, str(tmp_path / "bugs.xml")))
+    )
+    assert sorted((r.location, r.category, r.severity, r.description) for r in found.collect()) == [
+        ("A.java:7", "PMD: UnusedThing", "MEDIUM", 'Avoid "x", please'), ("B.java:9", "PMD: Other", "LOW", "y"),
+        ("p/C.java:3", "SpotBugs: NP_NULL", "CRITICAL", "Null"), ("p/D.java:5", "SpotBugs: DM_EXIT", "MEDIUM", "DM_EXIT"),
+    ]
