@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrylane.llm.common import SPACE, filled, row_key, stored, table
+from sentrylane.llm.common import SPACE, filled, met, row_key, stored, table
 
 #: Characters of a block. Most documents are a few blocks; a document of n blocks takes
 #: about log2(n) rounds of naming.
@@ -14,12 +14,29 @@ BLOCK = 2048
 def _named(rows: DataFrame, content: list[str]) -> DataFrame:
     """``rows`` with ``name``: an integer that equal ``content``, and no other, shares.
 
-    Distinct contents are combined before the shuffle, sorted, and numbered in order. The
-    content itself is compared, not a hash. Rows meet their name in a sort-merge join,
-    whose hot keys (a block of a third of all documents) Spark splits.
+    Distinct contents are combined before the shuffle, sorted, and numbered in order.
     """
     names = rows.select(*content).distinct().sortWithinPartitions(*content).withColumn("name", F.monotonically_increasing_id())
-    return rows.join(names.hint("merge"), content)
+    # Written names leave a plain join, whose hot keys Spark splits.
+    return rows.join(stored(names, "numbers"), content)
+
+
+def _digest() -> F.Column:
+    return F.unhex(F.md5("block"))
+
+
+def _named_blocks(rows: DataFrame) -> DataFrame:
+    """The same for texts in ``block``, which are shuffled once, as distinct blocks.
+
+    The names are given to contents. A row asks for its block's name by the content's
+    128-bit digest, after it was checked that no two of the named contents share one; if
+    any do, rows ask by content. So equal names are equal blocks in every case.
+    """
+    named = rows.select("block").distinct().sortWithinPartitions("block").select(_digest().alias("digest"), F.monotonically_increasing_id().alias("name"))
+    names = stored(named, "numbers")
+    if names.groupBy("digest").count().where("count > 1").isEmpty():
+        return rows.select("*", _digest().alias("digest")).drop("block").join(names, "digest").drop("digest")
+    return _named(rows, ["block"]).drop("block")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -30,8 +47,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts as empty. A text is cut into blocks of ``block`` characters; distinct blocks
     are sorted and numbered; then neighbours' names are paired and the pairs sorted and
     numbered, round after round, until one name is left. Two texts share the number of
-    blocks and the last name if and only if they are equal: names stand for contents, so
-    nothing rests on a hash.
+    blocks and the last name if and only if they are equal.
 
     An empty text is one empty block. Null ids, repeated rows and further columns make no
     difference: each row is numbered and named on its own. An empty table gives no rows.
@@ -46,11 +62,11 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # What a document carries stays with its first block.
     first = F.col("pos") == 0
     carried = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "_key", "_hash", "_sha")]
-    now = stored(_named(blocks.select("_row", "n_blocks", "pos", *carried, "block"), ["block"]).drop("block"), "names")
+    now = stored(_named_blocks(blocks.select("_row", "n_blocks", F.col("n_blocks").alias("n_left"), "pos", *carried, "block")), "names")
     done = []
     while True:
-        done.append(now.where("n_left = 1") if "n_left" in now.columns else now.where("n_blocks = 1"))
-        more = now.where("n_left > 1") if "n_left" in now.columns else now.where("n_blocks > 1").withColumn("n_left", F.col("n_blocks"))
+        done.append(now.where("n_left = 1"))
+        more = now.where("n_left > 1")
         if more.isEmpty():
             break
         even = F.col("pos") % 2 == 0
@@ -77,7 +93,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(identities(docs, id_col, text_col, block), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "_row")
     groups = rows.groupBy("n_blocks", "name").agg(F.min(order).alias("_keep"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["n_blocks", "name"]).select(
+    return rows.join(stored(groups, "groups"), ["n_blocks", "name"]).select(
         "doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"),
         "text_sha256", "n_blocks", "_key", "_hash",
     )
@@ -86,9 +102,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the smallest id."""
     keep = exact_groups(docs, id_col, text_col).where("kept").select("_key", "_hash")
-    marked = docs.select("*", *row_key(id_col, text_col))
-    # Rows of the same id and text share their key; one of them is to stay.
-    return marked.join(keep, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    return met(docs, keep, "left_semi", True, id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
