@@ -1,6 +1,8 @@
 """Session settings and the shared folder that long jobs write to."""
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,7 +28,10 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    folder = os.environ.get("SENTRYLANE_WORK") or tempfile.mkdtemp(prefix="sentrylane-")
+    folder = os.environ.get("SENTRYLANE_WORK")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="sentrylane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     builder = builder.config("spark.checkpoint.dir", f"file://{folder}")
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -43,7 +48,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{shared.rstrip('/')}/sentrylane/{name}-{os.urandom(8).hex()}"
