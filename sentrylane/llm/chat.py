@@ -17,7 +17,7 @@ _ESCAPED = re.compile(r"<\|\\(\\*)(im_start|im_end)\|>")
 #: One turn of rendered text.
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
-RENDERED = "conv_id long, seq long, turn long, role string, text string, escaped boolean, rendered string, loss_start long, loss_end long"
+RENDERED = "conv_id long, turn long, role string, text string, escaped boolean, rendered string, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
@@ -66,42 +66,45 @@ def rendered_turn(role: str, text: str) -> tuple[str, bool]:
 
 
 def format_chat(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
-    """Rendered turns of every conversation, in order, with the span under the loss mask.
+    """Every turn rendered, with the span under the loss mask. A map without shuffle.
 
     A turn is rendered as it is and parsed again; if what comes back isn't the turn, its
     role and control strings are escaped, and the parse repeated. A turn always begins and
     ends with its own markers, so turns that survive alone survive one after the other:
-    joining the ``rendered`` of a conversation by ``seq`` gives its text, and ``parse``
-    gives its turns back. ``loss_start`` and ``loss_end`` are code points within
+    joining the ``rendered`` of a conversation by ``in_order`` gives its text, and
+    ``parse`` gives its turns back. ``loss_start`` and ``loss_end`` are code points within
     ``rendered``: the whole text of the turn (as escaped) for trained roles, else null.
 
-    Conversations are sorted across partitions and streamed through, so one of any number
-    of turns needs no more memory than a batch. Order is by turn, null turns last, then
-    role and text, so ties and repeated rows have one order. Null role or text is empty, a
-    null ``conv_id`` is a conversation of its own, an empty table gives no rows, and
-    further columns are ignored.
+    Null role or text is empty, repeated rows are turns of their own, a null ``conv_id``
+    is a conversation as any other, an empty table gives no rows, and further columns are
+    ignored.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "text"]
-    dealt = rows.repartition(parts(rows), "conv_id").sortWithinPartitions(*order)
 
     def formatted(batches):
-        last, seq = (), 0
         for b in batches:
             out = []
             for conv, turn, role, text in zip(*[c.to_pylist() for c in b.columns]):
-                seq = seq + 1 if last == (conv,) else 0
-                last = (conv,)
                 shown, escaped = rendered_turn(role, text)
                 start = shown.index("\n") + 1
                 mask = (start, len(shown) - len(END) - 1) if role in trained else (None, None)
-                out.append((conv, seq, turn, role, text, escaped, shown, *mask))
+                out.append((conv, turn, role, text, escaped, shown, *mask))
             yield _frame(out, RENDERED)
 
-    return dealt.mapInArrow(formatted, RENDERED)
+    return rows.mapInArrow(formatted, RENDERED)
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """Conversations whole and sorted within partitions: by turn, null turns last, then role and text.
+
+    So ties and repeated rows have one order. Rows are dealt out by conversation, which a
+    running hash over its turns asks for; they stream, so a conversation of any number of
+    turns needs no more memory than a batch.
+    """
+    return formatted.repartition(parts(formatted), "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
 
 def _frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -117,7 +120,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the rendered text alone: turns parsed back, and the loss mask's text.
 
-    Streams over partitions in the order of ``format_chat``; a conversation is a running hash.
+    Streams over partitions; a conversation is a running hash.
     """
 
     def read(batches):
@@ -146,7 +149,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if now:
             yield _frame([row()], DIGEST)
 
-    return formatted.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(read, DIGEST)
+    return in_order(formatted).select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(read, DIGEST)
 
 
 def with_hostile(turns: DataFrame) -> DataFrame:

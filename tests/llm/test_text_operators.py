@@ -40,7 +40,7 @@ def test_conversation_round_trip(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
     out = chat.format_chat(turns).toPandas()
     for conv in (1, 2, None):
-        mine = out[out.conv_id.isna() if conv is None else out.conv_id == conv].sort_values("seq")
+        mine = out[out.conv_id.isna() if conv is None else out.conv_id == conv].sort_values(["turn", "role", "text"], na_position="last")
         want = sorted(((t is None, t or 0, r or "", x or "") for c, t, r, x, _ in rows if c == conv))
         assert chat.parse("".join(mine.rendered)) == [(r, x) for _, _, r, x in want]
         for r in mine.itertuples():
