@@ -1,13 +1,13 @@
 """Mixing sources to target weights in fixed-length blocks (operator 9)."""
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrylane.llm.common import SPACE, filled, row_key, running, stored, table
+from sentrylane.llm.common import SPACE, filled, free, met, parts, row_key, running, stored, table
 
 #: Words of a block.
 BLOCK = 128
@@ -77,30 +77,42 @@ def shuffled(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draws(quotas: np.ndarray, per_shard: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each output shard, how many slots each source gets.
+def _within(quotas: np.ndarray, need: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial draws of ``need`` slots; what is over a quota is drawn again among the others."""
+    got = np.zeros(len(quotas), np.int64)
+    while need:
+        rest = quotas - got
+        step = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
+        got += step
+        need -= int(step.sum())
+    return got
 
-    Multinomial draws with the probabilities of what is left of the quotas. A draw over a
-    quota is cut to it and the rest drawn again among the others, so the sums over all
-    shards are the quotas and no source is used more often than it may be.
+
+def draw(quotas: np.ndarray, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each source was used before output ``shard``, and how often in it.
+
+    The shards are halved again and again, and each time the sources' slots are drawn for
+    the left half, with the probabilities of the quotas at hand, which no draw exceeds. So
+    the counts of all shards add up to the quotas, and any task finds those of any shard
+    in a few draws.
     """
-    rng, left, shard = np.random.default_rng(seed), quotas.astype(np.int64).copy(), 0
-    while left.sum():
-        need, got = min(per_shard, int(left.sum())), np.zeros(len(left), np.int64)
-        while need:
-            rest = left - got
-            step = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            got += step
-            need -= int(step.sum())
-        left -= got
-        yield shard, got
-        shard += 1
+    low, high = 0, max(1, -(-int(quotas.sum()) // per_shard))
+    before, now = np.zeros(len(quotas), np.int64), quotas.astype(np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = _within(now, (middle - low) * per_shard, np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            now, high = left, middle
+        else:
+            before, now, low = before + left, now - left, middle
+    return before, now
 
 
 def _sources(positions: DataFrame, block: int) -> DataFrame:
-    sizes = positions.groupBy("source").agg(F.sum("size").alias("source_size")).where("source_size > 0")
+    sizes = positions.groupBy("source").agg(F.sum("size").alias("source_size"))
     found = targets(sizes).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    return found.withColumn("quota", F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")), MOST * F.col("n_blocks")).cast("long"))
+    quota = F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest("source_size", F.lit(1))), MOST * F.col("n_blocks"))
+    return found.withColumn("quota", quota.cast("long"))
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -122,35 +134,35 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame, per_shard: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """The mix as slots: ``source``, ``shard``, ``slot`` within the shard's share, ``block``.
+    """The mix as slots: ``source``, ``shard``, ``slot`` among the source's in the shard, ``block``.
 
-    The driver sees one row per source, and draws counts per shard from it; a slot's place
-    in the mix and its block follow from these by arithmetic, inside tasks. The n-th use
-    of a source maps to a block by a permutation of its block numbers, with another
-    permutation for each round, so every block is used before any is used twice.
+    The driver sees one row per source. Shards are drawn inside tasks, and a slot's block
+    follows by arithmetic: the uses of a source map to its block numbers by a permutation,
+    with another one for each round, so every block is used before any is used twice.
     """
     spark = sources.sparkSession
-    order = sources.orderBy(F.col("source").isNull(), "source").collect()
-    quotas = np.array([r["quota"] for r in order], np.int64)
-    used, rows = np.zeros(len(order), np.int64), []
-    for shard, got in draws(quotas, per_shard, seed) if len(order) else ():
-        rows += [(order[i]["source"], int(i), shard, int(used[i]), int(got[i]), int(order[i]["n_blocks"])) for i in np.flatnonzero(got)]
-        used += got
-    plan = spark.createDataFrame(rows, "source string, number int, shard int, first long, n long, n_blocks long")
-
-    def mapped(batches):
-        for b in batches:
-            use, n, number = b["use"].to_numpy(np.int64), b["n_blocks"].to_numpy(np.int64), b["number"].to_numpy(np.int64)
-            out = np.zeros(len(b), np.int64)
-            epoch = use // np.maximum(n, 1)
-            for key in set(zip(number.tolist(), epoch.tolist())):
-                mine = (number == key[0]) & (epoch == key[1])
-                size = int(n[mine][0])
-                out[mine] = shuffled(use[mine] % size, size, seed + 1_000_003 * key[0] + key[1])
-            yield pd.DataFrame({"source": b["source"], "shard": b["shard"], "slot": use - b["first"].to_numpy(np.int64), "epoch": epoch, "block": out})
+    order = sources.select("source", "quota", "n_blocks").orderBy(F.col("source").isNull(), "source").collect()
+    names = [r["source"] for r in order]
+    quotas, n_blocks = (np.array([r[c] for r in order], np.int64) for c in ("quota", "n_blocks"))
+    n_shards = -(-int(quotas.sum()) // per_shard)
 
-    each = plan.repartition(max(1, min(len(rows), 1000))).selectExpr("*", "explode(sequence(first, first + n - 1)) AS use")
-    return each.mapInPandas(mapped, "source string, shard int, slot long, epoch long, block long")
+    def drawn(batches):
+        for b in batches:
+            for shard in b["id"].tolist():
+                before, got = draw(quotas, per_shard, shard, seed)
+                out = []
+                for i in np.flatnonzero(got).tolist():
+                    use, size = before[i] + np.arange(got[i]), int(n_blocks[i])
+                    epoch, block = use // size, np.zeros(len(use), np.int64)
+                    for e in np.unique(epoch).tolist():
+                        mine = epoch == e
+                        block[mine] = shuffled(use[mine] % size, size, seed + 1_000_003 * i + e)
+                    out.append(pd.DataFrame({"source": names[i], "shard": shard, "slot": use - before[i], "epoch": epoch, "block": block}))
+                if out:
+                    yield pd.concat(out)
+
+    shards = spark.range(0, n_shards, 1, max(1, min(n_shards, parts(sources))))
+    return shards.mapInPandas(drawn, "source string, shard long, slot long, epoch long, block long")
 
 
 def covered(where: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -176,7 +188,8 @@ def mixed(docs: DataFrame, block: int = BLOCK, per_shard: int = SHARD_BLOCKS, se
     sources = stored(_sources(where, block), "sources")
     use = slots(sources, per_shard, seed)
     reach = covered(where, block)
-    pieces = reach.join(use.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")) & (reach["block"] == use["block"])).select(
+    # The slots are made from a range of shards, whose size says nothing of theirs: no broadcast.
+    pieces = reach.join(use.withColumnRenamed("source", "_of").hint("merge"), F.col("source").eqNullSafe(F.col("_of")) & (reach["block"] == use["block"])).select(
         "doc_id", "_key", "_hash", "start", "source", "shard", "slot", "epoch", use["block"], "from", "to"
     )
     return where, sources, pieces
@@ -188,21 +201,26 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     # Equal rows have pieces each; a row is met once with all the cuts of its key, so the
     # text is not copied per piece before it is cut.
     cuts = pieces.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct("from", "to", "shard", "slot"))).alias("_cuts"))
-    once = docs.select("*", *row_key("doc_id", "text")).dropDuplicates(["_key", "_hash"]).join(cuts, ["_key", "_hash"]).drop("_key", "_hash")
+    name = free(docs, "_cuts")
+    once = met(docs, cuts.withColumnRenamed("_cuts", name), "inner", once=True)
+    columns = docs.columns
 
     def cut(batches):
         for b in batches:
-            for at in range(len(b)):
-                row = b.iloc[at : at + 1]
-                text = row["text"].iloc[0]
+            texts, found = b.column(columns.index("text")).to_pylist(), b.column(len(columns)).to_pylist()
+            rows, out = [], []
+            for i, (text, places) in enumerate(zip(texts, found)):
                 starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-                found = [text[starts[c["from"]] : starts[c["to"]]] for c in row["_cuts"].iloc[0]]
-                out = row.drop(columns="_cuts").loc[row.index.repeat(len(found))].assign(text=found)
-                if "n_chars" in out:
-                    out["n_chars"] = [len(t) for t in found]
-                yield out
-
-    return once.mapInPandas(cut, docs.schema)
+                out += [text[starts[p["from"]] : starts[p["to"]]] for p in places]
+                rows += [i] * len(places)
+                if rows and (len(rows) > 5000 or i == len(texts) - 1):
+                    part = b.take(pa.array(rows))
+                    changed = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out])}
+                    arrays = [changed[c].cast(part.column(k).type) if c in changed else part.column(k) for k, c in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                    rows, out = [], []
+
+    return once.mapInArrow(cut, docs.schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
