@@ -22,7 +22,7 @@ BIG = 4_000_000
 #: Minwise values of a signature: at least so many, and what the trees branch by.
 VALUES = 64
 #: Bytes of text turned into shingles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def trees_for(recall: float, similar: int, levels: int = LEVELS) -> int:

@@ -14,8 +14,8 @@ from sentrylane.llm.common import powers, table
 #: Where the model lies, on the driver. Its pieces travel with the tasks.
 MODEL = os.environ.get("SENTRYLANE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Distinct words a worker remembers before it starts anew, and code points of one matrix.
-WORDS_KEPT = 300_000
-CELLS = 1 << 20
+WORDS_KEPT = 150_000
+CELLS = 1 << 17
 
 #: The space mark of pieces. In a text, a space stands for it; the character itself is unknown.
 MARK = "▁"
@@ -231,7 +231,7 @@ class Flat:
         return self.data[np.arange(total) + shift], ends
 
 
-def _slices(texts: pa.Array, most: int = 2 << 20):
+def _slices(texts: pa.Array, most: int = 1 << 20):
     """Ranges of rows with about ``most`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto = np.cumsum(sizes)
