@@ -14,10 +14,10 @@ from sentrylane.llm.minhash_trees import _grouped
 LENGTH = 400
 GRAM = 200
 #: Bytes of text that are indexed at once, and of windows around one gram that a task takes.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 HOT = 2 << 20
 #: Bytes looked at together; a longer text is looked at in overlapping parts.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 22) - 1)
 
 
