@@ -8,6 +8,7 @@ rows to the same place.
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -149,18 +150,21 @@ def retrain_when_due(
         if due:
             model = risk.train_classifier(stored)
             model.write().overwrite().save(f"{folder}/models/{batch_id}")
+            # Noted once the model is whole: one row per fit.
+            spark.range(1).selectExpr(f"{batch_id}L AS version").write.mode("overwrite").parquet(f"{folder}/versions/{batch_id}")
 
     return scores.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def model_versions(spark, folder: str) -> list[int]:
     """Batches that left a model below ``folder``, oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/models")
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
+    try:
+        written = spark.read.schema("version long").option("recursiveFileLookup", "true").parquet(f"{folder}/versions")
+        return sorted(r.version for r in written.collect())
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
-    return sorted(int(s.getPath().getName()) for s in files.listStatus(root))
 
 
 def latest_model(spark, folder: str) -> PipelineModel | None:
