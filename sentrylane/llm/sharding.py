@@ -1,7 +1,5 @@
 """Shards of near-equal bytes by longest-processing-time scheduling (operator 4)."""
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import running, stored, table
@@ -12,30 +10,32 @@ SHARDS = 8
 def schedule(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
     """Longest-processing-time scheduling of ``classes`` (size, number of items).
 
-    Sizes come in descending order. Each item goes to the least-loaded shard, which a heap
-    yields (the lower number among equals). Items of one class are alike, so a class is
-    scheduled as runs: ``(size, start, step, length, shard)`` says that items ``start``,
-    ``start + step``, ... (``length`` of them) go to ``shard``. Once the loads of all
-    shards lie within one item of each other the heap only cycles, and the rest of the
-    class is dealt in one go: the work follows the number of classes, not of items.
+    Sizes come in descending order. Each item goes to the least-loaded shard (the lower
+    number among equals). Items of one class are alike, so a class is scheduled as runs:
+    ``(size, start, step, length, shard)`` says that items ``start``, ``start + step``, ...
+    (``length`` of them) go to ``shard``. The shards whose loads lie within one item of the
+    lowest take one item each, in the order of load and number, round after round, until
+    they reach the load of the next higher shard, which then takes part: rounds are dealt
+    in one go. Each such plateau adds a shard, so a class has at most ``shards`` of them and
+    one run per shard and plateau, however far one shard lies above the others.
     """
-    heap = [(0, s) for s in range(shards)]
+    loads = [(0, s) for s in range(shards)]
     runs = []
     for size, count in classes:
         at = 0
         while at < count:
-            low, high = heap[0][0], max(load for load, _ in heap)
-            if high - low < size and count - at >= shards:
-                # In each round every shard gets one item, in the order of load and number.
-                cycle, full = sorted(heap), (count - at) // shards
-                runs += [(size, at + i, shards, full, s) for i, (_, s) in enumerate(cycle)]
-                heap = [(load + full * size, s) for load, s in cycle]
-                at += full * shards
-                continue
-            load, shard = heap[0]
-            heapq.heapreplace(heap, (load + size, shard))
-            runs.append((size, at, 1, 1, shard))
-            at += 1
+            loads.sort()
+            low = [x for x in loads if x[0] < loads[0][0] + size]
+            high = loads[len(low) :]
+            # A round is in order as long as the highest of the low shards is below the next one.
+            rounds = -((low[-1][0] - high[0][0]) // size) if high else count
+            dealt = min(count - at, rounds * len(low))
+            for i, (load, s) in enumerate(low[:dealt]):
+                length = (dealt - i + len(low) - 1) // len(low)
+                runs.append((size, at + i, len(low), length, s))
+                low[i] = (load + length * size, s)
+            loads = low + high
+            at += dealt
     return runs
 
 
@@ -43,10 +43,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """Every row with its shard, such that the shards' bytes are near equal.
 
     Rows of equal text stay together (null counts as the empty text). The groups, sorted
-    by size, go one after the other to the least-loaded shard. What the heap sees are
+    by size, go one after the other to the least-loaded shard. What the schedule sees are
     classes of groups of one size: their number is bounded by the distinct group sizes
     (at most the square root of twice all bytes), not by the documents, and the runs it
-    gives are joined back by the rank of a group within its class. Ranks and slots are
+    gives, a fixed number per class, are joined back by the rank of a group within its class. Ranks and slots are
     running totals over sorted ranges, so neither a hot text nor a hot size is one task's.
 
     Returns ``doc_id``, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``law`` (``bytes``),
@@ -66,13 +66,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     ranked = stored(running(groups, "bytes", ["group"], "one", "rank"), "ranks")
     classes = [(r[0], r[1]) for r in ranked.groupBy("bytes").count().orderBy(F.desc("bytes")).toLocalIterator()]
     runs = schedule(classes, shards)
-    plan = docs.sparkSession.createDataFrame(
-        runs, "bytes long, start long, step long, length long, shard int"
-    ).groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("start", "step", "length", "shard"))).alias("runs"))
-    fits = lambda r: (F.col("rank") >= r["start"]) & (F.col("rank") < r["start"] + r["step"] * r["length"]) & ((F.col("rank") - r["start"]) % r["step"] == 0)
-    placed = ranked.join(plan, "bytes").select(
-        "group", "bytes", F.filter("runs", fits)[0]["shard"].alias("shard"),
-    )
+    plan = docs.sparkSession.createDataFrame(runs, "_size long, start long, step long, length long, shard int")
+    after = F.col("rank") - F.col("start")
+    fits = (F.col("bytes") == F.col("_size")) & (after >= 0) & (after < F.col("step") * F.col("length")) & (after % F.col("step") == 0)
+    placed = ranked.join(plan, fits).select("group", "bytes", "shard")
     dealt = rows.join(stored(placed, "placed"), "group").select(
         "doc_id", F.col("doc_id").isNull().alias("_no"), "size", "text_crc32", "group", (-F.col("bytes")).alias("_bytes"), "shard", F.lit(1).cast("long").alias("one"),
     )

@@ -119,6 +119,29 @@ def test_schedule_is_the_heap():
         assert not got
 
 
+def test_schedule_beside_a_hot_group():
+    for hot in (150_000, 3_000_000):  # more than all the rest, so that its shard never comes back
+        classes = [(hot, 1), (7, 100_000), (5, 9), (2, 300_000)]
+        runs = sharding.schedule(classes, 8)
+        assert len(runs) <= len(classes) * 8 * 9 // 2
+        got = {(size, start + k * step): s for size, start, step, length, s in runs for k in range(length)}
+        heap = [(0, s) for s in range(8)]
+        for size, count in classes:
+            for k in range(count):
+                load, s = heap[0]
+                assert got.pop((size, k)) == s
+                heapq.heapreplace(heap, (load + size, s))
+        assert not got
+
+
+def test_shards_beside_a_hot_text(spark):
+    rows = [(i, "hot " * 500 if i % 3 == 0 else f"t{i:06d}", "s") for i in range(3000)]
+    out = sharding.shard(documents(spark, rows), 8).toPandas()
+    assert sorted(out.doc_id) == list(range(3000))
+    loads = out.groupby("shard")["size"].sum().sort_values()
+    assert loads.iloc[-1] == 1000 * 2001 and loads.iloc[-2] - loads.iloc[0] <= 8
+
+
 def test_shards(spark, corpus):
     out = sharding.shard(documents(spark, corpus), 8).toPandas()
     assert len(out) == len(corpus)
