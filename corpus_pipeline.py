@@ -9,12 +9,12 @@ from sentrylane.llm.exact_dedup import drop_exact
 from sentrylane.llm.minhash_trees import drop_near
 from sentrylane.llm.mixing import mixed_rows
 from sentrylane.llm.pieces import tokens
-from sentrylane.llm.quality import drop_failed
+from sentrylane.llm.quality import cleaned
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules do not reject."""
-    return drop_failed(docs)
+    """Documents that the rules do not reject, without the common lines of their host."""
+    return cleaned(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter
 from math import log2
 
 import duckdb
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from sentrylane.llm import chat, html_text, quality, secret_scan
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key long, _HASH string, name string"
@@ -150,6 +152,20 @@ def test_rules_keep_copies_and_repeated_rows(spark):
     assert quality.drop_failed(rows.limit(0)).count() == 0
 
 
+def test_common_lines_are_removed(spark):
+    line = lambda i: f"Some common license line {i + 10} that everybody carries along."
+    own = lambda i: f"own {'a' * (i + 1)} é\r\n\n" + " ".join(f"w{i}x{k}" for k in range(80)) + "\n"
+    text = lambda i: f"{line(i)}\n{own(i)}\n  {line(i).upper()}\t"
+    rows = [(i, text(i), "h") for i in range(60)]
+    rows += [rows[5], (None, text(7), "h"), (100, text(0), "other"), (101, own(1), None), (102, "\n".join([line(3)] * 12 + ["end"]), "h"), (103, None, "h"), (5, text(5), "other")]
+    want = [(i, own(i)) for i in [*range(60), 5]] + [(None, own(7)), (100, text(0)), (101, own(1)), (5, text(5))]
+    docs = documents(spark, rows)
+    for out in (quality.cleaned(docs), corpus_pipeline.quality_rules(spark, docs, "")):
+        assert out.schema == docs.schema
+        assert Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == Counter((i, t, len(t)) for i, t in want)
+    assert quality.cleaned(docs.limit(0)).count() == 0
+
+
 # Pages
 
 
