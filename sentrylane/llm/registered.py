@@ -1,6 +1,6 @@
 """Queries of this subpackage and their checking SQL."""
 
-from sentrylane.llm import chat, exact_dedup, html_text, minhash_trees, mixing, pieces, quality, run_index, secret_scan, sharding
+from sentrylane.llm import chat, exact_dedup, html_text, minhash_trees, mixing, pieces, quality, run_index, secret_scan, sharding, structure
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_mixing": mixing.op9_mixing,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op13_structure_repair": structure.op13_structure_repair,
 }
 
 ORACLES = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op13_structure_repair": structure.OP13_SQL,
 }
