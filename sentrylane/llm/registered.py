@@ -1,6 +1,6 @@
 """Queries of this subpackage and their checking SQL."""
 
-from sentrylane.llm import chat, exact_dedup, html_text, minhash_trees, mixing, pieces, quality, run_index, secret_scan, sharding, structure, variants
+from sentrylane.llm import chat, exact_dedup, html_text, licences, minhash_trees, mixing, pieces, quality, run_index, secret_scan, sharding, structure, variants
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_mixing": mixing.op9_mixing,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_license_scans": licences.op11_license_scans,
     "op12_spelling_variants": variants.op12_spelling_variants,
     "op13_structure_repair": structure.op13_structure_repair,
 }
