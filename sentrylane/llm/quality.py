@@ -7,12 +7,8 @@ from sentrylane.llm.common import SPACE, filled, free, met, row_key, stored, tab
 #: A document needs so many words, and at most so many of 100 words in repeated windows.
 MIN_WORDS = 50
 MAX_REPEATED = 50
-#: A line is boilerplate of its host if more than ``MIN_DOCS`` different texts of the host
-#: hold it, and more than ``SHARE`` of them all. Longer lines than ``LINE_WORDS`` words are
-#: passages: the duplicate stages see to them.
+#: A line of any length is boilerplate of its host if more different texts of the host hold it.
 MIN_DOCS = 20
-SHARE = 0.02
-LINE_WORDS = 30
 #: A document is depleted if less than this share of its words is left.
 KEEP_SHARE = 0.3
 
@@ -35,8 +31,8 @@ def _repeated_words(words: str) -> Column:
     return F.expr(let(grams, "g", f"CASE WHEN size(array_distinct(g)) = size(g) THEN 0L ELSE {heavy} END"))
 
 
-def _short_lines(text: str, line_words: int) -> Column:
-    """Place, hash and number of words of each normalised line of at most ``line_words`` words.
+def _full_lines(text: str) -> Column:
+    """Place, hash and number of words of each normalised line that has a word.
 
     Normalised: lower case, digits as 0, one space for white space.
     """
@@ -46,14 +42,14 @@ def _short_lines(text: str, line_words: int) -> Column:
         F.transform(F.split(text, "\n"), norm),
         lambda line, i: F.struct(i.alias("pos"), F.xxhash64(line).alias("line"), words(line).cast("long").alias("n")),
     )
-    return F.filter(rows, lambda r: (r["n"] > 0) & (r["n"] <= line_words))
+    return F.filter(rows, lambda r: r["n"] > 0)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_words: int = LINE_WORDS) -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Word, symbol and repetition counts of every whole text, whether the base rules fail it, and its lines.
 
     One map over the rows. Null text has no words; an empty table gives no rows. ``_lines``
-    are the short lines, ``_host`` and ``_content`` the host and a hash of the text.
+    are the lines with a word, ``_host`` and ``_content`` the host and a hash of the text.
     """
     text = filled(text_col)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
@@ -62,7 +58,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         "_full", F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     )
     return split.select(
-        "doc_id", "_key", "_hash", "_host", F.xxhash64("_text").alias("_content"), _short_lines("_text", line_words).alias("_lines"),
+        "doc_id", "_key", "_hash", "_host", F.xxhash64("_text").alias("_content"), _full_lines("_text").alias("_lines"),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -71,24 +67,19 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
-def common_lines(measured: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line) pairs above the limits.
+def common_lines(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, line) pairs above the limit, which is the same for hosts of any size.
 
     A document counts once for a line however often it holds it, and equal texts count as
     one document, so copies of a good page make nothing boilerplate. Distinct pairs and
     counts are combined before the shuffle.
     """
-    held = (
-        measured.select("_host", "_content", F.explode(F.array_distinct(F.transform("_lines", lambda r: r["line"]))).alias("_line"))
-        .distinct().groupBy("_host", "_line").agg(F.count("*").alias("_docs")).where(F.col("_docs") > min_docs)
-    )
-    hosts = measured.select("_host", "_content").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    return held.join(hosts, "_host").where(F.col("_docs") > share * F.col("_all")).select("_host", "_line")
+    held = measured.select("_host", "_content", F.explode(F.array_distinct(F.transform("_lines", lambda r: r["line"]))).alias("_line"))
+    return held.distinct().groupBy("_host", "_line").agg(F.count("*").alias("_docs")).where(F.col("_docs") > min_docs).select("_host", "_line")
 
 
 def judged(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, share: float = SHARE,
-    line_words: int = LINE_WORDS, keep_share: float = KEEP_SHARE,
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, keep_share: float = KEEP_SHARE
 ) -> DataFrame:
     """Measures of every row of ``docs`` (with a ``doc_id``), removed words, and whether it is kept.
 
@@ -98,8 +89,8 @@ def judged(
     rows. Texts are read once: what the rules need of them is written. ``_gone`` are the
     places of the common lines (from 0, null if there are none).
     """
-    measured = stored(measures(docs, "doc_id", text_col, host_col, line_words), "measures")
-    common = stored(common_lines(measured, min_docs, share), "common-lines")
+    measured = stored(measures(docs, "doc_id", text_col, host_col), "measures")
+    common = stored(common_lines(measured, min_docs), "common-lines")
     lines = measured.select("_key", "_hash", "_host", F.explode("_lines").alias("_l")).select("_key", "_hash", "_host", "_l.pos", F.col("_l.line").alias("_line"), "_l.n")
     # Rows alike in id and text have the same lines: under one host, each counts once.
     removed = (
@@ -187,14 +178,8 @@ lines AS (
 counted AS (
   SELECT doc_id, host, t, line, len(string_split(line, ' ')) AS n FROM lines WHERE line <> ''
 ),
-short AS (SELECT * FROM counted WHERE n <= {LINE_WORDS}),
-hosts AS (SELECT host, count(DISTINCT t) AS all_texts FROM d GROUP BY host),
-common AS (
-  SELECT s.host, s.line FROM short AS s JOIN hosts USING (host)
-  GROUP BY s.host, s.line, all_texts
-  HAVING count(DISTINCT s.t) > {MIN_DOCS} AND count(DISTINCT s.t) > {SHARE} * all_texts
-),
-gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM short JOIN common USING (host, line) GROUP BY doc_id),
+common AS (SELECT host, line FROM counted GROUP BY host, line HAVING count(DISTINCT t) > {MIN_DOCS}),
+gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM counted JOIN common USING (host, line) GROUP BY doc_id),
 f AS (
   SELECT m.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
          coalesce(gone.n, 0) AS n_removed_words

@@ -125,6 +125,75 @@ def test_long_text_is_linear(spark):
     assert [s.kind for s in spans] == ["assign"]
 
 
+_KEYS = {
+    "lower": "k3v9x0qz7m1c5b8n2d6f4h7j3w9r0t5y8p1s6g2a",
+    "upper": "K3VZX4QZ7MJC5BPN2D6F4H7JSWRRLT5YUPAS6G2A",
+    "base64": "q7Zp2LxV9bTn4KcR8mWd3HsJ6yGfEu/Xv1Bt5Na+",
+    "url": "q7Zp2LxV9bTn4KcR8m-d3HsJ6yGfEu_Xv1Bt5NaQ",
+    "hex": "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
+}
+
+
+@pytest.mark.parametrize("before", ["", "======", "example/", "docs/keys/", "------", "EXAMPLE-"])
+@pytest.mark.parametrize("kind", list(_KEYS))
+def test_random_keys_of_every_class_behind_anything(spark, kind, before):
+    text = f"see {before}{_KEYS[kind]} there"
+    allowed = re.compile("|".join(f"(?:{secret_scan._own_groups(a, i)})" for i, a in enumerate(secret_scan.ALLOWED)))
+    spans = [s for s in secret_scan.found_spans(text, allowed) if s[0].startswith("entropy")]
+    at = text.index(_KEYS[kind])
+    covered = {i for _, a, b in spans for i in range(a, b)} & set(range(at, at + len(_KEYS[kind])))
+    assert len(covered) >= 24
+    assert [s for s in secret_scan.found_spans(text, allowed) if not s[0].startswith("entropy")] == secret_scan.base_spans(text)
+
+
+def test_ids_paths_and_fillers_are_no_keys(spark):
+    plain = [
+        "123e4567-e89b-12d3-a456-426614174000", "id_123E4567-E89B-12D3-A456-426614174000_x", "src/main/java/org/example/project/Class1/Another2",
+        "usr/local/lib/python3/site-packages/numpy/core", "internationalization2024conference", "=" * 60 + "A1b" + "=" * 60, "abcdefghij0123456789ABCDEFGHIJ",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AbAbAbAbAbAbAbAbAbAbAbAbAbAbAbAb1",
+    ]
+    rows = documents(spark, [(i, f"x {t} y", "a") for i, t in enumerate(plain)])
+    assert [r.spans for r in secret_scan.scan(rows).collect()] == [[]] * len(plain)
+    assert secret_scan.scan(rows.limit(0)).collect() == []
+
+
+def test_base_spans_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["password", "Token", "api_key", "apikey", ":", "=", " ", "'", '"', "abcd", "1234", "deadbeef", "AKIA", "ABCD1234", "é", "\n", "secret", "/", "passwd", "  "]
+
+    def brute(text):
+        found, at = [], 0
+        while at < len(text):
+            word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(w)].lower() == w), None)
+            m = word and re.compile(r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""").match(text, at + len(word))
+            if m:
+                if len(m[1]) >= 8:
+                    found.append(("assign", at, m.end()))
+                at = m.end()
+            else:
+                at += 1
+        for kind, chars, least, head in (("access", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, "AKIA"), ("hex", "0123456789abcdef", 32, "")):
+            at = 0
+            while at < len(text):
+                end = at + len(head)
+                if text.startswith(head, at):
+                    while end < len(text) and text[end] in chars:
+                        end += 1
+                    if end - at >= least:
+                        found.append((kind, at, end))
+                    if end > at + len(head):
+                        at = end
+                        continue
+                at += 1
+        return sorted(found)
+
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert sorted(secret_scan.base_spans(text)) == brute(text), text
+
+
 # Quality
 
 
@@ -154,7 +223,8 @@ def test_rules_keep_copies_and_repeated_rows(spark):
 
 def test_common_lines_are_removed(spark):
     line = lambda i: f"Some common license line {i + 10} that everybody carries along."
-    own = lambda i: f"own {'a' * (i + 1)} é\r\n\n" + " ".join(f"w{i}x{k}" for k in range(80)) + "\n"
+    # Lines are told apart with digits as 0: own lines differ in letters.
+    own = lambda i: f"own {'a' * (i + 1)} é\r\n\n" + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{k}" for k in range(80)) + "\n"
     text = lambda i: f"{line(i)}\n{own(i)}\n  {line(i).upper()}\t"
     rows = [(i, text(i), "h") for i in range(60)]
     rows += [rows[5], (None, text(7), "h"), (100, text(0), "other"), (101, own(1), None), (102, "\n".join([line(3)] * 12 + ["end"]), "h"), (103, None, "h"), (5, text(5), "other")]
@@ -202,3 +272,21 @@ def test_container_named_like_furniture():
 def test_long_pages_are_linear():
     assert html_text.main_text("<div>" * 50_000 + "text" + "<" * 20_000).startswith("text")
     assert html_text.main_text("<article>" + "<p>word</p>" * 30_000).count("\n") == 29_999
+
+
+@pytest.mark.parametrize("words", [20, 40, 400])
+def test_common_lines_of_any_length_go(spark, words):
+    notice = " ".join(f"notice{'a' * (k % 7)}{chr(97 + k % 26)}" for k in range(words))
+    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{'q' * (k // 26)}" for k in range(60 + 2 * words))
+    rows = [(i, f"{notice}\n{body(i)}", "h") for i in range(100)]
+    out = quality.cleaned(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.text) for r in out} == {(i, body(i)) for i in range(100)}
+
+
+@pytest.mark.parametrize("size", [2000, 4000])
+def test_the_number_of_documents_decides_in_hosts_of_any_size(spark, size):
+    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k % 26)}{'q' * (k // 26)}" for k in range(60))
+    rows = [(i, ("One line that some carry.\n" if i < 60 else "A rarer line.\n" if i < 80 else "") + body(i), "h") for i in range(size)]
+    judged = quality.judged(documents(spark, rows))
+    assert {r.doc_id for r in judged.where("n_removed_words = 5").collect()} == set(range(60))
+    assert judged.where("n_removed_words > 0").count() == 60 and judged.where("kept").count() == size
