@@ -20,15 +20,21 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 #: which a window counts, and how many kinds of characters (lower, upper, digit) it needs.
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-fA-F]{32,}"), 32, 3.0, 2),
+    ("entropy_lower", re.compile(r"[a-z0-9]{24,}"), 24, 3.7, 2),
+    ("entropy_upper", re.compile(r"[A-Z0-9]{24,}"), 24, 3.7, 2),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9, 3),
 )
-#: Strings that look random but are none: paths of words, repeated fillers, documentation keys.
+#: Strings that look random but are none: paths of words, repeated fillers, documentation
+#: keys, UUIDs. One suppresses the span, or the part between separators, that it matches whole.
 ALLOWED = (
-    r"(?:[A-Za-z]+[-_/]){3,}[A-Za-z]+",
-    r"(.{1,4})\1{5,}.*",
+    r"[-_/]?(?:[A-Za-z]+[0-9]{0,2}[-_/]){2,}[A-Za-z]+[0-9]{0,2}",
+    r"(.{1,4})\1{5,}.{0,3}",
     r".*(?:EXAMPLE|example|0123456789|abcdefghij).*",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
 )
+#: Parts of a run, with the separator behind: keys hold separators, but not two in a row.
+_PART = re.compile(r"[A-Za-z0-9+]+[/_=-]?|[/_=-]+")
+_UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
 
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 SPANS = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
@@ -79,18 +85,41 @@ def entropy_spans(run: str, window: int, bits: float, kinds: int) -> list[tuple[
     return [(a, b) for a, b in spans]
 
 
+def stretches(run: str, allowed: re.Pattern) -> list[tuple[int, int]]:
+    """What is left of a run of key characters where allowed parts and repeated separators are cut out."""
+    cuts = [m.span() for m in _UUID.finditer(run) if allowed.fullmatch(m[0])]
+    for m in _PART.finditer(run):
+        part = m[0].rstrip("/_=-")
+        if not part:
+            cuts.append(m.span())
+        elif allowed.fullmatch(part):
+            cuts.append((m.start(), m.start() + len(part)))
+    at, out = 0, []
+    for start, end in sorted(cuts):
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    return [*out, (at, len(run))]
+
+
 def found_spans(text: str, allowed: re.Pattern) -> list[tuple[str, int, int]]:
-    """Base and entropy findings by start, then kind. The allow-list suppresses entropy findings only."""
+    """Base and entropy findings by start, then kind. The allow-list suppresses entropy findings only.
+
+    It is held against parts and against the span found, so what stands beside a key in
+    one run of characters does not hide it.
+    """
     found = base_spans(text)
     for m in _CANDIDATE.finditer(text):
         run = m[0]
         # Words without a digit or without a second kind of letter cannot reach any class.
-        if run.isalpha() and (run.islower() or run[1:].islower()) or allowed.fullmatch(run):
+        if run.isalpha() and (run.islower() or run[1:].islower()):
             continue
-        for name, chars, window, bits, kinds in CLASSES:
-            for part in chars.finditer(run):
-                if not allowed.fullmatch(part[0]):
-                    found += [(name, m.start() + part.start() + a, m.start() + part.start() + b) for a, b in entropy_spans(part[0], window, bits, kinds)]
+        for start, end in stretches(run, allowed):
+            for name, chars, window, bits, kinds in CLASSES:
+                for part in chars.finditer(run, start, end):
+                    for a, b in entropy_spans(part[0], window, bits, kinds):
+                        if not allowed.fullmatch(part[0], a, b):
+                            found.append((name, m.start() + part.start() + a, m.start() + part.start() + b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
