@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import table
 
-#: Lines of a window, and the characters a window must hold where a text begins to surge.
+#: Lines of a window, and the characters that some window of a text's stretch must hold.
 WINDOW = 3
 SURGE = 86
-#: A line outside the article whose characters are links by this share is a menu's.
+#: A line outside an article whose characters are links by this share counts as empty
+#: (a menu's), unless it is a paragraph or heading.
 LINKS = 0.6
 
 #: HTML's own names, fixed: elements whose content is no text, elements that are furniture
@@ -28,15 +29,38 @@ BLOCKS = {
     "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 MAIN = {"article", "main"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|cookies?|consent|gdpr|notice|alert|comments?|respond|disqus|replies|reply"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-?header|page-?header|header|share|sharing|social|newsletter|subscribe|signup"
-    r"|related|recommend\w*|popup|modal|overlay|pagination|pager|widget|toolbar|skip-?link)(?:$|[\s_-])",
-    re.I,
+#: A class or id names furniture if the word it ends with does, before words of place and
+#: form: ``sidebar``, ``main-nav``, ``comments-area``, ``ad-left``. ``with-sidebar``,
+#: ``page-header`` and ``comments-open`` name layouts, parts and states of the text.
+_THING = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|sidebar|cookies?|consent|gdpr|notices?|alerts?|comments?|respond|disqus|replies|reply"
+    r"|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|header|share|sharing|social|newsletter|subscribe|signup"
+    r"|related|recommend\w*|popup|modal|overlay|pagination|pager|widgets?|toolbar|skiplink"
 )
+_FORM = {
+    "left", "right", "top", "bottom", "upper", "lower", "inner", "outer", "list", "box", "bar", "wrapper", "wrap", "container", "area", "section",
+    "block", "panel", "item", "items", "link", "links", "buttons", "form", "unit", "slot", "group", "row", "col", "column",
+}
+_LAYOUT = {"no", "not", "with", "without", "has", "hide", "hidden", "non"}
+_OF_TEXT = {"page", "article", "post", "entry", "content", "main", "story", "section"}
+
+
+def _names_furniture(name: str) -> bool:
+    words = [w for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name.strip()) if w]
+    words = [w.lower() for w in words if not w.isdigit()]
+    if words[:2] == ["side", "bar"] or words[:2] == ["skip", "link"]:
+        words[:2] = ["".join(words[:2])]
+    while len(words) > 1 and words[-1] in _FORM:
+        words.pop()
+    if not words or _LAYOUT & set(words) or not _THING.fullmatch(words[-1]):
+        return False
+    return not (words[-1] == "header" and len(words) > 1 and words[-2] in _OF_TEXT)
+
+
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _WHITE = re.compile(r"[\s\x00]+")
 
@@ -48,7 +72,7 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _NAMES.search(value) or key == "role" and value.lower() in _ROLES or key == "hidden":
+        if key in ("class", "id") and any(map(_names_furniture, value.split())) or key == "role" and value.lower() in _ROLES or key == "hidden":
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -82,29 +106,30 @@ def _tags(page: str) -> tuple[list[tuple[int, int, str, bool, str]], list[int]]:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks of a page without markup: text, characters in links, and whether in an article.
+    """Blocks of a page without markup: text, how many characters count, and whether in an article.
 
-    What furniture elements held is left as empty lines, outside articles. An element that
-    holds an article is no furniture, whatever its name.
+    Furniture elements leave nothing. An element that holds an article is no furniture,
+    whatever its name. Menu entries count for nothing: lines made of links, unless they
+    are paragraphs or headings. A link without an end ends with its block.
     """
     tags, close = _tags(page)
     articles = [i for i, t in enumerate(tags) if t[2] in MAIN and not t[3]]
     lines: list[tuple[str, int, bool]] = []
-    now, linked, links, main, at, i = [], 0, 0, 0, 0, 0
+    now, linked, link, main, prose, at, i = [], 0, False, 0, False, 0, 0
 
     def end_block():
-        nonlocal now, linked
+        nonlocal now, linked, link
         text = _WHITE.sub(" ", "".join(now)).strip()
         if text:
-            lines.append((text, linked, main > 0))
-        now, linked = [], 0
+            lines.append((text, 0 if linked >= LINKS * len(text) and not prose else len(text), main > 0))
+        now, linked, link = [], 0, False
 
     def add(raw: str):
         nonlocal linked
         if raw:
             text = entities.unescape(raw)
             now.append(text)
-            if links:
+            if link:
                 linked += len(text.strip())
 
     while i < len(tags):
@@ -116,23 +141,21 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in BLOCKS:
             end_block()
+            prose = not closing and name in PROSE
         elif name == "br":
             now.append(" ")
-        if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+        elif name == "a":
+            # With a name alone it is a place to link to.
+            link = not closing and ("href" in attributes.lower() or not attributes.strip())
         if closing:
             if name in MAIN and main:
                 main -= 1
-                if not main:
-                    lines += [("", 0, False)] * WINDOW
             continue
         if name in RAW or name in VOID:
             continue
         if _is_furniture(name, attributes, main > 0):
             inside = bisect_right(articles, here)
             if inside == len(articles) or articles[inside] >= close[here] or main:
-                if not main:
-                    lines += [("", 0, False)] * WINDOW
                 if close[here] >= len(tags):
                     end_block()
                     return lines
@@ -140,8 +163,6 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     i, at = close[here] + 1, tags[close[here]][1]
                 continue
         if name in MAIN:
-            if not main:
-                lines += [("", 0, False)] * WINDOW
             main += 1
     rest = page[at:]
     # A page cut off within a tag ends before that tag.
@@ -151,28 +172,40 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(page: str) -> str:
-    """The blocks between the surge and dive points of the page's line-block distribution.
+def region(lengths: np.ndarray) -> tuple[int, int]:
+    """The lines from the first surge to the last dive.
 
-    Where a page marks an article, lines outside it count as empty; elsewhere, lines made
-    of links do. Over windows of ``WINDOW`` lines the text lengths are summed. A text
-    surges with the first line whose window holds something after windows that held
-    nothing, and dives where windows are empty again. Stretches that reach ``SURGE``
-    characters in some window are text, and the highest stretch always is.
+    Over windows of ``WINDOW`` lines the lengths are summed. A stretch surges with the
+    first line whose window holds something after windows that held nothing, and dives
+    where windows are empty again. The text begins with the first stretch and ends with
+    the last one of which some window reaches ``SURGE``, or the largest sum of all if that
+    is less.
     """
-    lines = page_lines(page)
-    marked = any(inside for _, _, inside in lines)
-    lengths = np.array([len(t) if (inside if marked else linked < LINKS * len(t)) else 0 for t, linked, inside in lines], np.int64)
     if not lengths.any():
-        return ""
-    padded = np.r_[lengths, np.zeros(WINDOW, np.int64)]
-    sums = np.cumsum(np.r_[0, padded])
-    sums = sums[WINDOW:] - sums[:-WINDOW]
+        return 0, 0
+    padded = np.cumsum(np.r_[0, lengths, np.zeros(WINDOW - 1, np.int64)])
+    sums = padded[WINDOW:] - padded[:-WINDOW]
     live = np.r_[False, sums > 0, False]
     surge, dive = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    peaks = [int(sums[a:b].max()) for a, b in zip(surge, dive)]
-    kept = [(a, b) for a, b, p in zip(surge, dive, peaks) if p >= SURGE or p == max(peaks)]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, min(b, len(lines))) if lengths[i])
+    least = min(SURGE, int(sums.max()))
+    text = [(a, b) for a, b in zip(surge, dive) if sums[a:b].max() >= least]
+    # The windows of a stretch begin before its first line; that line holds something.
+    first, last = text[0][0], text[-1][1]
+    filled = np.flatnonzero(lengths[first:last])
+    return int(first + filled[0]), int(first + filled[-1] + 1)
+
+
+def main_text(page: str) -> str:
+    """The blocks between the first surge and the last dive of the page's line-block distribution.
+
+    Where a page marks articles, their blocks are its text. Elsewhere every block of the
+    region stays that is no furniture, however short, and whether it is a link or not.
+    """
+    lines = page_lines(page)
+    if any(inside for _, _, inside in lines):
+        return "\n".join(text for text, _, inside in lines if inside)
+    start, end = region(np.array([n for _, n, _ in lines], np.int64))
+    return "\n".join(text for text, _, _ in lines[start:end])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
