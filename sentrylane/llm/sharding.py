@@ -1,13 +1,21 @@
 """Shards of near-equal bytes by longest-processing-time scheduling (operator 4)."""
 
+from collections.abc import Iterable, Iterator
+from itertools import batched
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrylane.llm.common import running, stored, table
+from sentrylane.session import work_folder
 
 SHARDS = 8
+#: Runs of the schedule that the driver holds before it writes them.
+WRITTEN = 100_000
+
+_RUNS = "_size long, start long, step long, length long, shard int"
 
 
-def schedule(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
+def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Longest-processing-time scheduling of ``classes`` (size, number of items).
 
     Sizes come in descending order. Each item goes to the least-loaded shard (the lower
@@ -20,7 +28,6 @@ def schedule(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int
     one run per shard and plateau, however far one shard lies above the others.
     """
     loads = [(0, s) for s in range(shards)]
-    runs = []
     for size, count in classes:
         at = 0
         while at < count:
@@ -32,11 +39,19 @@ def schedule(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int
             dealt = min(count - at, rounds * len(low))
             for i, (load, s) in enumerate(low[:dealt]):
                 length = (dealt - i + len(low) - 1) // len(low)
-                runs.append((size, at + i, len(low), length, s))
+                yield size, at + i, len(low), length, s
                 low[i] = (load + length * size, s)
             loads = low + high
             at += dealt
-    return runs
+
+
+def _written(runs: Iterator[tuple], spark: SparkSession, chunk: int = WRITTEN) -> DataFrame:
+    """The runs as a table in the shared folder, of which the driver holds a chunk at a time."""
+    path = work_folder(spark, "llm-schedule")
+    spark.createDataFrame([], _RUNS).write.parquet(path)
+    for some in batched(runs, chunk):
+        spark.createDataFrame(list(some), _RUNS).write.mode("append").parquet(path)
+    return spark.read.schema(_RUNS).parquet(path)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,9 +60,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     Rows of equal text stay together (null counts as the empty text). The groups, sorted
     by size, go one after the other to the least-loaded shard. What the schedule sees are
     classes of groups of one size: their number is bounded by the distinct group sizes
-    (at most the square root of twice all bytes), not by the documents, and the runs it
-    gives, a fixed number per class, are joined back by the rank of a group within its class. Ranks and slots are
-    running totals over sorted ranges, so neither a hot text nor a hot size is one task's.
+    (at most the square root of twice all bytes), not by the documents. Classes stream
+    through the driver in descending order, and the runs, a fixed number per class, are
+    written a chunk at a time and joined back by the rank of a group within its class. Ranks
+    and slots are running totals over sorted ranges, so neither a hot text nor a hot size
+    is one task's.
 
     Returns ``doc_id``, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``law`` (``bytes``),
     ``shard``, ``slot`` (from 0, gapless, in the order of group rank and id) and
@@ -64,9 +81,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     )
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("one", F.lit(1).cast("long"))
     ranked = stored(running(groups, "bytes", ["group"], "one", "rank"), "ranks")
-    classes = [(r[0], r[1]) for r in ranked.groupBy("bytes").count().orderBy(F.desc("bytes")).toLocalIterator()]
-    runs = schedule(classes, shards)
-    plan = docs.sparkSession.createDataFrame(runs, "_size long, start long, step long, length long, shard int")
+    classes = stored(ranked.groupBy("bytes").count(), "classes").orderBy(F.desc("bytes"))
+    plan = _written(schedule(((r[0], r[1]) for r in classes.toLocalIterator()), shards), docs.sparkSession)
     after = F.col("rank") - F.col("start")
     fits = (F.col("bytes") == F.col("_size")) & (after >= 0) & (after < F.col("step") * F.col("length")) & (after % F.col("step") == 0)
     placed = ranked.join(plan, fits).select("group", "bytes", "shard")

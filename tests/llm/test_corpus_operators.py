@@ -122,7 +122,7 @@ def test_schedule_is_the_heap():
 def test_schedule_beside_a_hot_group():
     for hot in (150_000, 3_000_000):  # more than all the rest, so that its shard never comes back
         classes = [(hot, 1), (7, 100_000), (5, 9), (2, 300_000)]
-        runs = sharding.schedule(classes, 8)
+        runs = list(sharding.schedule(classes, 8))
         assert len(runs) <= len(classes) * 8 * 9 // 2
         got = {(size, start + k * step): s for size, start, step, length, s in runs for k in range(length)}
         heap = [(0, s) for s in range(8)]
