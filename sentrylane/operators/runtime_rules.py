@@ -144,17 +144,20 @@ def event_findings(
     return _from_hits(found, chosen, keep)
 
 
+def pattern_dimension(patterns: DataFrame) -> DataFrame:
+    """What each behaviour pattern emits, as rows like those of ``rule_dimension``."""
+    return patterns.select(
+        F.lit("D07").alias("rule_id"), F.concat(F.lit("Runtime Behavior: "), "name").alias("category"), "severity", "confidence",
+        F.lit(None).cast("string").alias("cwe_id"), _c("blockable").alias("auto_fix"), _c("description").alias("rule_text"), "recommendations",
+        _c("name").alias("pattern"),
+    )
+
+
 def _from_hits(found: DataFrame, rules: Sequence[Rule], keep: tuple[str, ...], patterns: DataFrame | None = None) -> DataFrame:
     """Hits with what their rule emits; hits of D07 by the pattern their key names, if there is one."""
     emitted = rule_dimension(found.sparkSession, rules).withColumn("pattern", F.lit(""))
     if patterns is not None:
-        emitted = emitted.unionByName(
-            patterns.select(
-                F.lit("D07").alias("rule_id"), F.concat(F.lit("Runtime Behavior: "), "name").alias("category"), "severity", "confidence",
-                F.lit(None).cast("string").alias("cwe_id"), _c("blockable").alias("auto_fix"), _c("description").alias("rule_text"), "recommendations",
-                _c("name").alias("pattern"),
-            )
-        )
+        emitted = emitted.unionByName(pattern_dimension(patterns))
     keyed = found.withColumn("pattern", F.when(_c("rule_id") == "D07", _c("match_key")).otherwise(""))
     joined = keyed.join(emitted, ["rule_id", "pattern"])
     columns = {c: _c(c) for c in (
@@ -208,12 +211,16 @@ def mixed_event_findings(
     emit drops the names that no pattern has.
     """
     patterns = behaviour_patterns(events.sparkSession) if patterns is None else patterns
+    found = explode_hits(events, runtime_dispatch(rules), [*keep, "event_id", "ts"])
+    return _from_hits(found, rules, keep, patterns)
+
+
+def runtime_dispatch(rules: Sequence[Rule] = RUNTIME_RULES) -> Column:
+    """Hits of an event, by its kind."""
     by_kind = {
         kind: hits([r for r in rules if r.source == kind], _c("stack_trace")) for kind in dict.fromkeys(r.source for r in rules)
     } | {"RUNTIME_BEHAVIOR": _behaviour_hits()}
-    dispatched = F.coalesce(*[F.when(_c("event_type") == kind, found) for kind, found in by_kind.items()])
-    found = explode_hits(events, dispatched, [*keep, "event_id", "ts"])
-    return _from_hits(found, rules, keep, patterns)
+    return F.coalesce(*[F.when(_c("event_type") == kind, found) for kind, found in by_kind.items()])
 
 
 def memory_violations(metrics: DataFrame, limit: float = MEMORY_LIMIT) -> DataFrame:

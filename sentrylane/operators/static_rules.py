@@ -355,17 +355,22 @@ def method_words(rules: Sequence[Rule]) -> tuple[str, ...] | None:
     return None if None in wanted else tuple(w for words in wanted for w in words)
 
 
-def static_hits(
-    facts: DataFrame, rules: Sequence[Rule] = STATIC_RULES, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Which rules match which facts: one pass over ``facts``, no join."""
+def static_dispatch(rules: Sequence[Rule] = STATIC_RULES) -> Column:
+    """Hits of a fact, by its kind."""
     place = location(_c("path"), _c("line"))
     by_kind = [
         F.when(_c("kind") == kind, hits(chosen, place))
         for kind in ("var", "call", "method", UNREAD)
         if (chosen := [r for r in rules if r.source == kind])
     ]
-    return explode_hits(facts, F.coalesce(*by_kind), [*keep, "path", "line", "ordinal"])
+    return F.coalesce(*by_kind)
+
+
+def static_hits(
+    facts: DataFrame, rules: Sequence[Rule] = STATIC_RULES, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Which rules match which facts: one pass over ``facts``, no join."""
+    return explode_hits(facts, static_dispatch(rules), [*keep, "path", "line", "ordinal"])
 
 
 def static_findings(

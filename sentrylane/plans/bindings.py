@@ -565,6 +565,56 @@ EVENT_COLUMNS = {
 EVENTS = Derivation("events", EVENT_COLUMNS)
 
 
+def _json(**fields: str) -> str:
+    """JSON text of SQL expressions."""
+    slash = "chr(92)"
+    quoted = lambda x: f"replace(replace(replace({x}, {slash}, {slash} || {slash}), '\"', {slash} || '\"'), chr(10), {slash} || 'n')"
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":\"' || {quoted(v)} || '\"'" for k, v in fields.items()) + " || '}'"
+
+
+_E = EVENT_COLUMNS
+CHANGED_FILE = "'/src/C' || CAST(event_id AS STRING) || '.java'"
+CHANGED_CODE = (
+    "'class C {' || chr(10) || '  String password = \"p' || " + _USER + " || 'xyz\";' || chr(10) || "
+    "'  Object c = Cipher.getInstance(\"DES\");' || chr(10) || CASE WHEN event_id % 30 = 0 THEN '' ELSE '}' END"
+)
+#: Kind and payload by the last digit of the id: all eight kinds, one that is unknown and none.
+ENVELOPE_KINDS = (
+    ("CODE_CHANGE", _json(path=CHANGED_FILE, content=CHANGED_CODE)),
+    ("DEPENDENCY_UPDATE", _json(name="'lib-' || " + _USER, version="'1.0'")),
+    ("RUNTIME_BEHAVIOR", _json(behaviour_type=_E["behaviour_type"], location=_E["location"])),
+    ("API_CALL", _json(class_name=_E["class_name"], method_name=_E["method_name"], stack_trace=_E["stack_trace"])),
+    ("FILE_ACCESS", _json(path=_E["path"], operation=_E["operation"], stack_trace=_E["stack_trace"])),
+    ("NETWORK_REQUEST", _json(protocol=_E["protocol"], host=_E["host"], stack_trace=_E["stack_trace"])),
+    ("AUTHENTICATION", _json(user=_USER)),
+    ("AUTHORIZATION", _json(user=_USER, role="'admin'")),
+    ("CONFIG_RELOAD", _json(path="'/etc/passwd'")),
+    (None, "'[1, 2]'"),
+)
+_KIND = pick("event_id % 10", [f"'{k}'" if k else "CAST(NULL AS STRING)" for k, _ in ENVELOPE_KINDS])
+#: Some payloads are cut off.
+CUT_OFF = "event_id % 97 = 0"
+ENVELOPES = Derivation(
+    "events",
+    {
+        "event_id": "CAST(event_id AS STRING)", "ts": "CAST(ts AS TIMESTAMP)", "event_type": _KIND, "source": _E["source"],
+        "payload": f"CASE WHEN {CUT_OFF} THEN '{{\"path\":' ELSE " + pick("event_id % 10", [p for _, p in ENVELOPE_KINDS]) + " END",
+    },
+)
+#: What the payloads hold, without JSON: events that can be read, and the facts of their code.
+ENVELOPE_EVENTS = Derivation("events", EVENT_COLUMNS | {"event_type": f"CASE WHEN {CUT_OFF} THEN NULL ELSE {_KIND} END"})
+_CHANGED = f"FROM events WHERE event_id % 10 = 0 AND event_id % 30 <> 0 AND NOT {CUT_OFF}"
+ENVELOPE_FACTS = " UNION ALL ".join(
+    f"SELECT CAST(event_id AS STRING) AS repo, {CHANGED_FILE} AS path, {line} AS line, {n} AS ordinal, '{kind}' AS kind, {type_} AS type, {name} AS name, "
+    f"{init} AS init, {scope} AS scope, {arg0} AS arg0, {n_args} AS n_args, CAST(NULL AS STRING) AS text {_CHANGED}"
+    for line, n, kind, type_, name, init, scope, arg0, n_args in (
+        (2, 0, "var", "'String'", "'password'", f"'\"p' || {_USER} || 'xyz\"'", "NULL", "NULL", "NULL"),
+        (3, 1, "var", "'Object'", "'c'", "'Cipher.getInstance(\"DES\")'", "NULL", "NULL", "NULL"),
+        (3, 0, "call", "NULL", "'getInstance'", "NULL", "'Cipher'", "'\"DES\"'", "1"),
+    )
+)
+
+
 def events_of(kind: str, *columns: str) -> str:
     """SQL of one event kind."""
     return f"SELECT {', '.join(columns) or '*'} FROM ({EVENTS.sql}) AS e WHERE event_type = '{kind}'"

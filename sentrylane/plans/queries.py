@@ -15,11 +15,12 @@ from sentrylane.operators import (
     runtime_rules as rt,
     static_rules as st,
 )
+from sentrylane.operators.dispatch import envelope_findings
 from sentrylane.operators.facts import extract_facts
 from sentrylane.operators.registry import AnalyzerRegistry, ResponseListeners
 from sentrylane.plans import bindings as b, oracle as o, scan
 from sentrylane.session import work_folder
-from sentrylane.sources import code, dimensions, events as ev, feeds, reports
+from sentrylane.sources import code, dimensions, envelopes, events as ev, feeds, reports
 from sentrylane.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,34 @@ def _(spark, folder):
     return ev.read_events(spark, "API_CALL", path).drop("arguments")
 
 
+def _envelopes(spark, folder) -> DataFrame:
+    return envelopes.parsed(b.ENVELOPES.frame(spark, folder))
+
+
+_KINDS_SQL = ", ".join(f"('{k}', {f"'{a}'" if a else 'CAST(NULL AS VARCHAR)'})" for k, a in envelopes.ANALYZERS.items())
+
+
+@query(
+    "a03_event_kinds",
+    f"SELECT event_type, CASE WHEN k.kind IS NULL THEN 'UNKNOWN' ELSE k.analyzer END AS analyzer, count(*) AS n_events, "
+    f"count(*) FILTER (CAST(event_id AS BIGINT) % 97 = 0) AS n_unreadable FROM ({b.ENVELOPES.sql}) AS e "
+    f"LEFT JOIN (VALUES {_KINDS_SQL}) AS k(kind, analyzer) ON k.kind = event_type GROUP BY ALL",
+)
+def _(spark, folder):
+    return envelopes.count_kinds(_envelopes(spark, folder))
+
+
+@query(
+    "a03_payload_fields",
+    f"SELECT event_id, event_type, CASE WHEN event_type IN ('FILE_ACCESS') THEN path WHEN event_type = 'CODE_CHANGE' THEN file WHEN event_type = 'CONFIG_RELOAD' THEN '/etc/passwd' END AS path, "
+    "CASE WHEN event_type = 'NETWORK_REQUEST' THEN host END AS host, CASE WHEN event_type = 'CODE_CHANGE' THEN code END AS content "
+    f"FROM ({b.ENVELOPE_EVENTS.sql}) AS e JOIN (SELECT CAST(event_id AS STRING) AS event_id, {b.CHANGED_FILE} AS file, {b.CHANGED_CODE} AS code FROM events) AS c USING (event_id) WHERE event_type IS NOT NULL",
+)
+def _(spark, folder):
+    shown = envelopes.opened(_envelopes(spark, folder).filter("event_type IS NOT NULL AND payload IS NOT NULL"))
+    return shown.select("event_id", "event_type", "path", "host", "content")
+
+
 _URL_PART = "regexp_extract(url, '^([a-z]+)://([^/?#:]+)([^?#]*)', {})"
 
 
@@ -455,6 +484,28 @@ def _(spark, folder):
     return found.groupBy("event_type", "agent").agg(F.count("*").alias("n"))
 
 
+_DISPATCHED = "event_id, agent, rule_id, severity, category, description, location, cwe_id, confidence, auto_fix, path, line, match_key"
+
+
+@query(
+    "b08_envelope_findings",
+    f"SELECT {_DISPATCHED} FROM ({o.runtime_findings(events=b.ENVELOPE_EVENTS.sql)}) AS r UNION ALL "
+    f"SELECT {_DISPATCHED} FROM (SELECT repo AS event_id, * FROM ({o.static_findings(facts=b.ENVELOPE_FACTS)})) AS s",
+)
+def _(spark, folder):
+    found = envelope_findings(_envelopes(spark, folder), keep=("event_id",))
+    return found.select(*_DISPATCHED.split(", "))
+
+
+@query(
+    "b08_unreadable_code",
+    f"SELECT event_id, path FROM (SELECT CAST(event_id AS STRING) AS event_id, CASE WHEN {b.CUT_OFF} THEN NULL ELSE {b.CHANGED_FILE} END AS path, event_id AS n FROM events) "
+    "AS e WHERE n % 30 = 0 OR n % 970 = 0",
+)
+def _(spark, folder):
+    return envelope_findings(_envelopes(spark, folder), (st.UNREAD_RULE,), (), keep=("event_id",)).filter("rule_id = 'UNREAD'").select("event_id", "path")
+
+
 _SPELLED = b.pick("l_linenumber % 6", ["'critical'", "'High'", "'LOW'", "'severe'", "CAST(NULL AS STRING)", "'info'"])
 
 
