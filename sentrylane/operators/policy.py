@@ -1,9 +1,12 @@
 """Response policy: findings to actions, alerts, a block-list and an audit log."""
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.functions.text import contains_any
 from sentrylane.operators.rules import finding_id
+from sentrylane.session import work_folder
 from sentrylane.sources import dimensions
 
 _c = F.col
@@ -193,51 +196,72 @@ def audit_log(actions: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+def _suffixes(keys: DataFrame, longest: DataFrame) -> DataFrame:
+    """Every suffix of every key, cut to the length of the longest resource."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))
+    one = F.lit(1)
+    return (
+        keys.withColumn("k", one).join(longest.withColumn("k", one), "k")
+        .select(F.explode(F.transform(starts, lambda i: F.substr(_c("key"), i, _c("longest")))).alias("text"), F.lit(True).alias("suffix"))
+    )
+
 
+_LOOKED = "text string, hit boolean, part int, least string"
 
-#: Parts a posting list is dealt into, so that a gram of most keys is no single task's.
-PARTS = 16
 
+def _look_up(batches):
+    """Rows of a partition in descending order: each resource against the suffix that follows it.
 
-def is_blocked(resources: DataFrame, blocked: DataFrame, size: int = 6) -> DataFrame:
+    A resource is contained if it begins the least suffix that is not below it, as the
+    strings that begin alike stand together. One suffix is held. Resources above the last
+    suffix of their range are left open, and the least suffix of the range is noted.
+    """
+    part, last = TaskContext.get().partitionId(), None
+    for b in batches:
+        texts, hits = [], []
+        for text, suffix, resource in zip(*[c.to_pylist() for c in b.columns]):
+            last = text if suffix else last
+            if resource:
+                texts.append(text)
+                hits.append(None if last is None else last.startswith(text))
+        n = len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(hits, pa.bool_()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string())], names=["text", "hit", "part", "least"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.array([part], pa.int32()), pa.array([last])], names=["text", "hit", "part", "least"])
+
+
+def is_blocked(resources: DataFrame, blocked: DataFrame) -> DataFrame:
     """Add ``blocked``: does any key of ``blocked(key)`` contain ``resource``?
 
-    Containment is not an equality, and comparing every pair does not scale, so the
-    join runs on character n-grams. A resource of at most ``size`` characters is a gram
-    itself: keys give only grams of the lengths that some such resource has, and an
-    equality decides. A longer one can only be in a key that holds all its grams, so it is
-    looked up under its rarest gram; the keys under one gram are dealt into ``PARTS``
-    parts, each of which the resource is sent to, and what contains it is verified.
-    Resources and keys are deduplicated first.
+    A key contains what begins one of its suffixes. Suffixes and resources are told apart
+    once, sorted by ranges, and each resource is held against the one suffix that follows
+    it: no candidates, no pairs, whatever texts the keys share and however long they are. What
+    stays open at the end of a range is held against the next range's least suffix, of
+    which there is one per partition. Null resources are not blocked; the empty one is if
+    there is any key.
     """
-    keys = blocked.select("key").distinct()
-    wanted = resources.select("resource").filter(_c("resource").isNotNull()).distinct()
-    # One row: which lengths of short resources there are, the empty one included.
-    lengths = wanted.filter(F.length("resource") <= size).agg(F.sort_array(F.collect_set(F.length("resource"))).alias("lengths"))
-    of_lengths = F.flatten(
-        F.transform("lengths", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.coalesce(_grams(_c("key"), n), F.array().cast("array<string>"))))
-    )
-    one = F.lit(1)
-    pieces = keys.withColumn("k", one).join(lengths.withColumn("k", one), "k").select(F.explode(of_lengths).alias("resource")).distinct()
-    hit_short = wanted.filter(F.length("resource") <= size).join(pieces, "resource", "left_semi")
-    # Longer: every gram must occur, and the rarest one leads to the candidates.
-    probes = wanted.filter(F.length("resource") > size).select("resource", F.explode(_grams(_c("resource"), size)).alias("gram"))
-    postings = keys.select("key", F.explode(_grams(_c("key"), size)).alias("gram"))
-    counts = postings.groupBy("gram").agg(F.count("*").alias("n_keys"))
-    rarest = (
-        probes.join(counts, "gram", "left")
-        .groupBy("resource")
-        .agg(F.min(F.struct(F.coalesce("n_keys", F.lit(0)).alias("n_keys"), "gram")).alias("least"))
-        .filter(_c("least.n_keys") > 0)
-        .select("resource", _c("least.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    keys = blocked.select("key").filter(_c("key").isNotNull())
+    wanted = resources.select(_c("resource").alias("text")).filter(_c("text").isNotNull())
+    longest = wanted.agg(F.max(F.length("text")).alias("longest"))
+    # One row per text: a suffix that all keys share is combined before the shuffle.
+    texts = (
+        _suffixes(keys, longest).withColumn("resource", F.lit(False)).unionByName(wanted.select("text", F.lit(False).alias("suffix"), F.lit(True).alias("resource")))
+        .groupBy("text").agg(F.max("suffix").alias("suffix"), F.max("resource").alias("resource"))
+        .filter(_c("text").isNotNull())
     )
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-    hit_long = dealt.join(rarest, ["gram", "part"]).filter(F.contains("key", "resource")).select("resource").distinct()
-    hit = hit_short.unionByName(hit_long).withColumn("hit", F.lit(True))
-    return resources.join(hit, "resource", "left").select(
-        *resources.columns, F.coalesce("hit", F.lit(False)).alias("blocked")
+    spark = resources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    down = [_c("text").desc(), _c("suffix").desc()]
+    path = work_folder(spark, "looked-up")
+    # Written once: ranges are drawn from samples, and both readers must see the same ones.
+    texts.repartitionByRange(parts, *down).sortWithinPartitions(*down).mapInArrow(_look_up, _LOOKED).write.parquet(path)
+    looked = spark.read.schema(_LOOKED).parquet(path)
+    # A range without suffixes passes on to the one after it; the latest part is the last one before.
+    edges = looked.filter("least IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("part", "least"))).alias("edges"))
+    after = F.try_element_at(F.filter("edges", lambda e: e["part"] < _c("part")), F.lit(-1))["least"]
+    hit = (
+        looked.filter("text IS NOT NULL AND (hit IS NULL OR hit)").withColumn("k", F.lit(1)).join(edges.withColumn("k", F.lit(1)), "k")
+        .filter(F.coalesce("hit", F.startswith(after, _c("text")), F.lit(False)))
+        .select(_c("text").alias("resource"), F.lit(True).alias("hit"))
     )
+    return resources.join(hit, "resource", "left").select(*resources.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))

@@ -1317,7 +1317,7 @@ def _(spark, folder):
 def _(spark, folder):
     base = work_folder(spark, "once")
     over = jobs.threshold_monitor(_stream(spark, folder, b.METRICS), 0.1)
-    once = jobs.report_once(over, "400 days")
+    once = jobs.report_once(over)
     jobs.run_to_end(jobs.append_files(once, f"{base}/reported", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/reported").select("type", "location")
 
@@ -1341,6 +1341,26 @@ def _(spark, folder):
     return jobs.latest_counts(spark, f"{base}/counts")
 
 
+@query(
+    "h14_live_totals",
+    "SELECT (SELECT count(DISTINCT event_id) FROM events) AS total_scans, count(*) AS total_findings, "
+    f"count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS threats_blocked, true AS near FROM ({o.runtime_findings()}) AS f",
+)
+def _(spark, folder):
+    base = work_folder(spark, "totals")
+    jobs.run_to_end(jobs.live_totals(_stream(spark, folder), f"{base}/totals", f"{base}/checkpoint"))
+    last = jobs.totals_after(spark, f"{base}/totals").orderBy(F.desc("batch")).limit(1)
+    return last.select("total_scans", "total_findings", "threats_blocked", (F.abs(_c("estimated_scans") - _c("total_scans")) <= 0.04 * _c("total_scans")).alias("near"))
+
+
+@query("h18_live_risk_scores", ORACLES["h18_latest_risk_score"])
+def _(spark, folder):
+    base = work_folder(spark, "scores")
+    scores = _stream(spark, folder, b.Derivation("events", {"finding_id": "'f' || CAST(user_id AS STRING)", "scored_at": "ts", "score": "value"}))
+    jobs.run_to_end(jobs.upsert_scores(scores, base, f"{base}/checkpoint", compact=3))
+    return jobs.current_scores(spark, base)
+
+
 @query(
     "j06_periodic_retrain",
     f"SELECT count(*) AS n_scores, count(DISTINCT finding_id) > 100 AS retrained FROM ({o.runtime_findings()}) AS f",

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # Keyed state of streams lives on disk, not in executor memory.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Rule arrays are built from thousands of column calls; noting the Python line of
     # each costs more than running a small query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -1,5 +1,5 @@
 """Streams: continuous scan, threshold monitor, report-once, response drain, live
-counters and periodic retraining.
+counters and totals, latest scores and periodic retraining.
 
 Every job takes its checkpoint and output folders from the caller; on a cluster they
 belong in the shared folder (``session.work_folder``). A replayed batch writes the same
@@ -10,10 +10,10 @@ from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sentrylane.operators import policy, risk
+from sentrylane.operators import aggregate, policy, risk
 from sentrylane.operators.registry import ResponseListeners
 from sentrylane.operators.runtime_rules import (
     memory_violations,
@@ -55,15 +55,20 @@ def threshold_monitor(metrics: DataFrame, limit: float = 0.9) -> DataFrame:
     return memory_violations(metrics, limit)
 
 
-def report_once(violations: DataFrame, window: str = "1 hour") -> DataFrame:
-    """First report of each violation within ``window``.
+def first_seen(stream: DataFrame, keys: list[str], time: str, life: str | None = None) -> DataFrame:
+    """The first row of each key. The keys seen are keyed state: a batch reads those of its own rows.
 
-    The window bounds the state: it is forgotten once the watermark passes it, and a
-    violation that comes back after that is reported again.
+    Without ``life`` a key is never forgotten. With it, a key's state ends once the
+    watermark, which is that long behind the latest ``time``, has passed it.
     """
-    return violations.withWatermark("ts", window).dropDuplicatesWithinWatermark(
-        ["type", "location"]
-    )
+    if life is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(time, life).dropDuplicatesWithinWatermark(keys)
+
+
+def report_once(violations: DataFrame, life: str | None = None) -> DataFrame:
+    """First report of each violation: ever, or anew once its ``life`` is over."""
+    return first_seen(violations, ["type", "location"], "ts", life)
 
 
 def drain_responses(
@@ -73,23 +78,20 @@ def drain_responses(
     scheduled_at: Column | None = None,
     policies: DataFrame | None = None,
     listeners: ResponseListeners | None = None,
+    life: str | None = None,
 ) -> DataStreamWriter:
     """Findings to ``actions``, ``alerts`` and ``block_list`` below ``folder``.
 
     Each batch overwrites its own sub-folders, so running it again changes nothing. A
-    finding that is delivered twice, in a batch or in a later one, is answered once: what
-    earlier batches answered is left out. ``scheduled_at`` defaults to the time the
-    finding was made.
+    finding that is delivered twice, in a batch or in a later one, is answered once: the
+    ids answered are keyed state, kept for ``life`` or for ever, and no batch reads the
+    actions of earlier ones. ``scheduled_at`` defaults to the time the finding was made.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         when = F.col("detected_at") if scheduled_at is None else scheduled_at
-        unique = batch.dropDuplicates(["finding_id"])
-        if batch_id:
-            answered = batch.sparkSession.read.parquet(f"{folder}/actions").filter(F.col("batch") < batch_id)
-            unique = unique.join(answered.select("finding_id"), "finding_id", "left_anti")
         target = f"{folder}/actions/batch={batch_id}"
-        policy.schedule_actions(unique, when, policies).write.mode("overwrite").parquet(target)
+        policy.schedule_actions(batch, when, policies).write.mode("overwrite").parquet(target)
         # The written rows feed the rest, so the batch is computed once.
         actions = batch.sparkSession.read.parquet(target)
         for name, rows in (
@@ -100,7 +102,8 @@ def drain_responses(
         if listeners is not None:
             listeners.notify(actions, batch_id)
 
-    return findings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    unanswered = first_seen(findings, ["finding_id"], "detected_at", life)
+    return unanswered.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def live_counts(findings: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -126,6 +129,85 @@ def latest_counts(spark, path: str) -> DataFrame:
     return counts.filter(F.col("batch") == last).drop("batch")
 
 
+#: Sketches of ids hold 2 to this power registers: a standard error of about 1.04 / sqrt(2 ** 14), 0.8 %.
+SKETCH = 14
+
+
+def live_totals(events: DataFrame, path: str, checkpoint: str, by: str = "event_id", number: Column | None = None, **rules) -> DataStreamWriter:
+    """Scans, findings and blocked threats of a stream of events, as mergeable parts of each batch.
+
+    A batch leaves one row with its findings, its blocked threats and a sketch of its event
+    ids, and bitmaps of ``number`` (an integer that tells events apart; default: the id
+    itself) for exact counts. ``totals_after`` merges them; nothing is read back here.
+    """
+    bit = F.col(by).cast("long") if number is None else number
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        found = mixed_event_findings(batch, keep=(by,), **rules).agg(
+            F.count("*").alias("n_findings"), F.coalesce(aggregate.blocked_threats(), F.lit(0)).alias("n_blocked")
+        )
+        ids = batch.agg(F.hll_sketch_agg(by, F.lit(SKETCH)).alias("ids"))
+        # Two single-row relations, joined on a constant.
+        one = F.lit(1)
+        ids.withColumn("k", one).join(found.withColumn("k", one), "k").drop("k").write.mode("overwrite").parquet(f"{path}/sketches/batch={batch_id}")
+        (
+            batch.select(bit.alias("n")).filter("n IS NOT NULL")
+            .groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+            .write.mode("overwrite").parquet(f"{path}/bitmaps/batch={batch_id}")
+        )
+
+    return events.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+
+
+def totals_after(spark, path: str) -> DataFrame:
+    """``total_scans`` (exact), ``estimated_scans``, ``total_findings`` and ``threats_blocked`` after each batch.
+
+    An event that comes again is no new scan. One row per batch and one bitmap per batch
+    and 32,768 ids are read, not the events.
+    """
+    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_bucket = Window.partitionBy("bucket").orderBy("batch")
+    seen = spark.read.parquet(f"{path}/bitmaps").withColumn("upto", F.bitmap_count(F.bitmap_or_agg("bits").over(of_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    fresh = seen.withColumn("fresh", F.col("upto") - F.coalesce(F.lag("upto").over(of_bucket), F.lit(0))).groupBy("batch").agg(F.sum("fresh").alias("fresh"))
+    parts = spark.read.parquet(f"{path}/sketches").join(fresh, "batch", "left")
+    return parts.select(
+        "batch",
+        F.sum(F.coalesce("fresh", F.lit(0))).over(so_far).alias("total_scans"),
+        F.hll_sketch_estimate(F.hll_union_agg("ids").over(so_far)).alias("estimated_scans"),
+        F.sum("n_findings").over(so_far).alias("total_findings"),
+        F.sum("n_blocked").over(so_far).alias("threats_blocked"),
+    )
+
+
+def upsert_scores(scores: DataFrame, folder: str, checkpoint: str, compact: int = 16) -> DataStreamWriter:
+    """Risk scores as they come; the latest of each finding is what ``current_scores`` reads.
+
+    A batch writes its own latest scores to a folder of its own, so a replay changes
+    nothing, and late rows lose to newer ones when versions are merged. Every ``compact``
+    batches all changes so far become one merged table, which later reads begin with.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        aggregate.latest_risk_scores(batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact == 0:
+            current_scores(spark, folder, batch_id).write.mode("overwrite").parquet(f"{folder}/merged/{batch_id}")
+            _note_version(spark, folder, batch_id)
+
+    return scores.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+
+def current_scores(spark, folder: str, upto: int | None = None) -> DataFrame:
+    """The latest score of each finding: the last merged table and the changes since."""
+    merged = max([v for v in versions(spark, folder) if upto is None or v < upto], default=None)
+    changes = spark.read.parquet(f"{folder}/changes")
+    if upto is not None:
+        changes = changes.filter(F.col("batch") <= upto)
+    if merged is not None:
+        changes = changes.filter(F.col("batch") > merged).drop("batch").unionByName(spark.read.parquet(f"{folder}/merged/{merged}"))
+    return aggregate.latest_risk_scores(changes.drop("batch"))
+
+
 def retrain_when_due(
     scores: DataFrame,
     folder: str,
@@ -143,21 +225,25 @@ def retrain_when_due(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/scores/batch={batch_id}")
-        last = max([v for v in model_versions(spark, folder) if v < batch_id], default=-1)
+        last = max([v for v in versions(spark, folder) if v < batch_id], default=-1)
         stored = spark.read.parquet(f"{folder}/scores").filter(F.col("batch") <= batch_id)
         fresh = stored.filter(F.col("batch") > last)
         due = fresh.agg(F.countDistinct("finding_id").alias("n")).first()["n"] > after
         if due:
             model = risk.train_classifier(stored)
             model.write().overwrite().save(f"{folder}/models/{batch_id}")
-            # Noted once the model is whole: one row per fit.
-            spark.range(1).selectExpr(f"{batch_id}L AS version").write.mode("overwrite").parquet(f"{folder}/versions/{batch_id}")
+            _note_version(spark, folder, batch_id)
 
     return scores.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def model_versions(spark, folder: str) -> list[int]:
-    """Batches that left a model below ``folder``, oldest first."""
+def _note_version(spark, folder: str, batch_id: int) -> None:
+    """Note what a batch made below ``folder``, once it is whole: one row per version."""
+    spark.range(1).selectExpr(f"{batch_id}L AS version").write.mode("overwrite").parquet(f"{folder}/versions/{batch_id}")
+
+
+def versions(spark, folder: str) -> list[int]:
+    """Batches that left a model or a merged table below ``folder``, oldest first."""
     try:
         written = spark.read.schema("version long").option("recursiveFileLookup", "true").parquet(f"{folder}/versions")
         return sorted(r.version for r in written.collect())
@@ -168,8 +254,8 @@ def model_versions(spark, folder: str) -> list[int]:
 
 
 def latest_model(spark, folder: str) -> PipelineModel | None:
-    versions = model_versions(spark, folder)
-    return PipelineModel.load(f"{folder}/models/{versions[-1]}") if versions else None
+    made = versions(spark, folder)
+    return PipelineModel.load(f"{folder}/models/{made[-1]}") if made else None
 
 
 def wait(query: StreamingQuery, seconds: int) -> None:

@@ -217,20 +217,22 @@ def test_is_blocked_equals_brute_force(spark, seed):
     wanted = [word(rnd.randint(0, 9)) for _ in range(150)] + [k[2:rnd.randint(3, 25)] for k in keys] + keys + [None]
     got = policy.is_blocked(
         spark.createDataFrame([(w,) for w in wanted], "resource string"),
-        spark.createDataFrame([(k,) for k in keys], "key string"),
-        size=3,
+        spark.createDataFrame([(k,) for k in [*keys, None]], "key string"),
     ).collect()
     assert len(got) == len(wanted)
     assert all(r.blocked == (r.resource is not None and any(r.resource in k for k in keys)) for r in got)
 
 
-def test_a_gram_of_all_keys_is_dealt_out(spark):
-    """A resource whose every gram is in all keys: the keys under it are spread evenly."""
+def test_suffixes_that_all_keys_share(spark):
+    """Keys alike but for a number: shared suffixes are one row, and ranges are even."""
     keys = spark.range(20_000).selectExpr("concat('WORK:com.example.C', id, '.run()') AS key")
-    wanted = spark.createDataFrame([("com.example.C7",), ("com.example.Cx",), ("example.C",)], "resource string")
-    assert {r.resource: r.blocked for r in policy.is_blocked(wanted, keys).collect()} == {"com.example.C7": True, "com.example.Cx": False, "example.C": True}
-    dealt = keys.selectExpr(f"pmod(xxhash64(key), {policy.PARTS}) AS part").groupBy("part").count().toPandas()["count"]
-    assert len(dealt) == policy.PARTS and dealt.max() < 3 * dealt.median()
+    texts = ["com.example.C7", "com.example.Cx", "example.C", "", ".run()", "WORK:com.example.C19999.run()", "~", "0" * 5000, None]
+    wanted = spark.createDataFrame([(t,) for t in texts], "resource string")
+    got = {r.resource: r.blocked for r in policy.is_blocked(wanted, keys).collect()}
+    assert got == {t: t in ("com.example.C7", "example.C", "", ".run()", "WORK:com.example.C19999.run()") for t in texts}
+    longest = wanted.selectExpr("max(length(resource)) AS longest")
+    spread = policy._suffixes(keys, longest).distinct().repartitionByRange(8, F.desc("text")).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert spread.max() < 3 * spread.median()
 
 
 def test_nothing_is_blocked_by_an_empty_list(spark):
