@@ -289,16 +289,42 @@ def _actions(spark, folder) -> DataFrame:
     return policy.schedule_actions(_all(spark, folder), _c("detected_at"))
 
 
+def _audit_sql(actions: str) -> str:
+    return (
+        f"WITH a AS ({actions}) SELECT CAST(scheduled_at AS DATE) AS day, scheduled_at, action_id, 0 AS seq, 'Executing response: ' || action || ' for finding: ' || finding_id AS line FROM a "
+        "UNION ALL SELECT CAST(scheduled_at AS DATE), scheduled_at, action_id, 1, CASE action WHEN 'BLOCK' THEN 'BLOCKING THREAT' WHEN 'ALERT' THEN 'ALERTING' "
+        "WHEN 'REMEDIATE' THEN 'REMEDIATING' WHEN 'QUARANTINE' THEN 'QUARANTINING' ELSE 'LOGGING' END || ': ' || category || ' at ' || location FROM a "
+        "UNION ALL SELECT CAST(scheduled_at AS DATE), scheduled_at, action_id, 2, CASE remediation WHEN 'FAILED' THEN 'Auto-remediation failed for: ' || finding_id || ', escalating to manual review' "
+        "ELSE 'Auto-remediation not possible for: ' || finding_id || ', manual intervention required' END FROM a WHERE remediation IS NOT NULL"
+    )
+
+
+@query("a13_audit_log", _audit_sql(o.actions()))
+def _(spark, folder):
+    return policy.audit_log(_actions(spark, folder))
+
+
+def _stored_audit(spark, folder) -> DataFrame:
+    """The log of all runtime findings, written in two batches of which the first is repeated."""
+    path = work_folder(spark, "audit")
+    log = policy.audit_log(policy.schedule_actions(_runtime(spark, folder), _c("detected_at")))
+    for batch in (0, 1, 0):
+        reports.write_audit(log.filter(F.pmod(F.crc32(_c("action_id").cast("binary")), F.lit(2)) == batch), path, batch)
+    return reports.read_audit(spark, path)
+
+
+@query("a13_stored_audit_log", _audit_sql(o.actions(o.runtime_findings())))
+def _(spark, folder):
+    return _stored_audit(spark, folder).select("day", "scheduled_at", "action_id", "seq", "line")
+
+
 @query(
-    "a13_audit_log",
-    f"WITH a AS ({o.actions()}) SELECT CAST(scheduled_at AS DATE) AS day, scheduled_at, action_id, 0 AS seq, 'Executing response: ' || action || ' for finding: ' || finding_id AS line FROM a "
-    "UNION ALL SELECT CAST(scheduled_at AS DATE), scheduled_at, action_id, 1, CASE action WHEN 'BLOCK' THEN 'BLOCKING THREAT' WHEN 'ALERT' THEN 'ALERTING' "
-    "WHEN 'REMEDIATE' THEN 'REMEDIATING' WHEN 'QUARANTINE' THEN 'QUARANTINING' ELSE 'LOGGING' END || ': ' || category || ' at ' || location FROM a "
-    "UNION ALL SELECT CAST(scheduled_at AS DATE), scheduled_at, action_id, 2, CASE remediation WHEN 'FAILED' THEN 'Auto-remediation failed for: ' || finding_id || ', escalating to manual review' "
-    "ELSE 'Auto-remediation not possible for: ' || finding_id || ', manual intervention required' END FROM a WHERE remediation IS NOT NULL",
+    "a13_expired_days",
+    f"SELECT day, count(*) AS n_lines, 'day=' || CAST(day AS VARCHAR) AS folder FROM ({_audit_sql(o.actions(o.runtime_findings()))}) AS l "
+    "WHERE day < DATE '2024-04-14' - 90 GROUP BY day",
 )
 def _(spark, folder):
-    return policy.audit_log(_actions(spark, folder))
+    return reports.expired_days(_stored_audit(spark, folder), F.lit("2024-04-14").cast("date"))
 
 
 @query(

@@ -6,7 +6,7 @@ written, the part files of a repository concatenate to its document, so a reposi
 with very many findings is written by many tasks and no group is collected.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sentrylane.functions.severity import SEVERITIES, sarif_level
 from sentrylane.functions.text import escape_markup
@@ -197,6 +197,30 @@ def write_findings(findings: DataFrame, path: str, mask: bool = True) -> None:
     (redact(findings) if mask else findings).write.mode("overwrite").json(path)
 
 
-def append_audit(log: DataFrame, path: str) -> None:
-    """Append audit lines, one folder per day; old days are dropped by folder."""
-    log.write.mode("append").partitionBy("day").parquet(path)
+def write_audit(log: DataFrame, path: str, batch: int) -> None:
+    """Write the audit lines of one batch, a folder per day and batch.
+
+    Writing a batch again replaces what it wrote, so a retry doubles nothing and the
+    lines of other batches stay. Nothing is read or moved.
+    """
+    (
+        log.withColumn("batch", F.lit(batch)).write.partitionBy("day", "batch").mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").parquet(path)
+    )
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+#: Fixed value: days that the log is kept.
+KEEP_DAYS = 90
+
+
+def expired_days(log: DataFrame, today: Column, keep: int = KEEP_DAYS) -> DataFrame:
+    """Days of the log that are past their time, with their folder and number of lines.
+
+    ``day`` is a partition column: only folders of these days are read.
+    """
+    old = log.filter(F.col("day") < F.date_sub(today, keep))
+    return old.groupBy("day").agg(F.count("*").alias("n_lines")).withColumn("folder", F.concat(F.lit("day="), F.col("day").cast("string")))

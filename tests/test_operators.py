@@ -429,3 +429,24 @@ def test_report_files_of_external_scanners(spark, tmp_path):
         ("A.java:7", "PMD: UnusedThing", "MEDIUM", 'Avoid "x", please'), ("B.java:9", "PMD: Other", "LOW", "y"),
         ("p/C.java:3", "SpotBugs: NP_NULL", "CRITICAL", "Null"), ("p/D.java:5", "SpotBugs: DM_EXIT", "MEDIUM", "DM_EXIT"),
     ]
+
+
+def test_audit_batches_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    log = lambda n: spark.createDataFrame([(NOW.date() - dt.timedelta(days=100 * d), NOW, f"a{n}{d}", 0, f"line {n}") for d in range(2)], "day date, scheduled_at timestamp, action_id string, seq int, line string")
+    for batch in (0, 1, 1, 0):
+        reports.write_audit(log(batch), path, batch)
+    kept = reports.read_audit(spark, path)
+    assert sorted(r.action_id for r in kept.collect()) == ["a00", "a01", "a10", "a11"]
+    old = reports.expired_days(kept, F.lit(NOW).cast("date")).collect()
+    assert [(r.day, r.n_lines, r.folder) for r in old] == [(NOW.date() - dt.timedelta(days=100), 2, f"day={NOW.date() - dt.timedelta(days=100)}")]
+    assert (tmp_path / "audit" / old[0].folder).is_dir()
+    reports.write_audit(log(2).limit(0), path, 2)
+    assert reports.read_audit(spark, path).count() == 4
+
+
+def test_findings_are_written_as_json_lines(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    for _ in range(2):
+        reports.write_findings(table(spark, finding(1, "HIGH"), finding(2, "LOW")), path)
+    assert sorted(r.finding_id for r in spark.read.json(path).collect()) == ["f1", "f2"]
