@@ -1,7 +1,8 @@
 """Checking SQL for the registered queries, written apart from the operators.
 
 Rule predicates are stated again here in SQL over the derived tables. Only what a rule
-emits (its category, texts and numbers) comes from the rule tables.
+emits (its category, texts and numbers) comes from the rule tables. Texts and numbers
+stated in the SQL are fixed values: results must equal them.
 """
 
 from sentrylane.operators.runtime_rules import RUNTIME_RULES, Rule

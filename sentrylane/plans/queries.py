@@ -1,4 +1,7 @@
-"""Registered queries: one per operator, each with its checking SQL where SQL can say it."""
+"""Registered queries: one per operator, each with its checking SQL where SQL can say it.
+
+Texts and numbers stated in the SQL are fixed values: results must equal them.
+"""
 
 from collections.abc import Callable
 
