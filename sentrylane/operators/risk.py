@@ -2,7 +2,6 @@
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -161,15 +160,17 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def evaluate(model: PipelineModel, rows: DataFrame) -> tuple[float, DataFrame]:
-    """Accuracy, and the confusion matrix as ``label`` by predicted level."""
-    predicted = predict(model, rows)
+    """Accuracy, and the confusion matrix as ``label`` by predicted level.
+
+    Rows are scored once: both follow from the counts, at most one per label and level.
+    """
     labels = model.stages[0].labels
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(
-        model.transform(_numeric_flags(rows)).withColumnRenamed("label_ix", "label_")
-        .drop("label").withColumnRenamed("label_", "label")
-    )
-    confusion = predicted.groupBy("label").pivot("risk_level", labels).count().fillna(0)
-    return accuracy, confusion
+    counts = {(r["label"], r["risk_level"]): r["count"] for r in predict(model, rows).groupBy("label", "risk_level").count().collect()}
+    total = sum(counts.values())
+    accuracy = sum(n for (label, level), n in counts.items() if label == level) / total if total else 0.0
+    matrix = [(label, *[counts.get((label, level), 0) for level in labels]) for label in sorted({label for label, _ in counts}, key=str)]
+    columns = ", ".join(f"`{level}` long" for level in labels)
+    return accuracy, rows.sparkSession.createDataFrame(matrix, f"label string, {columns}")
 
 
 def enrich(scored: DataFrame) -> DataFrame:
