@@ -20,10 +20,11 @@ from sentrylane.operators import (
 )
 from sentrylane.operators.dispatch import envelope_findings
 from sentrylane.operators.facts import extract_facts
+from sentrylane.operators.search import search_index, write_index
 from sentrylane.operators.registry import AnalyzerRegistry, ResponseListeners
 from sentrylane.plans import bindings as b, oracle as o, scan
 from sentrylane.session import work_folder
-from sentrylane.sources import code, dimensions, envelopes, events as ev, feeds, reports
+from sentrylane.sources import code, dimensions, envelopes, events as ev, feed_ranges, feeds, reports
 from sentrylane.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,6 +175,15 @@ def _(spark, folder):
     )
 
 
+@query("a05_nvd_feed_ranges", "SELECT " + b.CVE_ID + " AS id, text AS description FROM documents")
+def _(spark, folder):
+    """Feed files of several documents, cut into ranges far shorter than a file."""
+    path = work_folder(spark, "feed")
+    b.NVD_DOCUMENTS.frame(spark, folder).select("feed").write.text(path)
+    feed = feed_ranges.read_nvd_ranges(spark, path, 4 << 20)
+    return feed.select(_c("cve.id").alias("id"), F.get("cve.descriptions", F.lit(0))["value"].alias("description"))
+
+
 _ALL_REPOS = "SELECT DISTINCT 'repo-' || CAST(s_suppkey AS STRING) AS repo FROM supplier"
 _SUMMED = o.scan_results(o.static_findings(), _ALL_REPOS)
 _PLACE = ["repo", "section", "path", "line", "rule_id", "finding_id", "text"]
@@ -1276,6 +1286,26 @@ def _(spark, folder):
     return cve.search_cves(_cves(spark, folder), "The and", 20).select("cve_id", "published")
 
 
+_TERMS = ("The and", "a data", "zq#")
+
+
+@query(
+    "i09_keyword_index",
+    " UNION ALL ".join(
+        f"(SELECT '{k}' AS keyword, cve_id, description, published FROM ({_CVES}) AS c WHERE "
+        + " AND ".join(f"contains(lower(description), '{t}')" for t in k.lower().split())
+        + " ORDER BY published DESC NULLS LAST, cve_id LIMIT 20)"
+        for k in _TERMS
+    ),
+)
+def _(spark, folder):
+    """Searches of an index that is written once."""
+    path = work_folder(spark, "cve-index")
+    write_index(_cves(spark, folder).select("cve_id", "description", "published"), path)
+    found = [search_index(spark, path, k, 20).withColumn("keyword", F.lit(k)) for k in _TERMS]
+    return agg.merge_findings(*found)
+
+
 @query(
     "i10_date_range",
     "SELECT cve_id, published FROM (" + _CVES + ") AS c WHERE published BETWEEN DATE '2024-03-10' AND DATE '2024-05-15'",
