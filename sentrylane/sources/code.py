@@ -1,5 +1,9 @@
 """Source text: repositories on a file system and tables of snippets."""
 
+import posixpath
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # What a repository scan reads and skips, and the name of a bare snippet.
@@ -34,6 +38,25 @@ def read_repository(spark: SparkSession, *roots: str) -> DataFrame:
     )
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``files(path, content)`` as files below ``root``, a URI or a local path.
+
+    Every task writes its own rows; a task that runs again replaces its files. A file
+    without content is empty.
+    """
+    def written(batches):
+        system, folder = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        for b in batches:
+            for path, content in zip(*(c.to_pylist() for c in b.columns)):
+                target = posixpath.join(folder, path.lstrip("/"))
+                system.create_dir(posixpath.dirname(target), recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
+
+    files.select("path", "content").mapInArrow(written, "path string").write.format("noop").mode("overwrite").save()
+
+
 def snippets(requests: DataFrame) -> DataFrame:
     """Analysis requests ``(filename, code, ...)`` to ``(path, content, ...)``.
 

@@ -104,14 +104,16 @@ def _date() -> Column:
     return F.coalesce(_c("scan_date").cast("string"), F.lit("null"))
 
 
-def _json_frame() -> tuple[Column, Column]:
+def _json_frame(measured: bool = False) -> tuple[Column, Column]:
+    """With ``measured``, the results carry the time and the counters of their scan."""
+    run = [F.lit(',"durationMs":'), _c("duration_ms").cast("string"), F.lit(',"scan":'), F.to_json("scan")] if measured else []
     header = F.concat(
         F.lit('{"repositoryPath":'), _quoted(_c("repo")),
         F.lit(',"totalFindings":'), _c("total_findings").cast("string"),
         F.lit(',"severityCounts":'), F.to_json("severity_counts"),
         F.lit(',"shouldFail":'), _c("should_fail").cast("string"),
         F.lit(',"scanDate":'), F.coalesce(_quoted(_c("scan_date").cast("string")), F.lit("null")),
-        F.lit(',"findings":['),
+        *run, F.lit(',"findings":['),
     )
     return header, F.lit("]}")
 
@@ -152,10 +154,11 @@ def report_rows(results: DataFrame, findings: DataFrame, format: str, mask: bool
     """``(repo, section, path, line, rule_id, finding_id, copy, text)`` of a report.
 
     ``results`` are scan results; ``findings`` are the findings they count, with
-    ``repo``. ``mask`` hides quoted credentials.
+    ``repo``. ``mask`` hides quoted credentials. Both are read several times: give findings
+    that are written, as ``scan.measured`` does, where deriving them costs more than reading.
     """
     row, frame, listed = {
-        "json": (json_finding, _json_frame, True),
+        "json": (json_finding, lambda: _json_frame("duration_ms" in results.columns), True),
         "sarif": (sarif_result, lambda: (F.lit(SARIF_HEADER), F.lit(SARIF_FOOTER)), True),
         "html": (html_finding, _html_frame, False),
         "junit": (junit_case, _junit_frame, False),

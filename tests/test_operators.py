@@ -336,6 +336,38 @@ def test_unreadable_files_fail_the_gate(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in scan.unread_files(files).collect()] == ["Latin.java"]
 
 
+def test_measured_scan_counts_as_it_writes(spark, tmp_path):
+    texts = [("a", "a/A.java", 'class A { String password = "pässword1"; void m() { run(x); stop(); } }'), ("a", "a/B.java", None),
+             ("b", "b/C.java", "class C { int i = 1; }"), ("b", "b/target/D.java", "class D { }")]
+    root = str(tmp_path / "repositories")
+    for _ in range(2):  # Written again, nothing is doubled.
+        code.write_files(spark.createDataFrame(texts, "repo string, path string, content string"), root)
+    (tmp_path / "repositories" / "a" / "B.java").write_bytes(b"\xff")
+    files = code.read_repository(spark, root).withColumn("repo", F.regexp_extract("path", "/([ab])/[A-Z]", 1))
+    run = scan.measured(files, str(tmp_path / "findings"))
+    duration = run.counters.pop("duration_ms")
+    # The text that is no UTF-8 has no bytes of text.
+    assert run.counters == {"files": 3, "bytes": len(texts[0][2].encode()) + len(texts[2][2]), "declarations": 2, "calls": 2, "unread": 1}
+    results = {r.repo: r for r in run.results.collect()}
+    assert (results["a"].should_fail, results["b"].should_fail, results["b"].duration_ms) == (True, False, duration)
+    assert results["b"].scan.asDict() == run.counters
+    assert [r.rule_id for r in run.findings.collect()] == ["S03"]
+    rows = reports.report_rows(run.results, run.findings.filter("false"), "json").filter("repo = 'b'").orderBy("section").collect()
+    report = json.loads("".join(r.text for r in rows))
+    assert (report["durationMs"], report["scan"], report["findings"]) == (duration, run.counters, [])
+    none = scan.measured(files.limit(0), str(tmp_path / "nothing"))
+    assert none.counters | {"duration_ms": 0} == {"files": 0, "bytes": 0, "declarations": 0, "calls": 0, "unread": 0, "duration_ms": 0}
+    assert none.results.count() == 0
+
+
+def test_findings_as_lines(spark, tmp_path):
+    found = table(spark, finding(1), finding(2, category="Hardcoded Credentials", description='Found: password = "abc"'))
+    for mask, shown in ((True, 'Found: password = "***"'), (False, 'Found: password = "abc"'), (True, 'Found: password = "***"')):
+        reports.write_findings(found, str(tmp_path / "findings"), mask)
+        rows = spark.read.json(str(tmp_path / "findings")).collect()
+        assert len(rows) == 2 and shown in {r.description for r in rows}
+
+
 def test_method_rules_of_ones_own(spark):
     rule = Rule("X01", "method", "Locks", "LOW", 0.9, None, False, "synchronized method", (), lambda: F.col("text").contains("synchronized"))
     files = spark.createDataFrame([("r", "A.java", "class A { synchronized void m() { } }")], "repo string, path string, content string")
