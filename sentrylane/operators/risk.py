@@ -148,15 +148,19 @@ def train_classifier(rows: DataFrame, max_iter: int = 100, reg: float = 0.001) -
     return Pipeline(stages=stages).fit(_numeric_flags(rows))
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``risk_level`` and ``risk_confidence``, the probability of that level."""
+def predict(model: PipelineModel, rows: DataFrame, distribution: bool = False) -> DataFrame:
+    """Add ``risk_level`` and ``risk_confidence``, the probability of that level.
+
+    With ``distribution``, also the probability of every level as the map ``risk_distribution``.
+    """
     # The label indexer is for training; findings to score have no label.
     stages = [s for s in model.stages if s.uid != model.stages[0].uid]
     kept = [F.col(c) for c in rows.columns]
     scored = PipelineModel(stages).transform(_numeric_flags(rows))
-    return scored.select(
-        *kept, "risk_level", F.array_max(vector_to_array("probability")).alias("risk_confidence")
-    )
+    levels = F.array(*[F.lit(level) for level in model.stages[0].labels])
+    shares = vector_to_array("probability")
+    added = [F.map_from_arrays(levels, shares).alias("risk_distribution")] if distribution else []
+    return scored.select(*kept, "risk_level", F.array_max(shares).alias("risk_confidence"), *added)
 
 
 def evaluate(model: PipelineModel, rows: DataFrame) -> tuple[float, DataFrame]:

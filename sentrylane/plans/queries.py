@@ -1135,6 +1135,33 @@ def _(spark, folder):
     )
 
 
+@query(
+    "e10_risk_distribution",
+    f"SELECT doc_id, 'HIGH,LOW' AS levels, CAST(1 AS DOUBLE) AS total, true AS most_probable FROM ({_HELD}) AS h",
+)
+def _(spark, folder):
+    model, held = _fitted(spark, folder)
+    shares = F.map_values("risk_distribution")
+    return risk.predict(model, held, distribution=True).select(
+        "doc_id", F.array_join(F.sort_array(F.map_keys("risk_distribution")), ",").alias("levels"),
+        F.round(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), 9).alias("total"),
+        ((F.element_at("risk_distribution", _c("risk_level")) == F.array_max(shares)) & (_c("risk_confidence") == F.array_max(shares))).alias("most_probable"),
+    )
+
+
+@query(
+    "e05_fitted_label_totals",
+    "SELECT label, CAST(count(*) AS BIGINT) AS fitted FROM (SELECT CASE quality WHEN 1 THEN 'LOW' ELSE 'HIGH' END AS label FROM documents JOIN labels USING (doc_id)) AS h GROUP BY label",
+)
+def _(spark, folder):
+    """The intercepts of a fitted model are free of the penalty, so over the rows that it was
+    fitted on the probabilities of a label add up to the number of rows with that label."""
+    rows = _labelled(spark, folder)
+    fitted = risk.predict(risk.train_classifier(rows), rows, distribution=True)
+    shares = fitted.select(F.explode("risk_distribution").alias("label", "share"))
+    return shares.groupBy("label").agg(F.round(F.sum("share")).cast("long").alias("fitted"))
+
+
 @query("e06_evaluate_model", f"SELECT label, count(*) AS n, true AS beats_majority FROM ({_HELD}) AS h GROUP BY label")
 def _(spark, folder):
     model, held = _fitted(spark, folder)
