@@ -289,7 +289,11 @@ def decode(coded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mo
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Ids of every document, decoded again: ``n_tokens``, ``ids``, and whether the text came back."""
+    """Ids of every document, decoded again: ``n_tokens``, ``ids``, and whether the text came back.
+
+    A null text is empty and has no ids; repeated rows and rows with a null id are encoded as
+    any other; an empty table gives no rows; further columns are ignored.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     coded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), back_col="decoded")
     return coded.select(

@@ -384,6 +384,13 @@ def test_round_trip(spark, corpus):
     assert pieces.tokens(rows.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_null_ids_are_encoded(spark):
+    rows = documents(spark, [(1, "same text", "s"), (1, "same text", "s"), (None, "same text", "s"), (None, None, "s")])
+    out = pieces.tokens(rows).collect()
+    assert sorted(((r.doc_id, r.n_tokens > 0) for r in out), key=str) == [(1, True), (1, True), (None, False), (None, True)]
+    assert all(r.round_trip for r in out) and len({tuple(r.ids) for r in out if r.n_tokens}) == 1
+
+
 def test_long_word(model):
     word = " " + "".join(random.Random(1).choice("abcdefgh") for _ in range(20_000))
     assert b"".join(model.bytes.value(i) for i in model.segment([word]).data) == word.encode()
