@@ -1,13 +1,11 @@
-"""Declarations, calls and methods in one Java text: a lexical pass, linear in its length.
+"""Tokens of a Java text, one letter each, as flat lines that regular expressions can read.
 
-Brackets and type arguments are paired once, and for every token the end of the
-expression that begins there is known from the token behind it. So nesting of any depth,
-statements of any length and any layout cost the same per token, and a piece of code is
-a slice of the text laid out once.
+This is the lexical pass only: it splits the text, pairs brackets, and writes one line per
+pair of brackets. What the lines mean (declarations, calls, methods) is asked of them by
+column expressions in ``operators/facts.py``. Linear in the text, whatever its nesting.
 """
 
 import re
-from bisect import bisect_right
 
 _TOKEN = re.compile(
     r'(?P<skip>[\s\x00﷐-﷯]++|//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/)'
@@ -19,277 +17,201 @@ _TOKEN = re.compile(
 )
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
-# Words of the language.
-_NO_TYPE = frozenset(
-    "return throw new else case assert yield package import instanceof do goto extends implements throws class interface enum if while for switch"
-    " try catch synchronized".split()
-)
-_BEFORE_CALL = frozenset("return throw else do case assert yield".split())
-_CONTROL = frozenset("return throw else case assert yield if while for switch catch".split())
-_NO_CALL = frozenset("if while for switch catch try synchronized return this super new throw assert case else do instanceof yield".split())
-_MODIFIERS = frozenset("public protected private static final abstract default native synchronized strictfp sealed".split())
+# Words of the language, by letter.
+_LETTERS = {
+    word: letter
+    for letter, words in {
+        "n": "new",
+        "r": "return throw else case assert yield",
+        "d": "do",
+        "c": "if while for switch catch",
+        "h": "throws",
+        "f": "interface",
+        "k": "package import goto extends implements class enum",
+        "x": "instanceof try",
+        "y": "synchronized",
+        "t": "this super",
+        "m": "public protected private static final abstract default native strictfp sealed",
+    }.items()
+    for word in words.split()
+}
 
 
 class Unreadable(ValueError):
     """Text that is no sequence of Java tokens, or whose brackets do not pair."""
 
 
-class JavaText:
-    def __init__(self, source: str):
-        self.source = source
-        self._tokens()
-        self._pairs()
-        self._lay_out()
-        self._stops()
-
-    def _tokens(self) -> None:
-        self.text, self.kind, self.start, self.gap = [], [], [], []
-        gap = False
-        for m in _TOKEN.finditer(self.source):
-            kind = m.lastgroup
-            if kind == "skip":
-                gap = True
-                continue
-            text = m[0]
-            if kind is None and text in ('"', "'", "/*"):
-                raise Unreadable(f"literal or comment without end at {m.start()}")
-            self.text.append(text)
-            self.kind.append(kind)
-            self.start.append(m.start())
-            self.gap.append(gap)
-            gap = False
-        self.size = len(self.text)
-        # Behind the last token, so that a look ahead needs no test.
-        self.text += [""] * 3
-        self.kind += [None] * 3
-        self.breaks = [m.start() for m in re.finditer("\n", self.source)]
-
-    def line(self, token: int) -> int:
-        return bisect_right(self.breaks, self.start[token]) + 1
-
-    def _pairs(self) -> None:
-        """Partners of brackets, and of < and > where they can hold type arguments."""
-        self.pair, self.types = [-1] * self.size, [-1] * self.size
-        brackets, angles = [], []
-        for i, t in enumerate(self.text[: self.size]):
-            if self.kind[i]:
-                continue
-            if t in _OPEN:
-                brackets.append(i)
-                if t != "[":
-                    angles.clear()
-            elif t in _CLOSE:
-                if not brackets or _OPEN[self.text[brackets[-1]]] != t:
-                    raise Unreadable(f"bracket without partner at {self.start[i]}")
-                j = brackets.pop()
-                self.pair[i], self.pair[j] = j, i
-                if t != "]":
-                    angles.clear()
-            elif t == "<":
-                angles.append(i)
-            elif t == ">":
-                if angles:
-                    j = angles.pop()
-                    self.types[i], self.types[j] = j, i
-            elif t == ";" or "=" in t:
-                angles.clear()
-        if brackets:
-            raise Unreadable(f"bracket without partner at {self.start[brackets[-1]]}")
-
-    def _lay_out(self) -> None:
-        """The tokens on one line with plain spacing, and where each begins and ends there."""
-        out, at, self.begin, self.end = [], 0, [], []
-        text, kind = self.text, self.kind
-        for i in range(self.size):
-            t, before = text[i], text[i - 1] if i else ""
-            if self.gap[i] and i:
-                named = lambda k: kind[k] == "word" or text[k] == "<"
-                tight = (
-                    t in (")", "]", ",") or before in ("(", "[") or t == "." and named(i + 1) or before == "." and named(i)
-                )
-                if not tight:
-                    out.append(" ")
-                    at += 1
-            out.append(t)
-            self.begin.append(at)
-            at += len(t)
-            self.end.append(at)
-        self.plain = "".join(out)
-
-    def shown(self, first: int, last: int) -> str:
-        """Tokens ``first`` to ``last``, which is included."""
-        return self.plain[self.begin[first] : self.end[last]]
-
-    def _stops(self) -> None:
-        """For each token, the first comma, semicolon or closing bracket of its level from there on."""
-        stop = [self.size] * (self.size + 3)
-        for i in range(self.size - 1, -1, -1):
-            t = self.text[i]
-            if self.kind[i]:
-                stop[i] = stop[i + 1]
-            elif t in (",", ";") or t in _CLOSE:
-                stop[i] = i
-            elif t in _OPEN:
-                stop[i] = stop[self.pair[i] + 1]
-            elif t == "<" and self.types[i] >= 0 and self.text[self.types[i] + 1] in ("(", "[", ":", "::", "{"):
-                stop[i] = stop[self.types[i] + 1]
-            else:
-                stop[i] = stop[i + 1]
-        self.stop = stop
-
-    # Declarations
-
-    def _type(self, i: int) -> int:
-        """Behind the type that begins at word ``i``."""
-        text, kind = self.text, self.kind
-
-        def names(j: int) -> int:
-            while text[j] == "." and kind[j + 1] == "word":
-                j += 2
-            return j
-
-        j = names(i + 1)
-        if text[j] == "<" and self.types[j] >= 0:
-            j = names(self.types[j] + 1)
-        return self._dimensions(j)
-
-    def _dimensions(self, j: int) -> int:
-        while self.text[j] == "[" and self.text[j + 1] == "]":
-            j += 2
-        return j
-
-    def declarations(self):
-        """(line, type, name, initialiser) of every declared variable that has one."""
-        text, kind = self.text, self.kind
-        for i in range(self.size):
-            if kind[i] != "word" or text[i] in _NO_TYPE or i and text[i - 1] == ".":
-                continue
-            at = self._type(i)
-            if kind[at] != "word":
-                continue
-            last, found = at - 1, []
-            while kind[at] == "word":
-                name, at = at, self._dimensions(at + 1)
-                if text[at] == "=":
-                    first, at = at + 1, self.stop[at + 1]
-                    if at == first:
-                        at = -1
-                        break
-                    found.append((name, first, at - 1))
-                if text[at] != ",":
-                    break
+def _tokens(source: str, width) -> tuple[list, list, list, list, list]:
+    """Text, kind, byte and line of every token, and whether space or a comment stands before it."""
+    text, kind, place, line, gap = [], [], [], [], []
+    at, row, space = 0, 1, False
+    for m in _TOKEN.finditer(source):
+        t, k = m[0], m.lastgroup
+        if k == "skip":
+            space = True
+        else:
+            if k is None and t in ('"', "'", "/*"):
+                raise Unreadable(f"literal or comment without end at {at}")
+            text.append(t)
+            kind.append(k)
+            place.append(at)
+            line.append(row)
+            gap.append(space)
+            space = False
+        at += width(t)
+        if k == "skip" or k == "text":
+            row += t.count("\n")
+    return text, kind, place, line, gap
+
+
+def _partners(text: list[str], kind: list) -> list[int]:
+    """Of each bracket, and of each < and > of one level that can hold type arguments, its partner; else -1."""
+    partner, brackets, angles = [-1] * len(text), [], [[]]
+    for i, t in enumerate(text):
+        if kind[i]:
+            continue
+        if t in _OPEN:
+            if t != "[":
+                angles[-1].clear()
+            brackets.append(i)
+            angles.append([])
+        elif t in _CLOSE:
+            if not brackets or _OPEN[text[brackets[-1]]] != t:
+                raise Unreadable(f"bracket without partner at token {i}")
+            j = brackets.pop()
+            angles.pop()
+            partner[i], partner[j] = j, i
+        elif t == "<":
+            angles[-1].append(i)
+        elif t == ">":
+            if angles[-1]:
+                j = angles[-1].pop()
+                partner[i], partner[j] = j, i
+        elif t == ";" or "=" in t:
+            angles[-1].clear()
+    if brackets:
+        raise Unreadable(f"bracket without partner at token {brackets[-1]}")
+    return partner
+
+
+def _laid_out(text: list[str], kind: list, gap: list[bool], width) -> tuple[str, list[int], list[int]]:
+    """The tokens on one line with plain spacing, and the bytes where each begins and ends there."""
+    out, begin, end, at = [], [], [], 0
+
+    def named(k: int) -> bool:
+        return k < len(text) and (kind[k] == "word" or text[k] == "<")
+
+    for i, t in enumerate(text):
+        if gap[i] and i:
+            before = text[i - 1]
+            if not (t in (")", "]", ",") or before in ("(", "[") or t == "." and named(i + 1) or before == "." and named(i)):
+                out.append(" ")
                 at += 1
-            if at >= 0 and text[at] in (";", ")"):
-                for name, first, end in found:
-                    yield self.line(name), self.shown(i, last), text[name], self.shown(first, end)
-
-    # Calls
-
-    def _scope(self, end: int, starts: dict[int, int]) -> int:
-        """Where the chain that ends at token ``end`` begins, or -1."""
-        text, kind = self.text, self.kind
-        path, start = [], -1
-        while True:
-            if end in starts:
-                start = starts[end]
-                break
-            path.append(end)
-            t = text[end]
-            if t == "}" and self.pair[end] and text[self.pair[end] - 1] in (")", "]"):
-                end = self.pair[end] - 1
-                t = text[end]
-            if kind[end] in ("text", "word", "number"):
-                first = end
-            elif t in (")", "]"):
-                first = self.pair[end]
-                while first and not kind[first - 1] and text[first - 1] in (")", "]"):
-                    first = self.pair[first - 1]
-                word = first - 1
-                if word >= 0 and text[word] == ">" and self.types[word] >= 0:
-                    word = self.types[word] - 1
-                if word >= 0 and kind[word] == "word" and text[word] not in _CONTROL:
-                    first = word
-            elif t == ">" and self.types[end] > 0 and kind[self.types[end] - 1] == "word":
-                first = self.types[end] - 1
-            else:
-                break
-            if first and text[first - 1] == "." and first > 1:
-                end = first - 2
-                continue
-            if first and text[first - 1] == "new":
-                first -= 1
-            start = -1 if first and text[first - 1] == "@" else first
-            break
-        for link in path:
-            starts[link] = start
-        return start
-
-    def calls(self):
-        """(line, scope or None, name, first argument or None, number of arguments) of every call."""
-        text, kind = self.text, self.kind
-        starts: dict[int, int] = {}
-        for i in range(1, self.size):
-            if text[i] != "(" or kind[i] or kind[i - 1] != "word":
-                continue
-            close = self.pair[i]
-            if text[close + 1] in ("{", "throws"):
-                continue  # a declaration, or a statement's head
-            name, left = i - 1, i - 2
-            if left > 0 and text[left] == ">" and self.types[left] > 0 and text[self.types[left] - 1] == ".":
-                left = self.types[left] - 1
-            if left > 0 and text[left] == ".":
-                first = self._scope(left - 1, starts)
-                if first < 0:
-                    continue
-                scope = self.shown(first, left - 1)
-                if text[first] == "new" and "(" not in scope:
-                    continue  # a constructor by its full name
+        out.append(t)
+        begin.append(at)
+        at += width(t)
+        end.append(at)
+    return "".join(out), begin, end
+
+
+class _Level:
+    """What stands directly between two brackets; ``hidden``, ``quiet``: ends of type arguments."""
+
+    __slots__ = ("parts", "hidden", "quiet", "items", "first", "behind", "fresh")
+
+    def __init__(self, opener: str):
+        self.parts, self.hidden, self.quiet, self.items, self.first, self.behind, self.fresh = ["\n" + opener], -1, -1, 0, 0, 0, True
+
+
+def shape(source: str) -> tuple[str, str]:
+    """(the text on one line with plain spacing, its tokens as lines of letters).
+
+    There is a line per pair of brackets and one for the whole file, in the order in which
+    they close: a line break, the opening bracket (^ for the file), the tokens directly
+    inside, and ! where ) closes, else #. A token is a letter and the numbers
+    begin_end_place_line: its bytes in the laid-out text, its byte in the source, its line.
+
+    * w, and the letters of ``_LETTERS``: words; v: a word after a dot, or after a dot and
+      type arguments; a: the name of an annotation; s, q: text and number.
+    * ( ) with the number of arguments and the bytes of the first; [ ] if empty, else I J;
+      { } with the byte in the source behind the closing one, and B C where a dot goes on
+      behind the body of an anonymous class or an array. What is inside has its own line.
+    * < > around type arguments, inside which a token is - and a comma that could also
+      part arguments is ~.
+    * , ; . = @ as they are (, ; = without numbers); o: any other token.
+    """
+    width = len if source.isascii() else lambda t: len(t.encode())
+    text, kind, place, line, gap = _tokens(source, width)
+    partner = _partners(text, kind)
+    plain, begin, end = _laid_out(text, kind, gap, width)
+    text += [""] * 2
+    lines, levels = [], [_Level("^")]
+
+    def letter(i: int, t: str) -> str:
+        k = kind[i]
+        if k == "word":
+            if t != "new" and i:
+                before = text[i - 1]
+                if before == "." or before == ">" and partner[i - 1] > 0 and text[partner[i - 1] - 1] == ".":
+                    return "v"
+                if before == "@" and t != "interface":
+                    return "a"
+            return _LETTERS.get(t, "w")
+        if k:
+            return "s" if k == "text" else "q"
+        return t if t in (".", "@") or t in ("<", ">") and partner[i] >= 0 else "o"
+
+    for i in range(len(kind)):
+        t, k = text[i], kind[i]
+        if not k and t in _OPEN:
+            levels.append(_Level(t))
+            continue
+        first = i
+        if not k and t in _CLOSE:
+            inner, first = levels.pop(), partner[i]
+            lines += inner.parts
+            lines.append("!" if t == ")" else "#")
+        level = levels[-1]
+        if not k and t in (",", ";"):
+            if i < level.hidden:
+                level.parts.append("-" if i < level.quiet else "~")
             else:
-                if text[name] in _NO_CALL:
-                    continue
-                if left >= 0:
-                    t = text[left]
-                    if kind[left] == "word" and t not in _BEFORE_CALL or kind[left] == "number" or t in ("]", "@", ".") or t == ">" and self.types[left] >= 0:
-                        continue
-                first, scope = name, None
-            arguments, at = [], i + 1
-            while at < close:
-                end = self.stop[at]
-                if end > at:
-                    arguments.append((at, end - 1))
-                at = end + 1
-            yield self.line(first), scope, text[name], self.shown(*arguments[0]) if arguments else None, len(arguments)
-
-    # Methods
-
-    def methods(self):
-        """(line, name, text) of every method with a body; the text as it stands in the source."""
-        text, kind = self.text, self.kind
-        for i in range(1, self.size):
-            if kind[i - 1] or text[i - 1] not in (";", "{", "}"):
-                continue
-            at = i
-            while True:
-                if text[at] == "@" and kind[at + 1] == "word" and text[at + 1] != "interface":
-                    at += 2
-                    while text[at] == "." and kind[at + 1] == "word":
-                        at += 2
-                    if text[at] == "(" and not kind[at]:
-                        at = self.pair[at] + 1
-                elif text[at] in _MODIFIERS and kind[at] == "word":
-                    at += 1
-                else:
-                    break
-            if text[at] == "<" and self.types[at] >= 0:
-                at = self.types[at] + 1
-            if kind[at] != "word" or text[at] in _NO_TYPE:
-                continue
-            name = self._type(at)
-            if kind[name] != "word" or text[name] in _NO_TYPE or text[name + 1] != "(" or kind[name + 1]:
-                continue
-            at = self._dimensions(self.pair[name + 1] + 1)
-            if text[at] == "throws":
-                while at < self.size and text[at] not in ("{", ";", "}"):
-                    at += 1
-            if text[at] == "{" and not kind[at]:
-                yield self.line(i), text[name], self.source[self.start[i] : self.start[self.pair[at]] + 1]
+                level.parts.append(t)
+            level.fresh = level.fresh or i >= level.quiet
+            continue
+        if level.fresh:
+            level.fresh = False
+            level.items += 1
+            if level.items == 1:
+                level.first = begin[first]
+        if level.items == 1:
+            level.behind = end[i]
+        if not k and t == "<" and partner[i] >= 0:
+            behind = text[partner[i] + 1]
+            if behind in ("(", "[", ":", "::", "{") or i and text[i - 1] == ".":
+                level.quiet = max(level.quiet, partner[i])
+        if i < level.hidden:
+            level.parts.append("-")
+        elif first < i:
+            opened, closed = text[first], t
+            more = ""
+            if t == ")":
+                more = f"_{inner.items}_{inner.first}_{inner.behind}"
+            elif t == "}":
+                if text[i + 1] == "." and text[first - 1] in (")", "]") and first:
+                    opened, closed = "B", "C"
+                more = f"_{place[i] + 1}"
+            elif first < i - 1:
+                opened, closed = "I", "J"
+            level.parts.append(
+                f"{opened}{begin[first]}_{end[first]}_{place[first]}_{line[first]}{more}{closed}{begin[i]}_{end[i]}_{place[i]}_{line[i]}"
+            )
+        elif t == "=" and not k:
+            level.parts.append(t)
+        else:
+            level.parts.append(f"{letter(i, t)}{begin[i]}_{end[i]}_{place[i]}_{line[i]}")
+            if not k and t == "<" and partner[i] >= 0:
+                level.hidden = partner[i]
+    lines += levels[0].parts
+    lines.append("#")
+    return plain, "".join(lines)

@@ -1,15 +1,20 @@
 """Code facts from Java text: declarations, calls and methods.
 
-A file is one row and goes through one map stage: no shuffle, no collect. The lexical pass
-over a text is ``functions/java_text.py``, run over Arrow batches; it is linear in the text
-and has no limit of depth, length or layout. Everything behind it (rules, gates, reports)
-is column expressions.
+A file is one row and goes through one map stage: no shuffle, no collect. The helper
+``functions/java_text.py`` splits a text into tokens and writes them as flat lines of
+letters, one line per pair of brackets. Declarations, calls and methods are found on these
+lines by regular expressions, and put together by array expressions; both run in the JVM.
+The patterns repeat single characters only, so they neither backtrack nor recurse: depth,
+length and layout of the text do not matter.
 """
 
+from collections.abc import Callable
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sentrylane.functions.java_text import JavaText, Unreadable
+from sentrylane.functions.java_text import Unreadable, shape
 
 #: Kind of the one row of a file that could not be read, where these are asked for.
 UNREAD = "unread"
@@ -21,21 +26,171 @@ _FACT = T.StructType(
         for name in ("ordinal", "kind", "line", "type", "name", "init", "scope", "arg0", "n_args", "text")
     ]
 )
-_ARROW = [pa.int32() if f.name in _INTEGERS else pa.string() for f in _FACT.fields]
-#: Facts of one Arrow batch on their way out.
-_ROWS = 5000
+#: Bytes of letters and text in one Arrow batch on its way out.
+_BYTES = 8 << 20
+
+# Patterns over the letters of ``shape``.
+_ANY = "nrdchfkxytmw"
+_NUMBERS = r"[\d_]++"
+_ANGLES = rf"<{_NUMBERS}[~-]*+>"
+_DIMENSIONS = r"[\[\]\d_]*+"
+#: A word that can be a type, dotted names, type arguments with dotted names, dimensions.
+_TYPE = rf"[wmt][.v\d_]++(?:{_ANGLES}[.v\d_]++)?+{_DIMENSIONS}"
+#: From a type and a name to the end of the statement or the bracket.
+_DECLARATION = rf"{_TYPE}[{_ANY}]{_NUMBERS}{_DIMENSIONS}[=,][^;!#\n]*+[;!#]"
+_DECLARATOR = rf"^[{_ANY}]{_NUMBERS}{_DIMENSIONS}(?:=.+)?$"
+#: A name and its bracket where the token before is no dot, word, number or the like, and no body follows.
+_CALL = rf"[^wmkhfnxcytvaqJ\]@.>\d_][\d_]*+([wmkhf]{_NUMBERS}\({_NUMBERS})(?=\){_NUMBERS}[^{{Bh\d_])"
+#: A first link, or brackets that no word precedes, and everything that dots tie to it.
+_INSIDE = r"()\[\]IJ<>BC~\d_-"
+_CHAIN = (
+    r"(?:[^dkhfxytmwnva>)\]J\d_][\d_]*+(?=[(\[I]\d)|(?=[ndkhfxytmwsq]\d))"
+    rf"((?:n{_NUMBERS})?+[dkhfxytmwsq(\[I]{_NUMBERS}[{_INSIDE}]*+\.[v.{_INSIDE}]*+)"
+)
+#: In a chain: the end of what stands before the dot, the name, its bracket.
+_LINK = rf"_\d+_\d+_\d+\.{_NUMBERS}(?:{_ANGLES}{_NUMBERS})?+v{_NUMBERS}\({_NUMBERS}(?=\){_NUMBERS}(?![{{Bh]))"
+#: After a statement, a body or an opening brace: annotations, modifiers, type, name, parameters and a body.
+_METHOD = (
+    rf"(?:;|\}}{_NUMBERS}|\n\{{)([@avmy.()\d_]*+(?:{_ANGLES}{_NUMBERS})?+{_TYPE}[wmt]{_NUMBERS}"
+    rf"\({_NUMBERS}\)[\[\]\d_]++(?:h[^{{}};!#\n]*+)?+\{{{_NUMBERS})"
+)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, and not copied where an inner lambda reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _int(numbers: Column, at: int) -> Column:
+    return F.element_at(numbers, at).cast("int")
+
+
+def _slice(binary: Column, first: Column, behind: Column) -> Column:
+    return F.substring(binary, first + 1, behind - first).cast("string")
+
+
+def _fact(order: Column, **given: Column) -> Column:
+    """A fact before it is numbered; ``order`` is a byte of the text."""
+    fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _FACT.fields if f.name not in ("ordinal", "kind")]
+    return F.struct(order.alias("order"), *fields)
+
+
+def _all(letters: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(letters, F.lit(pattern), F.lit(group))
+
+
+def _declarations(letters: Column, plain: Column) -> Column:
+    """Every declared variable that has an initialiser."""
+
+    def declared(found: Column) -> Column:
+        type_ = F.split(F.regexp_extract(found, f"^({_TYPE})", 1), r"\D+")
+        parts = F.split(F.regexp_extract(found, f"^{_TYPE}(.*).$", 1), "[,~]")
+        ends = found.endswith(";") | found.endswith("!")
+        known = _with(parts, lambda p: F.when(ends & F.forall(p, lambda x: x.rlike(_DECLARATOR)), F.filter(p, lambda x: x.contains("="))))
+        return _with(type_, lambda t: F.transform(known, lambda x: variable(x, t)))
+
+    def variable(part: Column, t: Column) -> Column:
+        first = F.regexp_extract(part, r"^[^=]*+=\D(\d++)", 1).try_cast("int")
+        behind = F.regexp_extract(part, r"(\d++)_\d++_\d++$", 1).try_cast("int")
+        return _with(
+            F.split(part, r"\D+", 6),
+            lambda n: _fact(
+                _int(t, 2), line=_int(n, 5), type=_slice(plain, _int(t, 2), _int(t, -3)),
+                name=_slice(plain, _int(n, 2), _int(n, 3)), init=_slice(plain, first, behind),
+            ),
+        )
+
+    found = F.transform(_all(letters, _DECLARATION), declared)
+    return F.flatten(F.filter(found, lambda x: x.isNotNull()))
+
+
+def _arguments(n: Column, plain: Column) -> dict[str, Column]:
+    """From the numbers of an opening bracket, which end ``n``."""
+    return {"n_args": _int(n, -3), "arg0": F.when(_int(n, -3) > 0, _slice(plain, _int(n, -2), _int(n, -1)))}
+
+
+def _calls(letters: Column, plain: Column) -> Column:
+    """Every call, its first argument and the expression that it is called on."""
+
+    def alone(found: Column) -> Column:
+        return _with(
+            F.split(found, r"\D+"),
+            lambda n: _fact(_int(n, -7), line=_int(n, 5), name=_slice(plain, _int(n, 2), _int(n, 3)), **_arguments(n, plain)),
+        )
+
+    def chained(chain: Column) -> Column:
+        return _with(F.split(chain, r"\D+", 6), lambda head: F.transform(_all(chain, _LINK), lambda x: linked(x, head)))
 
+    def linked(found: Column, head: Column) -> Column:
+        return _with(
+            F.split(found, r"\D+"),
+            lambda n: _fact(
+                _int(n, -7), line=_int(head, 5), scope=_slice(plain, _int(head, 2), _int(n, 2)),
+                name=_slice(plain, _int(n, -11), _int(n, -10)), **_arguments(n, plain),
+            ),
+        )
 
-def _facts_of(content: str, method_words: tuple[str, ...] | None):
-    """Rows of the fact columns. Raises ``Unreadable``."""
-    java = JavaText(content)
-    for n, (line, kind, name, init) in enumerate(java.declarations()):
-        yield n, "var", line, kind, name, init, None, None, None, None
-    for n, (line, scope, name, arg0, n_args) in enumerate(java.calls()):
-        yield n, "call", line, None, name, None, scope, arg0, n_args, None
-    if method_words is None or any(w in content for w in method_words):
-        for n, (line, name, text) in enumerate(java.methods()):
-            yield n, "method", line, None, name, None, None, None, None, text
+    dotted = F.flatten(F.transform(_all(letters, _CHAIN, 1), chained))
+    # A constructor by its full name is no call.
+    dotted = F.filter(dotted, lambda x: ~(x["scope"].startswith("new ") & ~x["scope"].contains("(")))
+    return F.concat(F.transform(_all(letters, _CALL, 1), alone), dotted)
+
+
+def _methods(letters: Column, plain: Column, source: Column) -> Column:
+    """Every method with a body; the text as it stands in the source."""
+
+    def method(found: Column) -> Column:
+        name = [F.regexp_extract(found, r"[wmt](\d++)_(\d++)[\d_]++\(", k).cast("int") for k in (1, 2)]
+        behind = F.regexp_extract(found, r"(\d++)$", 1).cast("int")
+        return _with(
+            F.split(found, r"\D+", 6),
+            lambda n: _fact(_int(n, 2), line=_int(n, 5), name=_slice(plain, *name), text=_slice(source, _int(n, 4), behind)),
+        )
+
+    return F.transform(_all(letters, _METHOD, 1), method)
+
+
+def _numbered(kind: str, facts: Column) -> Column:
+    """Facts of one kind in the order of the text."""
+
+    def numbered(x: Column, n: Column) -> Column:
+        given = {"ordinal": n.cast("int"), "kind": F.lit(kind)}
+        return F.struct(*[(given[f.name] if f.name in given else x[f.name]).alias(f.name) for f in _FACT.fields])
+
+    return F.transform(F.array_sort(facts), numbered)
+
+
+def _lettered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, the content, its laid-out text and its letters; null where it cannot be read."""
+    schema = T.StructType(
+        [*rows.schema.fields[:-1], T.StructField("_content", T.StringType()), T.StructField("_plain", T.BinaryType()), T.StructField("_letters", T.StringType())]
+    )
+    names = [f.name for f in schema.fields]
+
+    def lettered(batches):
+        for b in batches:
+            plain, letters, size, done = [], [], 0, 0
+
+            def batch() -> pa.RecordBatch:
+                passed = b.slice(done, len(plain)).columns
+                return pa.RecordBatch.from_arrays([*passed, pa.array(plain, pa.binary()), pa.array(letters, pa.string())], names=names)
+
+            for content in b.column(len(columns)):
+                try:
+                    laid, line = shape(content.as_py()) if content.is_valid else (None, None)
+                except Unreadable:
+                    laid, line = None, None
+                plain.append(laid if laid is None else laid.encode())
+                letters.append(line)
+                size += len(line or "")
+                if size > _BYTES:
+                    yield batch()
+                    done += len(plain)
+                    plain, letters, size = [], [], 0
+            if plain:
+                yield batch()
+
+    return rows.mapInArrow(lettered, schema)
 
 
 def extract_facts(
@@ -52,36 +207,20 @@ def extract_facts(
     has no facts; with ``unread`` it gives one row of kind ``unread``.
     """
     columns = [*keep, "path"]
-    rows = files.select(*columns, "content")
-    schema = T.StructType([*rows.schema.fields[:-1], *_FACT.fields])
-    names = [f.name for f in schema.fields]
-
-    def extracted(batches):
-        for b in batches:
-            given = b.select(list(range(len(columns))))
+    rows = _lettered(files.select(*columns, "content"), columns)
+    content, letters = F.col("_content"), F.col("_letters")
+    wanted = letters
+    if method_words is not None:
+        wanted = F.when(reduce(lambda a, b: a | b, [content.contains(w) for w in method_words], F.lit(False)), letters).otherwise("")
 
-            def batch(at: list[int], found: list[tuple]) -> pa.RecordBatch:
-                passed = given.take(pa.array(at, pa.int32()))
-                facts = [pa.array(v, t) for v, t in zip(zip(*found), _ARROW)]
-                return pa.RecordBatch.from_arrays([*passed.columns, *facts], names=names)
-
-            at, found, size = [], [], 0
-            for i, content in enumerate(b.column(len(columns)).to_pylist()):
-                try:
-                    if content is None:
-                        raise Unreadable("no content")
-                    for row in _facts_of(content, method_words):
-                        at.append(i)
-                        found.append(row)
-                        size += sum(len(v) for v in row if isinstance(v, str))
-                        if len(at) >= _ROWS or size > 8 << 20:
-                            yield batch(at, found)
-                            at, found, size = [], [], 0
-                except Unreadable:
-                    if unread:
-                        at.append(i)
-                        found.append((0, UNREAD, None, None, None, None, None, None, None, None))
-            if at:
-                yield batch(at, found)
+    def facts(plain: Column) -> Column:
+        methods = _with(content.cast("binary"), lambda source: _methods(wanted, plain, source))
+        return F.concat(
+            _numbered("var", _declarations(letters, plain)), _numbered("call", _calls(letters, plain)), _numbered("method", methods)
+        )
 
-    return rows.mapInArrow(extracted, schema)
+    found = _with(F.col("_plain"), facts)
+    if unread:
+        row = F.struct(*[F.lit({"ordinal": 0, "kind": UNREAD}.get(f.name)).cast(f.dataType).alias(f.name) for f in _FACT.fields])
+        found = F.when(letters.isNull(), F.array(row)).otherwise(found)
+    return rows.select(*columns, F.inline(found))
