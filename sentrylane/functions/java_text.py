@@ -16,6 +16,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+#: Besides words, angles and square brackets, what can stand in type arguments.
+_IN_TYPES = {".", ",", "?", "&", "@"}
 
 # Words of the language, by letter.
 _LETTERS = {
@@ -69,8 +71,9 @@ def _partners(text: list[str], kind: list) -> list[int]:
     partner, brackets, angles = [-1] * len(text), [], [[]]
     for i, t in enumerate(text):
         if kind[i]:
-            continue
-        if t in _OPEN:
+            if kind[i] != "word":
+                angles[-1].clear()
+        elif t in _OPEN:
             if t != "[":
                 angles[-1].clear()
             brackets.append(i)
@@ -87,7 +90,7 @@ def _partners(text: list[str], kind: list) -> list[int]:
             if angles[-1]:
                 j = angles[-1].pop()
                 partner[i], partner[j] = j, i
-        elif t == ";" or "=" in t:
+        elif t not in _IN_TYPES or t == "&" and text[i - 1] == "&":
             angles[-1].clear()
     if brackets:
         raise Unreadable(f"bracket without partner at token {brackets[-1]}")
@@ -132,7 +135,7 @@ def shape(source: str) -> tuple[str, str]:
     begin_end_place_line: its bytes in the laid-out text, its byte in the source, its line.
 
     * w, and the letters of ``_LETTERS``: words; v: a word after a dot, or after a dot and
-      type arguments; a: the name of an annotation; s, q: text and number.
+      type arguments; a: the name of an annotation; s, q: text, and number that begins with a digit.
     * ( ) with the number of arguments and the bytes of the first; [ ] if empty, else I J;
       { } with the byte in the source behind the closing one, and B C where a dot goes on
       behind the body of an anonymous class or an array. What is inside has its own line.
@@ -158,7 +161,7 @@ def shape(source: str) -> tuple[str, str]:
                     return "a"
             return _LETTERS.get(t, "w")
         if k:
-            return "s" if k == "text" else "q"
+            return "s" if k == "text" else "o" if i and text[i - 1] == "." else "q"
         return t if t in (".", "@") or t in ("<", ">") and partner[i] >= 0 else "o"
 
     for i in range(len(kind)):

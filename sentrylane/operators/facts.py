@@ -69,22 +69,32 @@ def _slice(binary: Column, first: Column, behind: Column) -> Column:
     return F.substring(binary, first + 1, behind - first).cast("string")
 
 
-def _fact(order: Column, **given: Column) -> Column:
-    """A fact before it is numbered; ``order`` is a byte of the text."""
+def _fact(*order: Column, **given: Column) -> Column:
+    """A fact before it is numbered, by ``order``: bytes of the text."""
     fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _FACT.fields if f.name not in ("ordinal", "kind")]
-    return F.struct(order.alias("order"), *fields)
+    return F.struct(F.struct(*order).alias("order"), *fields)
 
 
 def _all(letters: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(letters, F.lit(pattern), F.lit(group))
 
 
+def _numbers(tokens: Column) -> Column:
+    """The numbers of tokens in a row. (``split`` would compile its pattern for every value.)"""
+    return _all(tokens, r"\d++")
+
+
+def _head(tokens: Column) -> Column:
+    """The numbers of the first token: begin, end, place, line."""
+    return _numbers(F.regexp_extract(tokens, r"^.[\d_]++", 0))
+
+
 def _declarations(letters: Column, plain: Column) -> Column:
     """Every declared variable that has an initialiser."""
 
     def declared(found: Column) -> Column:
-        type_ = F.split(F.regexp_extract(found, f"^({_TYPE})", 1), r"\D+")
-        parts = F.split(F.regexp_extract(found, f"^{_TYPE}(.*).$", 1), "[,~]")
+        type_ = _numbers(F.regexp_extract(found, f"^{_TYPE}", 0))
+        parts = _all(F.regexp_extract(found, f"^{_TYPE}(.*).$", 1), "[^,~]++")
         ends = found.endswith(";") | found.endswith("!")
         known = _with(parts, lambda p: F.when(ends & F.forall(p, lambda x: x.rlike(_DECLARATOR)), F.filter(p, lambda x: x.contains("="))))
         return _with(type_, lambda t: F.transform(known, lambda x: variable(x, t)))
@@ -93,10 +103,10 @@ def _declarations(letters: Column, plain: Column) -> Column:
         first = F.regexp_extract(part, r"^[^=]*+=\D(\d++)", 1).try_cast("int")
         behind = F.regexp_extract(part, r"(\d++)_\d++_\d++$", 1).try_cast("int")
         return _with(
-            F.split(part, r"\D+", 6),
+            _head(part),
             lambda n: _fact(
-                _int(t, 2), line=_int(n, 5), type=_slice(plain, _int(t, 2), _int(t, -3)),
-                name=_slice(plain, _int(n, 2), _int(n, 3)), init=_slice(plain, first, behind),
+                _int(t, 1), _int(n, 1), line=_int(n, 4), type=_slice(plain, _int(t, 1), _int(t, -3)),
+                name=_slice(plain, _int(n, 1), _int(n, 2)), init=_slice(plain, first, behind),
             ),
         )
 
@@ -114,18 +124,18 @@ def _calls(letters: Column, plain: Column) -> Column:
 
     def alone(found: Column) -> Column:
         return _with(
-            F.split(found, r"\D+"),
-            lambda n: _fact(_int(n, -7), line=_int(n, 5), name=_slice(plain, _int(n, 2), _int(n, 3)), **_arguments(n, plain)),
+            _numbers(found),
+            lambda n: _fact(_int(n, -7), line=_int(n, 4), name=_slice(plain, _int(n, 1), _int(n, 2)), **_arguments(n, plain)),
         )
 
     def chained(chain: Column) -> Column:
-        return _with(F.split(chain, r"\D+", 6), lambda head: F.transform(_all(chain, _LINK), lambda x: linked(x, head)))
+        return _with(_head(chain), lambda head: F.transform(_all(chain, _LINK), lambda x: linked(x, head)))
 
     def linked(found: Column, head: Column) -> Column:
         return _with(
-            F.split(found, r"\D+"),
+            _numbers(found),
             lambda n: _fact(
-                _int(n, -7), line=_int(head, 5), scope=_slice(plain, _int(head, 2), _int(n, 2)),
+                _int(n, -7), line=_int(head, 4), scope=_slice(plain, _int(head, 1), _int(n, 1)),
                 name=_slice(plain, _int(n, -11), _int(n, -10)), **_arguments(n, plain),
             ),
         )
@@ -143,8 +153,8 @@ def _methods(letters: Column, plain: Column, source: Column) -> Column:
         name = [F.regexp_extract(found, r"[wmt](\d++)_(\d++)[\d_]++\(", k).cast("int") for k in (1, 2)]
         behind = F.regexp_extract(found, r"(\d++)$", 1).cast("int")
         return _with(
-            F.split(found, r"\D+", 6),
-            lambda n: _fact(_int(n, 2), line=_int(n, 5), name=_slice(plain, *name), text=_slice(source, _int(n, 4), behind)),
+            _head(found),
+            lambda n: _fact(_int(n, 1), line=_int(n, 4), name=_slice(plain, *name), text=_slice(source, _int(n, 3), behind)),
         )
 
     return F.transform(_all(letters, _METHOD, 1), method)

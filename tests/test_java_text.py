@@ -1,83 +1,140 @@
-"""The lexical pass: depth, layout, length."""
+"""From text to tokens to facts: depth, layout, length."""
 
 import time
 
 import pytest
 
-from sentrylane.functions.java_text import JavaText, Unreadable
+from sentrylane.functions.java_text import Unreadable, shape
+from sentrylane.operators.facts import extract_facts
 
 
-def body(text):
-    return JavaText("class A {\n  void m() {\n" + text + "\n  }\n}\n")
+def facts(spark, text):
+    rows = extract_facts(spark.createDataFrame([("A.java", text)], "path string, content string")).orderBy("kind", "ordinal").collect()
+    kinds = {"var": [], "call": [], "method": []}
+    for r in rows:
+        kinds[r.kind].append(r)
+    return kinds
+
+
+def body(spark, text):
+    return facts(spark, "class A {\n  void m() {\n" + text + "\n  }\n}\n")
+
+
+def variables(found):
+    return [(r.line, r.type, r.name, r.init) for r in found["var"]]
+
+
+def test_letters():
+    plain, lines = shape('a.<B<C, D>>f(x  /* y */ , "s")\n  [0];')
+    assert plain == 'a.<B<C, D>>f(x, "s") [0];'
+    words = "".join(c for c in lines if not c.isdigit() and c != "_")
+    assert words == "\n(w,s!\n[q#\n^w.<------>v()IJ;#"
+    # Two arguments, the first at bytes 13 to 14; the bracket and the line of the index.
+    assert "(12_13_12_1_2_13_14)" in lines and "I21_22_33_2J" in lines
 
 
 @pytest.mark.parametrize("depth", [1, 16, 500])
-def test_any_depth(depth):
-    java = body(f"String query = {'(' * depth}\"SELECT a\" + x{')' * depth};\nrt.exec({'f(' * depth}\"a\" + x{')' * depth} + y);\n{'{' * depth}int z = 1;{'}' * depth}")
-    assert [v[2] for v in java.declarations()] == ["query", "z"]
-    assert [c[2] for c in java.calls()].count("f") == depth
-    assert [m[1] for m in java.methods()] == ["m"]
+def test_any_depth(spark, depth):
+    java = body(spark, f"String query = {'(' * depth}\"SELECT a\" + x{')' * depth};\nrt.exec({'f(' * depth}\"a\" + x{')' * depth} + y);\n{'{' * depth}int z = 1;{'}' * depth}")
+    assert [v[2] for v in variables(java)] == ["query", "z"]
+    assert [c.name for c in java["call"]].count("f") == depth
+    assert [m.name for m in java["method"]] == ["m"]
 
 
 @pytest.mark.parametrize("depth", [1, 5, 60])
-def test_any_type_arguments(depth):
+def test_any_type_arguments(spark, depth):
     kind = "List<" * depth + "String" + ">" * depth
-    assert list(body(f"{kind} sql = f(x);").declarations()) == [(3, kind, "sql", "f(x)")]
+    assert variables(body(spark, f"{kind} sql = f(x);")) == [(3, kind, "sql", "f(x)")]
 
 
 @pytest.mark.parametrize("blanks", [0, 1, 16, 300])
-def test_any_indentation(blanks):
-    java = JavaText("class A {\n  A()\n" + " " * blanks + "{ }\n  java.util.\n" + " " * blanks + "Random r = new Random();\n  void f() throws\n" + " " * blanks + "E { }\n}")
-    assert list(java.declarations()) == [(5, "java.util.Random", "r", "new Random()")]
-    assert list(java.calls()) == [] and [m[1] for m in java.methods()] == ["f"]
+def test_any_indentation(spark, blanks):
+    java = facts(spark, "class A {\n  A()\n" + " " * blanks + "{ }\n  java.util.\n" + " " * blanks + "Random r = new Random();\n  void f() throws\n" + " " * blanks + "E { }\n}")
+    assert variables(java) == [(5, "java.util.Random", "r", "new Random()")]
+    assert java["call"] == [] and [m.name for m in java["method"]] == ["f"]
+
+
+def test_escaped_quotes_in_a_text_block(spark):
+    java = facts(spark, 'class A { String a = """\n x \\""" y \\\\\n"""; }\nclass B { String password = "abcd"; }')
+    assert [(v[0], v[2]) for v in variables(java)] == [(1, "a"), (4, "password")]
+
+
+def test_lambdas_comparisons_and_generic_calls(spark):
+    java = body(spark, "a.map(x -> f(x)); if (b > g(1)) { } List<String> h(); c.<T>i(j); int k = a < b ? c(d) : e;")
+    assert [(c.scope, c.name) for c in java["call"]] == [("a", "map"), (None, "f"), (None, "g"), ("c", "i"), (None, "c")]
+    assert [v[2] for v in variables(java)] == ["k"]
 
 
-def test_escaped_quotes_in_a_text_block():
-    java = JavaText('class A { String a = """\n x \\""" y \\\\\n"""; }\nclass B { String password = "abcd"; }')
-    assert [(v[0], v[2]) for v in java.declarations()] == [(1, "a"), (4, "password")]
+def test_comparisons_are_no_type_arguments(spark):
+    java = body(spark, "if (a < 1 && b > f(x)) { } g(c < d && e > ((H) y).z(), 2); Map<K, V> m = Map.<K, V>of(k, v);")
+    assert [(c.scope, c.name, c.n_args) for c in java["call"]] == [(None, "f", 1), (None, "g", 2), ("((H) y)", "z", 0), ("Map", "of", 2)]
+    assert variables(java) == [(3, "Map<K, V>", "m", "Map.<K, V>of(k, v)")]
 
 
-def test_lambdas_comparisons_and_generic_calls():
-    java = body("a.map(x -> f(x)); if (b > g(1)) { } List<String> h(); c.<T>i(j); int k = a < b ? c(d) : e;")
-    assert [(c[1], c[2]) for c in java.calls()] == [("a", "map"), (None, "f"), (None, "g"), ("c", "i"), (None, "c")]
-    assert [v[2] for v in java.declarations()] == ["k"]
+def test_scope_behind_an_anonymous_class(spark):
+    (call, *_) = [c for c in body(spark, "new A(1) { int b; }.run(x);")["call"] if c.name == "run"]
+    assert call.scope == "new A(1) { int b; }"
 
 
-def test_scope_behind_an_anonymous_class():
-    (call, *_) = [c for c in body("new A(1) { int b; }.run(x);").calls() if c[2] == "run"]
-    assert call[1] == "new A(1) { int b; }"
+def test_a_statement_behind_a_block_begins_anew(spark):
+    java = body(spark, "if (a) { b(); } ((B) c).d(); while (e) (f).g();")
+    assert [(c.scope, c.name) for c in java["call"]] == [(None, "b"), ("((B) c)", "d"), ("(e) (f)", "g")]
+
+
+def test_facts_are_numbered_in_the_order_of_the_text(spark):
+    java = body(spark, "int a = f(new X() { int b = 1; }), c = 2; int d = g(h());")
+    assert [(v.name, v.ordinal) for v in java["var"]] == [("a", 0), ("c", 1), ("b", 2), ("d", 3)]
+    assert [(c.name, c.ordinal) for c in java["call"]] == [("f", 0), ("g", 1), ("h", 2)]
+
+
+def test_offsets_count_bytes(spark):
+    java = body(spark, 'String größe = "日本" + é.ü("ß");')
+    assert variables(java) == [(3, "String", "größe", '"日本" + é.ü("ß")')]
+    assert [(c.scope, c.name, c.arg0) for c in java["call"]] == [("é", "ü", '"ß"')]
+    (method,) = java["method"]
+    assert method.text.endswith('"日本" + é.ü("ß");\n  }')
 
 
 @pytest.mark.parametrize("text", ['"open', "'", "/* open", "(", ")", "{", "(]", '"""\nx'])
 def test_unreadable(text):
     with pytest.raises(Unreadable):
-        JavaText(f"class A {{ {text} }}")
+        shape(f"class A {{ {text} }}")
+
 
+PIECES = ["int a = b ", "a < b < ", "List<List<", "x.y(z)", ".y(z)", "f(a, ", "((", "a[b", "@A ", "a = b = ", "int a = b, c = d, ", "final ", "a.b"]
 
-@pytest.mark.parametrize(
-    "piece", ["int a = b ", "a < b < ", "List<List<", "x.y(z)", "f(a, ", "((", "a[b", "@A ", "a = b = "], ids=str
-)
+
+def of_one_statement(piece, n):
+    text = "class A { void m() { " + piece * n
+    close = []
+    for c in text:
+        if c in "([{":
+            close.append({"(": ")", "[": "]", "{": "}"}[c])
+        elif c in ")]}":
+            close.pop()
+    return text + "".join(reversed(close))
+
+
+@pytest.mark.parametrize("piece", PIECES, ids=str)
 def test_linear(piece):
     """Text of one statement, eight times as long, takes no more than some sixteen times as long."""
 
     def took(n):
-        text = "class A { void m() { " + piece * n
-        close = []
-        for c in text:
-            if c in "([{":
-                close.append({"(": ")", "[": "]", "{": "}"}[c])
-            elif c in ")]}":
-                close.pop()
-        text += "".join(reversed(close))
-        best = 9e9
+        text, best = of_one_statement(piece, n), 9e9
         for _ in range(3):
             start = time.perf_counter()
-            java = JavaText(text)
-            sum(1 for _ in java.declarations()), sum(1 for _ in java.methods())
-            if piece != "x.y(z)":
-                sum(1 for _ in java.calls())
+            shape(text)
             best = min(best, time.perf_counter() - start)
         return best
 
     small, large = took(2000), took(16000)
     assert large < 16 * small + 0.05
+
+
+def test_patterns_neither_recurse_nor_backtrack(spark):
+    files = spark.createDataFrame([(p, of_one_statement(p, 16000)) for p in PIECES if p != ".y(z)"], "path string, content string")
+    start = time.perf_counter()
+    counts = {(r.path, r.kind): r["count"] for r in extract_facts(files).groupBy("path", "kind").count().collect()}
+    assert time.perf_counter() - start < 30
+    assert counts["f(a, ", "call"] == counts["x.y(z)", "call"] == 16000
+    assert all(counts[p, "method"] == 1 for p in PIECES if p != ".y(z)")
