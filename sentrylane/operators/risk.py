@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrylane.functions.severity import category_key, severity_weight
 from sentrylane.functions.text import contains_any
+from sentrylane.session import work_folder
 
 # Words behind the two flags, impact by category, retrain threshold.
 NETWORK_WORDS = ("network", "remote", "http", "api")
@@ -132,7 +133,9 @@ def train_classifier(rows: DataFrame, max_iter: int = 100, reg: float = 0.001) -
     """Multinomial logistic regression over labelled rows of the training schema.
 
     The category vocabulary is the only thing gathered on the driver; the fit itself is
-    Spark's distributed optimiser.
+    Spark's distributed optimiser. The model comes back from the shared folder: as fitted it
+    holds the summary of its training and with it the session, which no task can be sent
+    once the session has observed metrics.
     """
     labels = StringIndexer(inputCol="label", outputCol="label_ix", stringOrderType="alphabetAsc")
     fitted_labels = labels.fit(rows)
@@ -145,7 +148,9 @@ def train_classifier(rows: DataFrame, max_iter: int = 100, reg: float = 0.001) -
         ),
         IndexToString(inputCol="prediction", outputCol="risk_level", labels=fitted_labels.labels),
     ]
-    return Pipeline(stages=stages).fit(_numeric_flags(rows))
+    path = work_folder(rows.sparkSession, "model")
+    Pipeline(stages=stages).fit(_numeric_flags(rows)).write().save(path)
+    return PipelineModel.load(path)
 
 
 def predict(model: PipelineModel, rows: DataFrame, distribution: bool = False) -> DataFrame:

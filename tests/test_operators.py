@@ -6,7 +6,7 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from sentrylane import schemas
 from sentrylane.functions import severity as sev, text as tx
@@ -156,6 +156,15 @@ def test_hand_written_scores(spark):
     assert b.network is True and b.exploitability == 1.0 and b.cvss == 10.0
 
 
+def test_classifier_predicts_in_a_session_that_has_observed(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("rows")).collect()
+    assert seen.get == {"rows": 3}
+    rows = dimensions.seed_training_rows(spark)
+    levels = {r.risk_level for r in risk.predict(risk.train_classifier(rows), rows).collect()}
+    assert levels <= {r.label for r in rows.collect()}
+
+
 def test_classifier_learns_its_seed_rows(spark):
     rows = dimensions.seed_training_rows(spark)
     model = risk.train_classifier(rows)
