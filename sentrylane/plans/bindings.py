@@ -24,13 +24,14 @@ class Derivation:
     index: str | None = None
     templates: tuple[tuple, ...] = ()
     names: tuple[str, ...] = ()
-    #: Deal the source rows (keys, no texts) to all cores first: a provided table is one
-    #: file, which one task reads, where a repository is listed file by file.
-    dealt: bool = False
+    #: Deal the source rows (keys, no texts) to all cores first, and to more tasks where one
+    #: would get more rows than this: a provided table is one file, which one task reads,
+    #: where a repository is listed file by file.
+    dealt: int | None = None
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
         rows = spark.read.parquet(f"{folder}/{self.table}.parquet")
-        return self.of(rows.repartition(spark.sparkContext.defaultParallelism) if self.dealt else rows)
+        return self.of(dealt(rows, self.dealt) if self.dealt else rows)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """The same projection of a given (possibly streaming) DataFrame."""
@@ -55,6 +56,14 @@ class Derivation:
         return f"SELECT {', '.join(f'{e} AS {c}' for c, e in self.columns.items())} FROM {source}"
 
 
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of a table in tasks of at most about ``most`` rows, one per core at least.
+
+    The count reads the footers of the table's files.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most)))
+
+
 def _type(values) -> str:
     return "int" if any(isinstance(v, int) for v in values) else "string"
 
@@ -170,7 +179,7 @@ FACTS = Derivation(
     f"(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % {len(_FACT_ROWS)}",
     _FACT_ROWS,
     ("kind", "type_text", "name_text", "init_text", "scope_text", "arg_text", "args", "body_text"),
-    dealt=True,
+    dealt=1_000_000,
 )
 
 
@@ -459,6 +468,9 @@ SOURCES = (
     ),
 )
 
+#: Files that one task lexes and judges, at most.
+FILES_OF_A_TASK = 20_000
+
 ORDER_FILES = Derivation(
     "orders",
     {
@@ -469,7 +481,7 @@ ORDER_FILES = Derivation(
     f"o_orderkey % {len(SOURCES)}",
     tuple((_FILE_HEAD + body + _FILE_TAIL,) for body, _, _ in SOURCES),
     ("java",),
-    dealt=True,
+    dealt=FILES_OF_A_TASK,
 )
 
 #: A document's text within a text block: backslashes and quotes escaped.
@@ -507,7 +519,7 @@ NESTED_FILES = Derivation(
             + _DEPTH + ") || 'int deep = 1;' || repeat(' }', " + _DEPTH + ") || '\n  }\n  N()\n' || repeat(' ', " + _BLANKS + ") || '{ }\n}\n'"
         ),
     },
-    dealt=True,
+    dealt=FILES_OF_A_TASK,
 )
 
 #: Order files of which some have no content, in one repository, or no end, in another.
@@ -518,7 +530,7 @@ BROKEN_FILES = Derivation(
     ORDER_FILES.index,
     ORDER_FILES.templates,
     ORDER_FILES.names,
-    dealt=True,
+    dealt=FILES_OF_A_TASK,
 )
 
 # --- runtime events, from events ----------------------------------------------------

@@ -944,7 +944,8 @@ _CUSTOMERS = "c_custkey AS o_orderkey, c_custkey AS o_custkey"
 def _on_disk(spark, folder) -> DataFrame:
     """A file per customer, and a copy of it below a skipped folder, read back as repositories."""
     root = work_folder(spark, "repositories")
-    files = b.ORDER_FILES.of(_table(spark, folder, "customer").selectExpr(*_CUSTOMERS.split(", ")))
+    customers = b.dealt(_table(spark, folder, "customer"), b.FILES_OF_A_TASK)
+    files = b.ORDER_FILES.of(customers.selectExpr(*_CUSTOMERS.split(", ")))
     for path in ("path", "'target/' || path"):
         code.write_files(files.selectExpr(f"repo || '/' || {path} AS path", "content"), root)
     return code.read_repository(spark, root).withColumn("repo", F.regexp_extract("path", r"/(repo-\d+)/", 1))
