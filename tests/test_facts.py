@@ -1,7 +1,11 @@
 """Fact extraction against hand-written Java."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from sentrylane.functions.java_text import shape
+from sentrylane.operators import facts as of
 from sentrylane.operators.facts import extract_facts
 from sentrylane.operators.static_rules import STATIC_RULES, method_words, static_findings
 
@@ -201,3 +205,20 @@ def test_extraction_is_one_map_stage(spark):
     files = spark.createDataFrame([("A.java", SAMPLE)], "path string, content string")
     plan = static_findings(extract_facts(files))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and plan.count("MapInArrow") == 1 and "Sort" not in plan
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """An Arrow batch of 10,000 rows is no bound where texts are long: bytes of a batch are, in and out."""
+    text = "class A { /* " + "x" * 100_000 + ' */ String a = """\n' + "y" * 100_000 + '\n"""; }'
+    files = spark.range(0, 300, 1, 1).selectExpr("CAST(id AS STRING) AS path").withColumn("content", F.lit(text))
+    rows = of._lettered(files, ["path"])
+    assert int(spark.conf.get(of._LIMIT)) <= of._BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    # In: what a mapInArrow gets now; out: all rows come back, whole.
+    assert max(r.n for r in files.mapInArrow(sizes, "n int").collect()) <= of._BYTES // 200_000 + 1
+    assert rows.agg(F.count("*"), F.sum(F.length("_plain"))).first() == (300, 300 * len(shape(text)[0]))
+    assert extract_facts(files).filter("name = 'a'").count() == 300
