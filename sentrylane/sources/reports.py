@@ -150,6 +150,29 @@ def _junit_frame() -> tuple[Column, Column]:
     return header, F.lit(JUNIT_FOOTER)
 
 
+#: Bits of the map of first places, in words of 64; the words are some MB at most.
+_SLOTS = 1 << 23
+
+
+def _near(rows: DataFrame, firsts: DataFrame, place: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may stand at the first place of their repository, and those that do not.
+
+    The first places are marked in a bitmap of bounded size by their hash, and rows look
+    themselves up there, so all but a few need no shuffle.
+    """
+    slot = F.pmod(F.xxhash64("repo", *place), F.lit(_SLOTS))
+    word, bit = F.shiftright("_slot", 6), F.pmod(_c("_slot"), F.lit(64)).cast("int")
+    words = (
+        firsts.select("repo", "first.*").select(slot.alias("_slot"))
+        .groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    )
+    looked = (
+        rows.filter(_c("repo").isNotNull()).withColumn("_slot", slot).withColumn("_word", word)
+        .join(F.broadcast(words), "_word", "left").withColumn("_near", F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), bit) == 1)
+    )
+    return looked.filter("_near").select(*rows.columns), looked.filter("NOT _near").select(*rows.columns)
+
+
 def report_rows(results: DataFrame, findings: DataFrame, format: str, mask: bool = True) -> DataFrame:
     """``(repo, section, path, line, rule_id, finding_id, copy, text)`` of a report.
 
@@ -180,13 +203,15 @@ def report_rows(results: DataFrame, findings: DataFrame, format: str, mask: bool
     rows = shown.select("repo", F.lit(1).alias("section"), *place, F.lit(1).alias("copy"), row().alias("text"))
     if listed:
         # JSON lists need to know their first element: the smallest place of a repository,
-        # a minimum over ids. Only rows that stand at that very place are numbered.
+        # a minimum over ids. Only rows that may stand there are joined with it, and only
+        # those that do are numbered.
         firsts = findings.groupBy("repo").agg(F.min(F.struct(*place)).alias("first"))
-        placed = rows.join(firsts, "repo").withColumn("at_first", F.struct(*place) == _c("first")).drop("first")
+        near, rest = _near(rows, firsts, place)
+        placed = near.join(firsts, "repo").withColumn("at_first", F.struct(*place) == _c("first")).drop("first")
         number = F.row_number().over(Window.partitionBy("repo").orderBy("text"))
         leading = placed.filter("at_first").withColumn("copy", number)
         comma = F.when(_c("at_first") & (_c("copy") == 1), _c("text")).otherwise(F.concat(F.lit(","), "text"))
-        rows = leading.unionByName(placed.filter("NOT at_first")).withColumn("text", comma)
+        rows = leading.unionByName(placed.filter("NOT at_first")).unionByName(rest.withColumn("at_first", F.lit(False))).withColumn("text", comma)
     return frames.unionByName(rows.select(*frames.columns))
 
 
