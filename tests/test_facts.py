@@ -219,6 +219,6 @@ def test_batches_of_long_texts_are_bounded(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     # In: what a mapInArrow gets now; out: all rows come back, whole.
-    assert max(r.n for r in files.mapInArrow(sizes, "n int").collect()) <= of._BYTES // 200_000 + 1
+    assert max(r.n for r in files.mapInArrow(sizes, "n long").collect()) <= of._BYTES // 200_000 + 1
     assert rows.agg(F.count("*"), F.sum(F.length("_plain"))).first() == (300, 300 * len(shape(text)[0]))
     assert extract_facts(files).filter("name = 'a'").count() == 300
