@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sentrylane.llm import common, exact_dedup, minhash_trees, mixing, pieces, run_index, sharding
@@ -313,6 +314,22 @@ def test_repeats(spark, corpus, monkeypatch, length, gram, hot, chunk):
     assert run_index.without_repeats(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_of_one_passage_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(run_index, "SHARE", 16, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        docs = spark.range(2000).selectExpr("id AS _key", "id AS _hash", "CAST(repeat('ab', 200) AS BINARY) AS text")
+        held = [r["count"] for r in run_index.repeated(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(held) == 2000
+    assert max(held) < 500
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(4)
     for alphabet, n in ((2, 60), (3, 200), (1, 40)):
