@@ -314,22 +314,47 @@ def test_repeats(spark, corpus, monkeypatch, length, gram, hot, chunk):
     assert run_index.without_repeats(documents(spark, rows).limit(0)).count() == 0
 
 
-def test_copies_of_one_passage_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(run_index, "SHARE", 16, raising=False)
-    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+@pytest.fixture
+def uneven(spark):
+    """A session that joins by sorting and splits what is skewed, however small."""
+    adaptive = "spark.sql.adaptive."
+    settings = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", f"{adaptive}coalescePartitions.enabled": "false", f"{adaptive}advisoryPartitionSizeInBytes": "1k",
+        f"{adaptive}skewJoin.skewedPartitionThresholdInBytes": "1", f"{adaptive}skewJoin.skewedPartitionFactor": "1.5",
+    }
     before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        docs = spark.range(2000).selectExpr("id AS _key", "id AS _hash", "CAST(repeat('ab', 200) AS BINARY) AS text")
-        held = [r["count"] for r in run_index.repeated(docs).groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield spark
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_copies_of_one_passage_are_dealt_out(uneven, monkeypatch):
+    monkeypatch.setattr(run_index, "SHARE", 16, raising=False)
+    docs = uneven.range(0, 2000, 1, 1).selectExpr("id AS _key", "id AS _hash", "CAST(repeat('ab', 200) AS BINARY) AS text")
+    held = [r["count"] for r in run_index.repeated(docs).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(held) == 2000
     assert max(held) < 500
 
 
+def test_different_texts_around_one_passage_are_dealt_out(uneven, monkeypatch):
+    passage = prose(random.Random(8), 200)[:400]
+    docs = uneven.range(600).selectExpr("id AS _key", "id AS _hash", f"CAST(format_string('%04d%s', id, '{passage}') AS BINARY) AS text")
+    held = []
+
+    def stored(frame, name):
+        rows = common.stored(frame, name)
+        if name == "wanted":
+            held.extend(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect())
+        return rows
+
+    monkeypatch.setattr(run_index, "stored", stored)
+    assert run_index.repeated(docs).select("_key").distinct().count() == 600
+    assert sum(held) >= 600
+    assert max(held) < 450
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(4)
     for alphabet, n in ((2, 60), (3, 200), (1, 40)):
