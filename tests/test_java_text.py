@@ -4,7 +4,8 @@ import time
 
 import pytest
 
-from sentrylane.functions.java_text import Unreadable, shape
+from sentrylane.functions.java_text import Unreadable, shape, shapes
+from sentrylane.operators import facts as of
 from sentrylane.operators.facts import extract_facts
 
 
@@ -138,3 +139,53 @@ def test_patterns_neither_recurse_nor_backtrack(spark):
     assert time.perf_counter() - start < 30
     assert counts["f(a, ", "call"] == counts["x.y(z)", "call"] == 16000
     assert all(counts[p, "method"] == 1 for p in PIECES if p != ".y(z)")
+
+
+def nested(depth, types):
+    return (
+        f"class N {{\n  void m(String x) {{\n    String query = {'(' * depth}\"SELECT a\" + x{')' * depth};\n    rt.exec({'a[' * depth}0{']' * depth} + y);\n"
+        f"    {'List<' * types}String{'>' * types} sql = x;\n    {'{ ' * depth}int deep = 1;{' }' * depth}\n  }}\n}}\n"
+    )
+
+
+def test_nested_texts_are_read_in_time():
+    """4,000 texts of some 300 tokens; token by token in Python they take more than two seconds."""
+    texts, best = [nested(1 + k % 60, 1 + k % 10).encode() for k in range(4000)], 9e9
+    for _ in range(3):
+        start = time.perf_counter()
+        assert sum(plain is not None for plain, _ in shapes(texts)) == 4000
+        best = min(best, time.perf_counter() - start)
+    assert best < 1.2
+
+
+def test_only_lines_that_can_hold_a_fact_are_written(spark):
+    """Brackets without = and without a call add nothing to the letters; the facts stay whole."""
+    files = spark.createDataFrame([(str(d), nested(d, 2)) for d in (1, 500)], "path string, content string")
+    lines = [r["_letters"].count("\n") for r in of._lettered(files, ["path"]).collect()]
+    assert lines[0] == lines[1] < 6
+    found = [[(v.name, v.type) for v in facts(spark, nested(d, 2))["var"]] for d in (1, 500)]
+    assert found[0] == found[1] == [("query", "String"), ("sql", "List<List<String>>"), ("deep", "int")]
+    full = shape(nested(3, 2))[1].split("\n")
+    ((_, some),) = shapes([nested(3, 2).encode()])
+    assert some.decode().split("\n")[1:] == [x for x in full if "=" in x or "v" in x or x.startswith("{w") and "(" in x]
+
+
+@pytest.mark.parametrize("bytes_", [1, 40, 1 << 18])
+def test_texts_read_together_are_as_read_alone(bytes_, monkeypatch):
+    """Whatever stands beside a text: one without end, a number, a dot, letters of several bytes, nothing."""
+    from sentrylane.functions import java_text
+
+    texts = ["", " ", "a", "1.", ".5", "1.5.6 x1.5 1$a$ .", "..", ".", "a....b", "-", "->=:::==", "=", "größe.ü(١٢, \u3000日本)", "a.<B>", "c(d, e)",
+             "List<A, B[]> m = A.<B, C>of(1, 2);", "a < b", "> c", "(", ")", "(]", "{ /* open", "*/ }", '"open', "'", '"', '"""x', '"""\n " y"""', "// z", "\n@A f() { }"]
+
+    def alone(text):
+        try:
+            return tuple(x.encode() for x in shape(text))
+        except Unreadable:
+            return None, None
+
+    expected = [(None, None), *map(alone, texts), *map(alone, reversed(texts))]
+    assert sum(plain is None for plain, _ in expected) > 15
+    monkeypatch.setattr(java_text, "_BYTES", bytes_)
+    together = [None, *(t.encode() for t in [*texts, *reversed(texts)])]
+    assert list(shapes(together, every_line=True)) == expected
